@@ -146,9 +146,9 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """
     spark = labelled.sparkSession
     ship(spark)
-    h = F.xxhash64("doc_id")
-    sample = materialize(labelled.select(text_of().alias("text"), F.col("y").cast("int").alias("y"), h.alias("h"))
-                         .orderBy("h", "y", "text").limit(max_train).drop("h")).repartition(8)
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
+    top = hashed.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    sample = materialize(hashed.where(F.col("h") <= F.lit(top)).select(text_of().alias("text"), F.col("y").cast("int").alias("y"))).repartition(8)
     parts = sample.mapInArrow(_count_batches, "clean long, toxic long, bucket binary, in_clean binary, in_toxic binary").collect()
     counts, docs = np.zeros((2, 1 << BUCKETS)), np.zeros(2)
     for r in parts:
