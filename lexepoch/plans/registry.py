@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import temporal_queries
+from . import temporal_queries, text_queries
 
-_MODULES = (temporal_queries,)
+_MODULES = (temporal_queries, text_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
