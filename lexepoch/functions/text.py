@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # -- fixed values -----------------------------------------------------------------------------------------------------
 TYPE_RULES = [
@@ -49,7 +50,7 @@ def plain_letters(accented: str = ACCENTED) -> str:
 
 
 # -- Arrow functions: what no built-in expression says ----------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -60,7 +61,7 @@ def nfc(c: Column) -> Column:
     return _nfc(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numeric_entities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
     ref = re.compile(r"&#(?:x([0-9a-fA-F]+)|([0-9]+));")

@@ -98,7 +98,7 @@ def gates(summary: DataFrame, min_match: float = 98.0) -> DataFrame:
 
 def backfill(docs: DataFrame, evidence: DataFrame, default_year: int) -> DataFrame:
     """(document_id, issued_date, imputed): issue dates by evidence, title or default; imputed ones are never verified."""
-    said = evidence.where("field_name = 'issued_date'").groupBy("document_id").agg(F.min(F.try_to_date("asserted_value", F.lit("yyyy-MM-dd"))).alias("said"))
+    said = evidence.where("field_name = 'issued_date'").groupBy("document_id").agg(F.min(F.try_to_date("asserted_value", "yyyy-MM-dd")).alias("said"))
     when, imputed = T.backfill_date(F.col("issued_date"), F.col("said"), F.col("title"), default_year)
     return docs.join(said, "document_id", "left").select("document_id", "verification_status", when.alias("issued_date"), imputed.alias("imputed"))
 

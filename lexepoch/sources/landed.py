@@ -67,6 +67,10 @@ def attachments(pages: DataFrame) -> DataFrame:
                         F.when(pdf.isNotNull(), "original.pdf").when(docx.isNotNull(), "original.docx").alias("kind")).where("kind IS NOT NULL")
 
 
+def _labelled(label: str):
+    return lambda x: x["k"] == label
+
+
 def html_properties(pages: DataFrame, labels: dict[str, tuple[str, ...]] = HTML_LABELS) -> DataFrame:
     """One record per page from its two-column table rows; of repeated labels the last counts, of aliases the first."""
     row = r"(?is)<tr[^>]*>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
@@ -75,7 +79,7 @@ def html_properties(pages: DataFrame, labels: dict[str, tuple[str, ...]] = HTML_
     p = pages.withColumn("_p", pairs)
 
     def value(aliases: tuple[str, ...]) -> Column:
-        one = [F.nullif(F.try_element_at(F.filter("_p", lambda x, a=a: x["k"] == a), F.lit(-1))["v"], F.lit("")) for a in aliases]
+        one = [F.nullif(F.try_element_at(F.filter("_p", _labelled(a)), F.lit(-1))["v"], F.lit("")) for a in aliases]
         return F.coalesce(*one)
 
     title = F.trim(F.element_at(F.split(T.strip_tags(F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")),
