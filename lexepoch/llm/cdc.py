@@ -118,7 +118,7 @@ def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     A chunk counts if documents with different ids have it, and every place of it but the first (by doc_id, then
     start) is repeated. Neighbouring repeated chunks form a run; runs of at least min_run code points are returned,
-    with the ids of the documents that hold their chunks first. Rows that share an id are one document, rows without
+    with the ids of the documents that hold at least half of min_run of the run first. Rows that share an id are one document, rows without
     an id are left alone, null and empty texts have no chunks; no rows in, no rows out.
     """
     cut = chunks(docs)
@@ -132,9 +132,11 @@ def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     opens = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order) < F.col("start"), F.lit(True))
     runs = again.withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("int")).over(
         order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (runs.groupBy("doc_id", "run")
-            .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
-                 F.count(F.lit(1)).alias("n_chunks"), F.sort_array(F.collect_set("first_doc")).alias("first_doc_ids"))
+    end = F.col("start") + F.col("length")
+    per = runs.groupBy("doc_id", "run", "first_doc").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.sum("length").alias("own"), F.count(F.lit(1)).alias("n"))
+    firsts = F.transform(F.filter(F.collect_list(F.struct("first_doc", "own")), lambda x: x["own"] >= min_run // 2), lambda x: x["first_doc"])
+    return (per.groupBy("doc_id", "run")
+            .agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.sum("n").alias("n_chunks"), F.sort_array(firsts).alias("first_doc_ids"))
             .where(F.col("length") >= min_run).drop("run"))
 
 
