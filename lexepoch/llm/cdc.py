@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, small_side, text_of
+from .common import materialize, ship, text_of
 
 #: Bytes in a chunk at least and at most; a boundary at one of 2**BITS places on average.
 LEAST, MOST, BITS = 20, 200, 5
@@ -125,7 +125,8 @@ def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     place = F.struct("doc_id", "start")
     shared = materialize(cut.groupBy("digest").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
                          .where(F.col("first.doc_id") < F.col("last")).select("digest", "first"))
-    again = (cut.join(small_side(shared, shared.count()), "digest")
+    # Both sides grow with the input, so they are always shuffled; skewed digests are split by adaptive execution.
+    again = (cut.join(shared.hint("merge"), "digest")
              .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
              .select("doc_id", "start", "length", F.col("first.doc_id").alias("first_doc")))
     order = Window.partitionBy("doc_id").orderBy("start", "length", "first_doc")
