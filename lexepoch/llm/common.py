@@ -27,8 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Arrow batches hold whole texts, so a task's memory hangs on their size: so many rows and bytes at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver has it (a path all machines share, or ``--py-files``)."""
+    """Let Python workers find this package where the driver has it (a path all machines share, or ``--py-files``),
+    and bound the batches that they are sent."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

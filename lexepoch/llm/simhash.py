@@ -217,17 +217,6 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def _jaccard_batches(batches: Iterator[pa.RecordBatch], least: float):
-    for batch in batches:
-        a, b = batch.column(2), batch.column(3)
-        keep = []
-        for i in range(len(a)):
-            x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3,
                           segments: int = 8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """(doc_id, group_id) of documents in groups of near copies; group_id is the least doc_id of its group.
@@ -255,10 +244,10 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     texts = (docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
              .join(small_side(wanted, wanted.count()), "id", "left_semi"))
     ship(spark)
-    sets = materialize(texts.mapInArrow(lambda bs: _shingle_sets(bs, k), "id long, shingles array<long>")
-                       .dropDuplicates(["id"]))
+    sets = materialize(texts.mapInArrow(lambda bs: _shingle_sets(bs, k), "id long, shingles array<long>"))
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
-    checked = (pairs.join(left, "u").join(right, "v").select("u", "v", "s", "t")
-               .mapInArrow(lambda bs: _jaccard_batches(bs, similarity), "u long, v long"))
+    both = F.size(F.array_intersect("s", "t"))
+    checked = (pairs.join(left, "u").join(right, "v")
+               .where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("u", "v"))
     return components(checked).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))

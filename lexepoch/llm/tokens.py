@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -182,8 +183,7 @@ class Encoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -198,6 +198,11 @@ class Encoder:
                                               mergeable_ranks={bytes(byte[c] for c in k): v for k, v in ids.items()})
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
