@@ -22,8 +22,10 @@ SIZES = (3, 4, 5, 6)
 BUCKETS = 20
 #: Bound on the labelled rows a classifier is fitted on (by the smallest hash of their ids), and on its features.
 MAX_TRAIN, MAX_FEATURES = 16_000, 6_000
-#: A bucket needs so many toxic or clean documents before it can be a feature.
-LEAST_DOCS = 4
+#: A bucket can be a feature if so many toxic or clean documents have it, and if its number of toxic documents is so
+#: many standard deviations from what its frequency leads to expect.
+LEAST_DOCS, LEAST_Z = 3, 5.0
+SLICES = 64
 _BLOCK = 400_000
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
@@ -90,20 +92,36 @@ def _hits(texts: list[str], wanted: np.ndarray | None) -> tuple[np.ndarray, np.n
 
 # -- training ---------------------------------------------------------------------------------------------------------
 def _count_batches(batches: Iterator[pa.RecordBatch]):
+    """Documents with each bucket by label, as SLICES rows of this task's counts."""
     counts = np.zeros((2, 1 << BUCKETS), np.int32)
-    docs = [0, 0]
     for batch in batches:
         y = batch.column(1).to_numpy()
         for at, texts in _blocks(batch.column(0).to_pylist()):
             doc, bucket = _hits(texts, None)
             toxic = y[at + doc] == 1
-            counts[1] += np.bincount(bucket[toxic], minlength=1 << BUCKETS).astype(np.int32)
-            counts[0] += np.bincount(bucket[~toxic], minlength=1 << BUCKETS).astype(np.int32)
-        docs = [docs[0] + int((y != 1).sum()), docs[1] + int((y == 1).sum())]
-    at = np.flatnonzero(counts.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array([docs[0]]), pa.array([docs[1]]),
-                                      *(pa.array([x.astype(np.int32).tobytes()]) for x in (at, counts[0][at], counts[1][at]))],
-                                     names=["clean", "toxic", "bucket", "in_clean", "in_toxic"])
+            np.add.at(counts[1], bucket[toxic], 1)
+            np.add.at(counts[0], bucket[~toxic], 1)
+    clean_, toxic_ = counts.reshape(2, SLICES, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in clean_]), pa.array([x.tobytes() for x in toxic_])],
+                                     names=["slice", "clean", "toxic"])
+
+
+def _choose_batches(batches: Iterator[pa.RecordBatch], docs: np.ndarray):
+    """Rows sorted by slice -> buckets that tell the labels apart: (bucket, ratio, z)."""
+    width = (1 << BUCKETS) // SLICES
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, clean_, toxic_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            sums.setdefault(at, np.zeros((2, width)))
+            sums[at] += np.array([np.frombuffer(clean_, np.int32), np.frombuffer(toxic_, np.int32)])
+    for at, counts in sums.items():
+        often = np.flatnonzero(counts.max(0) >= LEAST_DOCS)
+        n0, n1 = counts[:, often]
+        share = (n0 + n1) / docs.sum()
+        z = np.abs(n1 - share * docs[1]) / np.sqrt(share * (1 - share) * docs[1] * docs[0] / docs.sum() + 1e-9)
+        ratio = np.log((n1 + 0.5) / (docs[1] + 1)) - np.log((n0 + 0.5) / (docs[0] + 1))
+        far = z >= LEAST_Z
+        yield pa.RecordBatch.from_arrays([pa.array(often[far] + at * width), pa.array(ratio[far]), pa.array(z[far])], names=["bucket", "ratio", "z"])
 
 
 def _row_batches(batches: Iterator[pa.RecordBatch], chosen: np.ndarray):
@@ -118,11 +136,8 @@ def _row_batches(batches: Iterator[pa.RecordBatch], chosen: np.ndarray):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["y", "buckets"])
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 2e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows of (column, value) by Adam on the whole sample, L2 on the weights."""
-    col = np.concatenate([r["c"] for r in rows]) if rows else np.zeros(0, np.int64)
-    val = np.concatenate([r["v"] for r in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def _logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse (row, column, value) by Adam on the whole sample, L2 on the weights."""
     w, b = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     mw, mb, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     for t in range(1, steps + 1):
@@ -141,37 +156,30 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, n: int, penalty: float = 2e
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on (doc_id, text, y): at most max_train rows, those with the smallest hash of their doc_id.
 
-    Counts of the bounded sample come to the driver as one histogram per task of eight, then its rows as lists of the
-    chosen buckets. Without rows of both labels the model is the prior alone.
+    N-gram counts are summed by slices of buckets on the executors; the driver gets at most MAX_FEATURES buckets, then
+    the sample's rows as lists of those. Without rows of both labels the model is the prior alone.
     """
     spark = labelled.sparkSession
     ship(spark)
     hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
     top = hashed.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     sample = materialize(hashed.where(F.col("h") <= F.lit(top)).select(text_of().alias("text"), F.col("y").cast("int").alias("y"))).repartition(8)
-    parts = sample.mapInArrow(_count_batches, "clean long, toxic long, bucket binary, in_clean binary, in_toxic binary").collect()
-    counts, docs = np.zeros((2, 1 << BUCKETS)), np.zeros(2)
-    for r in parts:
-        at = np.frombuffer(r.bucket, np.int32)
-        counts[0][at] += np.frombuffer(r.in_clean, np.int32)
-        counts[1][at] += np.frombuffer(r.in_toxic, np.int32)
-        docs += (r.clean, r.toxic)
+    n = {r.toxic: r.n for r in sample.groupBy((F.col("y") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = np.array([n.get(False, 0), n.get(True, 0)], float)
     if not docs.all():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 20.0 if docs[1] else -20.0 if docs[0] else -2.0)
-    ratio = np.log((counts[1] + 0.5) / (docs[1] + 1)) - np.log((counts[0] + 0.5) / (docs[0] + 1))
-    often = np.flatnonzero(counts.max(0) >= LEAST_DOCS)
-    gain = np.abs(ratio[often]) * np.sqrt(np.where(ratio[often] > 0, counts[1][often], counts[0][often] * docs[1] / docs[0]))
-    chosen = np.sort(often[np.argsort(-gain, kind="stable")[:MAX_FEATURES]])
+    counted = sample.mapInArrow(_count_batches, "slice int, clean binary, toxic binary")
+    best = (counted.repartition(8, "slice").mapInArrow(lambda bs: _choose_batches(bs, docs), "bucket long, ratio double, z double")
+            .orderBy(F.col("z").desc(), "bucket").limit(MAX_FEATURES).collect())
+    best = sorted((r.bucket, r.ratio) for r in best)
+    chosen, ratio = np.array([x for x, _ in best], np.int64), np.array([x for _, x in best])
     got = sample.mapInArrow(lambda bs: _row_batches(bs, chosen), "y int, buckets binary").collect()
-    place = np.zeros(1 << BUCKETS, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    kind = np.dtype([("c", np.int64), ("v", np.float64)])
-    rows = []
-    for r in got:
-        c = place[np.frombuffer(r.buckets, np.int32)]
-        rows.append(np.array(list(zip(c, ratio[chosen[c]])), kind) if len(c) else np.zeros(0, kind))
-    w, bias = _logistic(rows, np.array([r.y for r in got], float), len(chosen))
-    return Model(chosen, (w * ratio[chosen]).astype(np.float32), float(bias))
+    y = np.array([r.y for r in got], float)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.buckets) // 4 for r in got])
+    col = np.searchsorted(chosen, np.frombuffer(b"".join([bytes(r.buckets) for r in got]), np.int32)).astype(np.int32)
+    del got
+    w, bias = _logistic(row, col, ratio[col].astype(np.float32) if len(col) else np.zeros(0, np.float32), y, len(chosen))
+    return Model(chosen, (w * ratio).astype(np.float32), float(bias))
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------------
