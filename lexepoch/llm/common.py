@@ -45,6 +45,23 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def lean(run):
+    """A task that gives what it has freed back to the system when it ends: Python workers live on between stages."""
+    def task(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+    return task
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, rank_within, ship, shuffle_partitions, text_of
+from .common import lean, materialize, rank_within, ship, shuffle_partitions, text_of
 from .tokens import default_path, encoder
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -50,8 +50,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = 1024,
     ship(docs.sparkSession)
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        lambda bs: _piece_batches(bs, path, capacity, end_id, with_ids),
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(lambda bs: _piece_batches(bs, path, capacity, end_id, with_ids)),
         f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, ship, shuffle_partitions, small_side, text_of
+from .common import lean, materialize, ship, shuffle_partitions, small_side, text_of
 from .components import components
 
 #: Groups of at most so many fingerprints under one key are compared pairwise; larger ones are walked breadth first.
@@ -92,8 +92,7 @@ def fingerprints(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42,), wo
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"fp{j} long" for j in range(len(seeds)))])
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        lambda bs: _fingerprint_batches(bs, k, list(seeds), words), schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(lambda bs: _fingerprint_batches(bs, k, list(seeds), words)), schema)
 
 
 # -- pigeonring keys --------------------------------------------------------------------------------------------------
@@ -212,7 +211,7 @@ def links(marks: DataFrame, max_bits: int, segments: int = 8) -> DataFrame:
     n = shuffle_partitions(marks.sparkSession)
     starts = [start for start, _ in keys]
     return (spread.repartition(n, "tag", "key").sortWithinPartitions("tag", "key", "fp")
-            .mapInArrow(lambda bs: _link_batches(bs, max_bits, segments, starts), "u long, v long"))
+            .mapInArrow(lean(lambda bs: _link_batches(bs, max_bits, segments, starts)), "u long, v long"))
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
@@ -268,7 +267,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     texts = (docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
              .join(small_side(wanted, wanted.count()), "id", "left_semi"))
     ship(spark)
-    sets = materialize(texts.mapInArrow(lambda bs: _shingle_sets(bs, k), "id long, shingles array<long>"))
+    sets = materialize(texts.mapInArrow(lean(lambda bs: _shingle_sets(bs, k)), "id long, shingles array<long>"))
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))

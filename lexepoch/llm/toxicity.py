@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, ship, small_side, text_of
+from .common import lean, materialize, ship, small_side, text_of
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 20
@@ -26,7 +26,7 @@ MAX_TRAIN, MAX_FEATURES = 16_000, 6_000
 #: many standard deviations from what its frequency leads to expect.
 LEAST_DOCS, LEAST_Z = 3, 5.0
 SLICES = 64
-_BLOCK = 400_000
+_BLOCK = 100_000
 _NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
@@ -50,7 +50,9 @@ def clean(text: str) -> str:
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each n-gram of the characters."""
-    h = np.zeros(max(0, len(codes) - n + 1), np.uint64)
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(codes) - n + 1, np.uint64)
     for i in range(n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:len(codes) - n + 1 + i]
     h ^= h >> np.uint64(29)
@@ -168,12 +170,12 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     docs = np.array([n.get(False, 0), n.get(True, 0)], float)
     if not docs.all():
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 20.0 if docs[1] else -20.0 if docs[0] else -2.0)
-    counted = sample.mapInArrow(_count_batches, "slice int, clean binary, toxic binary")
-    best = (counted.repartition(8, "slice").mapInArrow(lambda bs: _choose_batches(bs, docs), "bucket long, ratio double, z double")
+    counted = sample.mapInArrow(lean(_count_batches), "slice int, clean binary, toxic binary")
+    best = (counted.repartition(8, "slice").mapInArrow(lean(lambda bs: _choose_batches(bs, docs)), "bucket long, ratio double, z double")
             .orderBy(F.col("z").desc(), "bucket").limit(MAX_FEATURES).collect())
     best = sorted((r.bucket, r.ratio) for r in best)
     chosen, ratio = np.array([x for x, _ in best], np.int64), np.array([x for _, x in best])
-    got = sample.mapInArrow(lambda bs: _row_batches(bs, chosen), "y int, buckets binary").collect()
+    got = sample.mapInArrow(lean(lambda bs: _row_batches(bs, chosen)), "y int, buckets binary").collect()
     y = np.array([r.y for r in got], float)
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.buckets) // 4 for r in got])
     col = np.searchsorted(chosen, np.frombuffer(b"".join([bytes(r.buckets) for r in got]), np.int32)).astype(np.int32)
@@ -202,7 +204,7 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
     column = docs.columns.index("text")
-    return docs.mapInArrow(lambda bs: _score_batches(bs, sent.value, column, score), schema)
+    return docs.mapInArrow(lean(lambda bs: _score_batches(bs, sent.value, column, score)), schema)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
