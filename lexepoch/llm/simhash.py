@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lean, materialize, ship, shuffle_partitions, small_side, text_of
 from .components import components
 
-#: Groups of at most so many fingerprints under one key are compared pairwise; larger ones are walked breadth first.
+#: Groups of at most so many fingerprints under one key are compared pairwise; larger ones are walked breadth first,
+#: or in the pipeline's stage in rounds.
 PAIRWISE = 16
 
 
@@ -239,6 +240,105 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
+def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, lo: int, hi: int):
+    """Rows (tag, fp, id[, component]) sorted by tag and key -> pairs (u, v) to check, and (tag, key) of groups not done.
+
+    Small groups give all their pairs at once (when lo is 0). In a large group members are ordered by their distance
+    to the group's majority bits; those at ranks lo to hi meet every later member of another component.
+    """
+    limit = budgets(max_bits, segments)
+    masks = np.array([_segment(i, segments) for i in range(segments)], np.uint64)
+    first = np.array([start for start, _ in ring], np.int64)
+    key_mask = np.array([mask for _, mask in ring], np.uint64)
+
+    def rows(u, v, tag=None, key=None):
+        there = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (u, v)]
+        if tag is not None:
+            n, m = len(there[0]), len(tag)
+            there = [pa.concat_arrays([x, pa.nulls(m, pa.int64())]) for x in there]
+            there += [pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)]) for x, kind in ((tag, pa.int16()), (key, pa.int64()))]
+        else:
+            there += [pa.nulls(len(there[0]), pa.int16()), pa.nulls(len(there[0]), pa.int64())]
+        return pa.RecordBatch.from_arrays(there, names=["u", "v", "tag", "key"])
+
+    def pairs(tag, fp, ids, comp):
+        which = tag % len(ring)
+        key = fp & key_mask[which]
+        cut = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]) | (key[1:] != key[:-1])]) if len(tag) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[cut, len(tag)])
+        u, v, held, open_tag, open_key = [], [], 0, [], []
+        if lo == 0:
+            end = np.repeat(cut + size, size)
+            at = np.flatnonzero(np.repeat((size > 1) & (size <= PAIRWISE), size))
+            for d in range(1, PAIRWISE):
+                at = at[at + d < end[at]]
+                if not len(at):
+                    break
+                diff = fp[at] ^ fp[at + d]
+                # Equal fingerprints meet under every key; the first key is enough for them.
+                ok = _ring_ok(diff, first[which[at]], masks, limit) & (comp[at] != comp[at + d]) & ((diff != 0) | (which[at] == 0))
+                u.append(ids[at[ok]])
+                v.append(ids[at[ok] + d])
+        for start, n in zip(cut[size > max(lo, PAIRWISE)].tolist(), size[size > max(lo, PAIRWISE)].tolist()):
+            f, i, c = fp[start:start + n], ids[start:start + n], comp[start:start + n]
+            if (c == c[0]).all():
+                continue
+            count = np.array([np.count_nonzero(f >> np.uint64(b) & np.uint64(1)) for b in range(64)])
+            middle = np.uint64(sum(1 << b for b in range(64) if 2 * count[b] > n))
+            order = np.lexsort((i, np.bitwise_count(f ^ middle)))
+            f, i, c = f[order], i[order], c[order]
+            for r in range(lo, min(hi, n - 1)):
+                diff = f[r + 1:] ^ f[r]
+                near = (np.bitwise_count(diff) <= max_bits) & (c[r + 1:] != c[r])
+                if which[start]:
+                    near &= diff != 0
+                met = i[r + 1:][near]
+                if len(met):
+                    u.append(met)
+                    v.append(np.full(len(met), i[r]))
+                    held += len(met)
+                if held > 500_000:
+                    yield rows(u, v)
+                    u, v, held = [], [], 0
+            if hi < n - 1:
+                open_tag.append(int(tag[start]))
+                open_key.append(int(key[start:start + 1].view(np.int64)[0]))
+        yield rows(u, v, open_tag, open_key)
+
+    def columns(batch):
+        out = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        return [*out, batch.column(3).to_numpy() if batch.num_columns > 3 else out[2]]
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(columns(batch))
+        count += batch.num_rows
+        if count < 50_000 or not batch.num_rows:
+            continue
+        tag, fp, ids, comp = (np.concatenate(x) for x in zip(*held))
+        same = (tag == tag[-1]) & ((fp ^ fp[-1]) & key_mask[tag[-1] % len(ring)] == 0)
+        last = int(np.argmax(same))
+        if last:
+            yield from pairs(tag[:last], fp[:last], ids[:last], comp[:last])
+        held, count = [[tag[last:], fp[last:], ids[last:], comp[last:]]], min(len(tag) - last, 49_999) if last else 0
+    if held:
+        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose texts' k-word shingle sets have a Jaccard similarity of at least ``similarity``."""
+    wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
+             .join(small_side(wanted, wanted.count()), "id", "left_semi"))
+    ship(docs.sparkSession)
+    sets = materialize(texts.mapInArrow(lean(lambda bs: _shingle_sets(bs, k)), "id long, shingles array<long>"))
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    return materialize(pairs.join(left, "u").join(right, "v")
+                       .where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("u", "v"))
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3,
                           segments: int = 8, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(doc_id, group_id) of documents in groups of near copies; group_id is the least doc_id of its group.
@@ -246,31 +346,48 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     Candidates: SimHash over each document's words, within max_bits for any of the seeds; several seeds find what one
     misses by chance, and keep the keys of each long enough to be selective in a large corpus. A link stands only
     if the sets of k-word shingles have a Jaccard similarity of at least ``similarity``. Documents whose id is null
-    and documents without words are left alone; documents of one fingerprint hang on the least doc_id with it.
+    and documents without words are left alone; documents of equal fingerprints hang on the least doc_id with them.
+
+    Links are checked before large groups are thinned: in rounds of 1, 16, 256, ... members of a group under one key
+    meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined.
     """
     spark = docs.sparkSession
     named = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(r"[^\x20\x09-\x0D]"))
-    marked = materialize(fingerprints(named, seeds=seeds, words=True))
-    pairs = None
-    for j in range(len(seeds)):
-        nodes = materialize(marked.groupBy(F.col(f"fp{j}").alias("fp")).agg(F.min("doc_id").cast("long").alias("first")))
-        found = links(nodes.select("fp"), max_bits, segments).distinct()
-        ends = nodes.select(F.col("fp").alias("u"), F.col("first").alias("a"))
-        ends2 = nodes.select(F.col("fp").alias("v"), F.col("first").alias("b"))
-        between = found.join(ends, "u").join(ends2, "v").select("a", "b")
-        within = (marked.join(nodes, marked[f"fp{j}"] == nodes.fp)
-                  .select(F.col("doc_id").cast("long").alias("a"), F.col("first").alias("b")).where("a <> b"))
-        both = between.unionByName(within)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
-    texts = (docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
-             .join(small_side(wanted, wanted.count()), "id", "left_semi"))
-    ship(spark)
-    sets = materialize(texts.mapInArrow(lean(lambda bs: _shingle_sets(bs, k)), "id long, shingles array<long>"))
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    checked = (pairs.join(left, "u").join(right, "v")
-               .where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("u", "v"))
-    return components(checked).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    marks = [f"fp{j}" for j in range(len(seeds))]
+    marked = materialize(fingerprints(named, seeds=seeds, words=True).withColumn("id", F.col("doc_id").cast("long")))
+    nodes = materialize(marked.groupBy(*marks).agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    repeated = nodes.where("first < last").drop("last")
+    within = (marked.join(small_side(repeated, repeated.count()), marks)
+              .where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
+    linked = _checked(docs, materialize(within), k, similarity)
+
+    ring = ring_keys(max_bits, segments)
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(mask)) for _, mask in ring]),
+                                              F.pmod(F.col("tag").cast("int"), F.lit(len(ring))) + 1))
+    tagged = F.explode(F.array(*[F.struct(F.lit(j * len(ring) + i).cast("smallint").alias("tag"), F.col(mark).alias("fp"))
+                                 for j, mark in enumerate(marks) for i in range(len(ring))])).alias("k")
+    spread = nodes.select(tagged, F.col("first").alias("id")).select("k.tag", "k.fp", "id")
+
+    def dealt(members: DataFrame, lo: int, hi: int) -> DataFrame:
+        n = shuffle_partitions(spark)
+        return materialize(members.repartition(n, F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
+            lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, lo, hi)), "u long, v long, tag smallint, key long"))
+
+    lo, hi, before = 0, 1, None
+    found = dealt(spread, lo, hi)
+    open_keys = found.where("u IS NULL").select("tag", "key")
+    more = open_keys.count()
+    hot = materialize(spread.withColumn("key", key).join(small_side(open_keys, more), ["tag", "key"], "left_semi")
+                      .select("tag", "fp", "id")) if more else None
+    while True:
+        pairs = found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = materialize(pairs if before is None else pairs.join(before, ["u", "v"], "left_anti"))
+        before = pairs if before is None else before.unionByName(pairs)
+        linked = linked.unionByName(_checked(docs, pairs, k, similarity))
+        if not more:
+            return components(linked).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+        lo, hi = hi, 16 * hi
+        joined = components(linked)
+        found = dealt(hot.join(joined, hot["id"] == joined["node"], "left")
+                      .select("tag", "fp", "id", F.coalesce("root", "id").alias("component")), lo, hi)
+        more = found.where("u IS NULL").count()

@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -162,6 +162,50 @@ def test_near_groups_find_edits_and_leave_the_rest(spark):
     assert sum(got.get(d) == i for d, i in copies.items()) >= 0.85 * len(copies)
 
 
+def brute_near_groups(rows, bits=3, least=0.8):
+    """Components of all pairs within the bits for any seed whose sets of five-word shingles are alike."""
+    ids = [d for d, _ in rows]
+    fps = np.array([simhash.weighted_majorities(Counter(t.encode().lower().split()), [1, 2, 3, 4]) for _, t in rows], np.uint64)
+    sets = [set(simhash.shingle_bytes(t.encode(), 5)) for _, t in rows]
+    column = {s: j for j, s in enumerate(s for s, n in Counter(s for x in sets for s in x).items() if n > 1)}
+    has = np.zeros((len(rows), len(column)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [column[s] for s in x if s in column]] = 1
+    size, root = np.array([len(x) for x in sets]), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        near = (np.bitwise_count(fps[:i] ^ fps[i]) <= bits).any(1)
+        both = has[:i] @ has[i]
+        for j in np.flatnonzero(near & (both >= least * (size[:i] + size[i] - both))):
+            root[find(i)] = find(int(j))
+    groups = defaultdict(list)
+    for i, d in enumerate(ids):
+        groups[find(i)].append(d)
+    return {d: min(g) for g in groups.values() if len(g) > 1 for d in g}
+
+
+def test_large_near_group_loses_no_link(spark):
+    """Copies that are near their original and far from each other: only checked links may thin a large group."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    base = ["the"] * 100 + [word() for _ in range(200)]
+    rng.shuffle(base)
+    rows = [(5000, " ".join(base))]
+    for i in range(1000):
+        changed = list(base)
+        for at in rng.sample([p for p, w in enumerate(base) if w != "the"], 5):
+            changed[at] = word()
+        rows.append((i, " ".join(changed)))
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near_groups(rows)
+
+
 # -- content-defined chunks -------------------------------------------------------------------------------------------
 def test_gear_by_doubling_equals_rolling():
     table, data = cdc.gear_table(), np.frombuffer(random.Random(1).randbytes(400), np.uint8)
