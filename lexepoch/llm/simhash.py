@@ -71,29 +71,34 @@ def weighted_majorities(words: Counter[bytes], seeds: list[int]) -> list[int]:
     return out
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], k: int, seeds: list[int], words: bool):
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], k: int, seeds: list[int], words: bool, digest: bool):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
         marks = np.zeros((len(seeds), len(texts)), np.uint64)
+        digests = []
         for i, text in enumerate(texts):
+            if digest:
+                digests.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
             if words:
                 marks[:, i] = weighted_majorities(Counter(text.lower().split()), seeds)
             else:
                 features = shingle_bytes(text, k)
                 marks[:, i] = [majority(features, seed) for seed in seeds]
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(m.view(np.int64)) for m in marks)],
-                                         names=["doc_id", *(f"fp{j}" for j in range(len(seeds)))])
+        yield pa.RecordBatch.from_arrays(
+            [ids, *(pa.array(m.view(np.int64)) for m in marks), *([pa.array(digests, pa.binary())] if digest else [])],
+            names=["doc_id", *(f"fp{j}" for j in range(len(seeds))), *(["digest"] if digest else [])])
 
 
-def fingerprints(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42,), words: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42,), words: bool = False, digest: bool = False) -> DataFrame:
     """(doc_id, fp0, fp1, ...): signed 64-bit SimHashes, one for each seed. Null texts count as empty (0).
 
     Features are k-word shingles with repeats, or with ``words`` single words weighted by the root of their counts.
+    With ``digest`` a last column has a 128-bit digest of the words in their order.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", *(f"fp{j} long" for j in range(len(seeds)))])
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(lambda bs: _fingerprint_batches(bs, k, list(seeds), words)), schema)
+    schema = ", ".join([f"doc_id {kind}", *(f"fp{j} long" for j in range(len(seeds))), *(["digest binary"] if digest else [])])
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(lambda bs: _fingerprint_batches(bs, k, list(seeds), words, digest)), schema)
 
 
 # -- pigeonring keys --------------------------------------------------------------------------------------------------
@@ -346,7 +351,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     Candidates: SimHash over each document's words, within max_bits for any of the seeds; several seeds find what one
     misses by chance, and keep the keys of each long enough to be selective in a large corpus. A link stands only
     if the sets of k-word shingles have a Jaccard similarity of at least ``similarity``. Documents whose id is null
-    and documents without words are left alone; documents of equal fingerprints hang on the least doc_id with them.
+    and documents without words are left alone; documents of equal words in equal order are one
+    candidate, named by the least doc_id, and all others meet each other even if their fingerprints are equal.
 
     Links are checked before large groups are thinned: in rounds of 1, 16, 256, ... members of a group under one key
     meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined.
@@ -354,12 +360,11 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     spark = docs.sparkSession
     named = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(r"[^\x20\x09-\x0D]"))
     marks = [f"fp{j}" for j in range(len(seeds))]
-    marked = materialize(fingerprints(named, seeds=seeds, words=True).withColumn("id", F.col("doc_id").cast("long")))
-    nodes = materialize(marked.groupBy(*marks).agg(F.min("id").alias("first"), F.max("id").alias("last")))
-    repeated = nodes.where("first < last").drop("last")
-    within = (marked.join(small_side(repeated, repeated.count()), marks)
-              .where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct())
-    linked = _checked(docs, materialize(within), k, similarity)
+    marked = materialize(fingerprints(named, seeds=seeds, words=True, digest=True).withColumn("id", F.col("doc_id").cast("long")))
+    nodes = materialize(marked.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), *[F.min(m).alias(m) for m in marks]))
+    repeated = nodes.where("first < last").select("digest", "first")
+    linked = materialize(marked.join(small_side(repeated, repeated.count()), "digest")
+                         .where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")))
 
     ring = ring_keys(max_bits, segments)
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(mask)) for _, mask in ring]),

@@ -206,6 +206,18 @@ def test_large_near_group_loses_no_link(spark):
     assert got == brute_near_groups(rows)
 
 
+def test_texts_of_one_fingerprint_meet_each_other(spark):
+    """Reordered lines share the bag of words: the near pair among them is not the one with the least doc_id."""
+    rng = random.Random(13)
+    lines = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(6)) for _ in range(60)]
+    turned = rng.sample(lines, 60)
+    near = [*turned[:20], turned[21], turned[20], *turned[22:]]
+    other = rng.sample(lines, 60)
+    rows = [(i, "\n".join(x)) for i, x in enumerate((lines, turned, near, other, [*other[1:], other[0]]))] + [(9, "\n".join(turned).upper())]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near_groups(rows) == {1: 1, 2: 1, 9: 1, 3: 3, 4: 3}
+
+
 # -- content-defined chunks -------------------------------------------------------------------------------------------
 def test_gear_by_doubling_equals_rolling():
     table, data = cdc.gear_table(), np.frombuffer(random.Random(1).randbytes(400), np.uint8)
