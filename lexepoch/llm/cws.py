@@ -1,9 +1,13 @@
 """Document fingerprints by consistent weighted sampling (Ioffe 2010).
 
-Terms are shingles of five words, weighted by how often they occur and hashed to 2**DIMS dimensions. For each sample
-every dimension has r and c drawn from Gamma(2, 1) and b from [0, 1); a term of weight S has t = floor(ln S / r + b)
+Terms are shingles of five words, weighted by how often they occur and named by a 64-bit hash. For each sample every
+term has r and c drawn from Gamma(2, 1) and b from [0, 1); a term of weight S has t = floor(ln S / r + b)
 and ln a = ln c - r * (t - b + 1), and the sample is the (term, t) with the least a. Two texts have the same sample
 with a probability equal to the generalised Jaccard similarity of their weights.
+
+The draws are made from four independent Exp(1) numbers: c is the sum of e and e2, r the sum of s = ln(c / e) and q,
+and b = q / r. (A Gamma(2, 1) number times a uniform one is Exp(1), and so is the rest of it, independent of it.) Then
+a = e at weight 1, so such terms, which are most, need one number.
 """
 
 from __future__ import annotations
@@ -18,10 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, ship, shuffle_partitions, text_of
 
-SAMPLES, DIMS, SHINGLE = 64, 18, 5
+SAMPLES, SHINGLE = 64, 5
 #: Bits of a sample that go into the fingerprint: 3 hexadecimal digits.
 MARK = 12
-_SCALE, _SHIFT = 1 << 15, 24.0  # ln a in 20 bits: (ln a + _SHIFT) * _SCALE, ln a from -24 to 8
 _BLOCK = 1_000_000
 _tables: dict[tuple, np.ndarray] = {}
 
@@ -36,36 +39,31 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def draws(dims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, b, mark) of dimensions x samples, from a counter-based generator: the same wherever they are drawn."""
-    at = (dims.astype(np.uint64)[:, None] * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) * np.uint64(8)
-    u = [_uniform(_mix((at + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15))) for i in range(5)]
-    mark = _mix((at + np.uint64(6)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK)
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4], mark
+_PLACES = _mix(np.arange(1, 3 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, SAMPLES)
 
 
-def _pack(ln_a: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """ln a in the upper 20 bits, the mark in the lower 12: the least of these is the sample."""
-    level = np.clip((ln_a + _SHIFT) * _SCALE, 0, (1 << 20) - 1).astype(np.uint32)
-    return level << np.uint32(MARK) | mark.astype(np.uint32)
+def _numbers(terms: np.ndarray, i: int) -> np.ndarray:
+    """64 random bits of terms x samples, from a counter-based generator: the same wherever they are drawn."""
+    return _mix(terms[:, None] ^ _PLACES[i])
 
 
-def _single() -> np.ndarray:
-    """Packed ln a of weight 1 (t = 0) of every dimension and sample."""
-    if "single" not in _tables:
-        out = np.empty((1 << DIMS, SAMPLES), np.uint32)
-        for lo in range(0, 1 << DIMS, 1 << 12):
-            r, ln_c, b, mark = draws(np.arange(lo, lo + (1 << 12)))
-            out[lo:lo + (1 << 12)] = _pack(ln_c - r * (1 - b), mark)
-        _tables["single"] = out
-    return _tables["single"]
+def _single(terms: np.ndarray) -> np.ndarray:
+    """Packed a of weight 1 (t = 0): 1 - exp(-a) in the upper 52 bits, the mark in the lower 12; the least is the sample."""
+    return _numbers(terms, 0)
 
 
-def _weighted(dims: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    r, ln_c, b, mark = draws(dims)
-    t = np.floor(np.log(weight)[:, None] / r + b)
-    turned = _mix(mark ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - MARK)
-    return _pack(ln_c - r * (t - b + 1), np.where(t == 0, mark, turned))
+def _weighted(terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    raw = _numbers(terms, 0)
+    mark = raw & np.uint64((1 << MARK) - 1)
+    e = -np.log1p(-((raw >> np.uint64(MARK)).astype(np.float64) + 0.5) / (1 << 64 - MARK))
+    e2, q = -np.log(_uniform(_numbers(terms, 1))), -np.log(_uniform(_numbers(terms, 2)))
+    s = np.log1p(e2 / e)
+    r = s + q
+    t = np.floor((np.log(weight)[:, None] + q) / r)
+    a = e * np.exp(-r * t)
+    turned = _mix(mark ^ _numbers(terms, 1) ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - MARK)
+    level = np.minimum(-np.expm1(-a) * (1 << 64 - MARK), float((1 << 64 - MARK) - 1)).astype(np.uint64)
+    return np.where(t == 0, raw, level << np.uint64(MARK) | turned)
 
 
 # -- terms ------------------------------------------------------------------------------------------------------------
@@ -77,7 +75,7 @@ def _byte_codes() -> np.ndarray:
 
 
 def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, dimension, weight) of the block's shingles, sorted by text then dimension."""
+    """(text, term, weight) of the block's shingles, sorted by text then term."""
     if "codes" not in _tables:
         _tables["codes"] = _byte_codes()
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -86,7 +84,7 @@ def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = edge[::2], edge[1::2]  # words: data[first:last]
     none = np.zeros(0, np.int64)
     if not len(first):
-        return none, none, none
+        return none, none.view(np.uint64), none
     # Word hash: the sum over its bytes of code(byte) * g(place in the word), each well mixed, by prefix sums.
     place = np.arange(len(data), dtype=np.int64)
     word = np.repeat(np.arange(len(first)), last - first)
@@ -106,27 +104,28 @@ def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         there = n < left[at]
         w = np.where(there, h[np.minimum(at + n, len(h) - 1)], np.uint64(0))
         total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(n + 1))
-    dims = (total >> np.uint64(64 - DIMS)).astype(np.int64)
-    both, weight = np.unique(doc[at] << DIMS | dims, return_counts=True)
-    return both >> DIMS, both & ((1 << DIMS) - 1), weight
+    of = doc[at]
+    for lo, hi in zip(*(np.searchsorted(of, np.arange(len(texts)), side).tolist() for side in ("left", "right"))):
+        total[lo:hi].sort()
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (total[1:] != total[:-1])])
+    return of[new], total[new], np.diff(np.r_[new, len(total)])
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
     """Samples of every text, SAMPLES marks of MARK bits each; a text without words has marks of its own (all 0)."""
     out = np.zeros((len(texts), SAMPLES), np.uint32)
-    doc, dims, weight = _terms(texts)
-    table = _single()
-    step = 1 << 14
-    best = np.full((len(texts), SAMPLES), np.uint32(0xFFFFFFFF))
+    doc, terms, weight = _terms(texts)
+    step = 1 << 11
+    best = np.full((len(texts), SAMPLES), np.uint64((1 << 64) - 1))
     for lo in range(0, len(doc), step):
-        d, x, w = doc[lo:lo + step], dims[lo:lo + step], weight[lo:lo + step]
-        packed = table[x]
+        d, x, w = doc[lo:lo + step], terms[lo:lo + step], weight[lo:lo + step]
+        packed = _single(x)
         if (more := np.flatnonzero(w > 1)).size:
             packed[more] = _weighted(x[more], w[more].astype(float))
         cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         best[d[cut]] = np.minimum(best[d[cut]], np.minimum.reduceat(packed, cut, axis=0))
     have = np.unique(doc)
-    out[have] = best[have] & np.uint32((1 << MARK) - 1)
+    out[have] = best[have] & np.uint64((1 << MARK) - 1)
     return out
 
 

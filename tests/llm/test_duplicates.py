@@ -301,6 +301,13 @@ def test_collision_rate_is_the_generalised_jaccard_similarity():
     assert abs(np.mean(gap)) < 0.01 and np.std(gap) < 0.07
 
 
+def test_long_unrelated_texts_are_not_alike():
+    rng = random.Random(14)
+    a, b = (" ".join(f"{side}{rng.randrange(10**7)}" for _ in range(200_000)).encode() for side in "ab")
+    m = cws.signatures([a, b])
+    assert (m[0] == m[1]).mean() <= 1 / 64
+
+
 def test_signatures_do_not_hang_on_neighbours(texts):
     some = [t.encode() for t in list(texts.values())[:30]] + [b"", b" ", b"one", b"a b", b"\n"]
     together = cws.signatures(some)
