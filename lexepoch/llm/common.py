@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared scratch tables, exact ranks, guarded broadcasts."""
+"""What the training-data operators share: shared scratch tables, exact ranks, joins that hold at every size."""
 
 from __future__ import annotations
 
@@ -9,17 +9,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-#: Sides of at most so many short rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
-
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a new one, but only on a single machine (as in tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lexepoch-")
@@ -74,15 +73,55 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is (then Spark shuffles)."""
-    return F.broadcast(df) if rows <= bound else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: A key met by over 1/HOT_SHARE of the rows (and by HOT_LEAST rows) is hot: there are at most HOT_SHARE such keys.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, n: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose column n counts the left rows that meet each key.
+
+    ``rows`` is the number of left rows. Hot keys, at most HOT_SHARE at any size, are sent to every task, so their left
+    rows stay where they are; no key of the shuffled rest has more than 1/HOT_SHARE of the rows (or HOT_LEAST). With
+    how="left" left rows without a partner stay, too. Null keys meet nothing.
+    """
+    bound = max(HOT_LEAST, rows // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col(n) > bound))
+    # The merge hint keeps the rest shuffled at every size: its right side grows with the input.
+    rest = left.join(hot.select(on), on, "left_anti").join(right.where(F.col(n) <= bound).hint("merge"), on, how)
+    return left.join(hot, on).unionByName(rest)
+
+
+#: Words of 64 bits in a sieve: its broadcast has so many rows at most, whatever the size of the input.
+SIEVE_BITS = 20
+
+
+def _sieve_place(key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return F.shiftrightunsigned(h, 64 - SIEVE_BITS).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bit set of the hashes of all keys, 2**SIEVE_BITS words at most."""
+    word, bit = _sieve_place(F.col(column))
+    return materialize(keys.select(word.alias("_lx_word"), bit.alias("_lx_bits")).groupBy("_lx_word").agg(F.bit_or("_lx_bits").alias("_lx_bits")))
+
+
+def sifted(df: DataFrame, key: Column, through: DataFrame, flag: str = "_lx_maybe") -> DataFrame:
+    """df with a column that is false where key is surely none of the keys of the sieve ``through``.
+
+    Rows that a later join cannot meet are told apart where they lie, so that whole texts need not be shuffled for
+    it. As the keys outgrow the sieve more rows read true without need; what is joined afterwards stays exact.
+    """
+    word, bit = _sieve_place(key)
+    marked = df.withColumn("_lx_at", word).withColumn("_lx_bit", bit)
+    joined = marked.join(F.broadcast(through), marked["_lx_at"] == F.col("_lx_word"), "left")
+    return joined.withColumn(flag, F.coalesce(F.col("_lx_bits").bitwiseAND(F.col("_lx_bit")) != 0, F.lit(False))).drop("_lx_at", "_lx_bit", "_lx_word", "_lx_bits")
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank: str, buckets: int) -> DataFrame:
     """Exact rank from 0 of each row within its keys, in any fixed order, without one task per hot key.
 

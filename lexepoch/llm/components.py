@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import hot_join, shared_dir
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least neighbour of u; partial sums keep a hub's neighbours spread over tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u")
 
+def _minimum(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v) with the least neighbour m of u; edges of a hub stay spread over tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return hot_join(edges, least, "u", "n", rows)
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = _minimum(both).withColumn("m", F.least("u", "m"))
+    near = _minimum(both, 2 * rows).withColumn("m", F.least("u", "m"))
     return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    near = _minimum(edges)
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    near = _minimum(edges, rows)
     moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = near.select("u", F.col("m").alias("v"))
     return moved.union(kept).where("u > v").distinct()
@@ -30,15 +32,16 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     Rounds end when the edge table no longer changes: then every edge leads from a node to its root. Each round is
     checkpointed, so a lost executor costs one round at most. Null ends are dropped, self links too.
     """
+    shared_dir(edges.sparkSession)
     now = (edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
            .where("u > v").distinct().checkpoint())
-    before = None
+    rows, before = now.count(), None
     for _ in range(limit):
-        now = _small_star(_large_star(now)).checkpoint()
+        now = _small_star(_large_star(now, rows).checkpoint(), rows).checkpoint()
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == before:
             break
-        before = tuple(state)
+        before, rows = tuple(state), state[0]
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

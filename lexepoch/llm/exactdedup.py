@@ -2,8 +2,11 @@
 
 1. Every row gives 48 bits of the SHA-256 of its normalised text. Senders (runs of rows of one task) sort theirs by
    owner, the range of fingerprints a row falls into, and send each owner one Golomb-coded list of gaps.
-2. Owners merge the lists they get and answer each with a bitmap: which of its fingerprints occur more than once.
-3. Only rows so marked (suspects) have their texts shuffled, and are grouped by the bytes themselves.
+   A fingerprint that one sender has several times is sent once, with a bit that says so.
+2. Owners merge the lists they get and answer each with a bitmap, which is shuffled back to its sender: which of the
+   sender's fingerprints occur more than once.
+3. Senders mark their rows by the bitmaps. Only rows so marked (suspects) have their texts shuffled, and are grouped by
+   the bytes themselves.
 
 The exchange costs about 1.5 bits more than log2 of the mean gap for each row; texts that occur once stay put.
 """
@@ -17,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, ship, shuffle_partitions, small_side, text_of
+from .common import hot_join, lean, materialize, ship, shuffle_partitions, sieve, sifted, text_of
 
 BITS = 48
 #: Rows in one sender's list, and the mean number of rows an owner answers for.
@@ -73,40 +76,49 @@ def _low(owner: int, owners: int) -> int:
 
 
 def _send(batches: Iterator[pd.DataFrame], owners: int) -> Iterator[pd.DataFrame]:
+    """One list for each owner of every run of SENDER_ROWS rows: distinct fingerprints, and a bit for those repeated here."""
+    from pyspark import TaskContext
+    task = TaskContext.get()
+    part, run = task.partitionId() if task else 0, 0
+
     def lists(fps: np.ndarray) -> pd.DataFrame:
-        fps = np.sort(fps)
-        sender = f"{fps[0]:x}-{fps[-1]:x}-{len(fps):x}-{int(np.bitwise_xor.reduce(fps)):x}-{int(fps.sum()):x}"
-        own = _owner(fps, owners)
+        once, count = np.unique(fps, return_counts=True)
+        own = _owner(once, owners)
         cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         rows = []
-        for a, b in zip(cut, np.r_[cut[1:], len(fps)]):
-            k, code = golomb_encode(fps[a:b], _low(int(own[a]), owners))
-            rows.append((sender, int(own[a]), int(b - a), k, code))
-        return pd.DataFrame(rows, columns=["sender", "owner", "n", "k", "code"])
+        for a, b in zip(cut, np.r_[cut[1:], len(once)]):
+            k, code = golomb_encode(once[a:b], _low(int(own[a]), owners))
+            rows.append((f"{part}-{run}", int(own[a]), int(b - a), k, code, np.packbits(count[a:b] > 1).tobytes()))
+        return pd.DataFrame(rows, columns=["sender", "owner", "n", "k", "code", "here"])
 
     held: list[np.ndarray] = []
     for batch in batches:
         held.append(batch["fp"].to_numpy(np.int64))
         if sum(map(len, held)) >= SENDER_ROWS:
             yield lists(np.concatenate(held))
-            held = []
+            held, run = [], run + 1
     if sum(map(len, held)):
         yield lists(np.concatenate(held))
 
 
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8))[:n].astype(bool)
+
+
 def _answer(batches: Iterator[pd.DataFrame], owners: int) -> Iterator[pd.DataFrame]:
     """Rows come sorted by owner; one owner's lists are held at a time, as numbers, never texts."""
     def bitmaps(owner: int, got: list[tuple]) -> pd.DataFrame:
         low = _low(owner, owners)
-        values = [golomb_decode(n, k, code, low) for _, n, k, code in got]
+        values = [golomb_decode(n, k, code, low) for _, n, k, code, _ in got]
         once, count = np.unique(np.concatenate(values), return_counts=True)
-        twice = once[count > 1]
+        here = np.concatenate([v[_bits(h, len(v))] for (*_, h), v in zip(got, values)])
+        twice = np.union1d(once[count > 1], here)
         rows = []
-        for (sender, n, k, code), v in zip(got, values):
-            marked = np.isin(v, twice, assume_unique=False)
+        for (sender, *_), v in zip(got, values):
+            marked = np.isin(v, twice)
             if marked.any():
-                rows.append((sender, owner, n, k, code, np.packbits(marked).tobytes()))
-        return pd.DataFrame(rows, columns=["sender", "owner", "n", "k", "code", "bitmap"])
+                rows.append((sender, owner, np.packbits(marked).tobytes()))
+        return pd.DataFrame(rows, columns=["sender", "owner", "bitmap"])
 
     now, got = None, []
     for batch in batches:
@@ -115,42 +127,47 @@ def _answer(batches: Iterator[pd.DataFrame], owners: int) -> Iterator[pd.DataFra
                 yield bitmaps(now, got)
                 got = []
             now = row.owner
-            got.append((row.sender, row.n, row.k, row.code))
+            got.append((row.sender, row.n, row.k, row.code, row.here))
     if got:
         yield bitmaps(now, got)
 
 
 def _marked(batches: Iterator[pd.DataFrame], owners: int) -> Iterator[pd.DataFrame]:
+    """A sender's list beside the bitmap it got for it -> the fingerprints of its rows that are suspects."""
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            values = golomb_decode(row.n, row.k, row.code, _low(row.owner, owners))
-            bits = np.unpackbits(np.frombuffer(row.bitmap, np.uint8))[:row.n].astype(bool)
-            yield pd.DataFrame({"fp": np.unique(values[bits])})
+        found = [golomb_decode(r.n, r.k, r.code, _low(r.owner, owners))[_bits(r.bitmap, r.n)] for r in batch.itertuples(index=False)]
+        yield pd.DataFrame({"fp": np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)})
 
 
 def suspects(fps: DataFrame) -> DataFrame:
     """(fp): distinct fingerprints that more than one row of ``fps`` has, found by the exchange."""
     spark = fps.sparkSession
     ship(spark)
-    owners = max(shuffle_partitions(spark), fps.count() // OWNER_ROWS + 1)
-    sent = fps.mapInPandas(lambda bs: _send(bs, owners), "sender string, owner int, n int, k int, code binary")
-    answered = (sent.repartition(shuffle_partitions(spark), "owner").sortWithinPartitions("owner")
-                .mapInPandas(lambda bs: _answer(bs, owners), "sender string, owner int, n int, k int, code binary, bitmap binary"))
-    # The bitmap comes back beside the list it answers, so the sender's rows are named by their fingerprints alone.
-    return answered.mapInPandas(lambda bs: _marked(bs, owners), "fp long").distinct()
+    parts = shuffle_partitions(spark)
+    owners = max(parts, fps.count() // OWNER_ROWS + 1)
+    # Written, so that the lists which senders keep are those which owners have answered, whatever is lost between.
+    sent = materialize(fps.mapInPandas(lean(lambda bs: _send(bs, owners)), "sender string, owner int, n int, k int, code binary, here binary"))
+    answered = (sent.repartition(parts, "owner").sortWithinPartitions("owner")
+                .mapInPandas(lean(lambda bs: _answer(bs, owners)), "sender string, owner int, bitmap binary"))
+    back = sent.select("sender", "owner", "n", "k", "code").join(answered.hint("merge"), ["sender", "owner"])
+    return back.mapInPandas(lean(lambda bs: _marked(bs, owners)), "fp long").distinct()
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
-def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups). rows: doc_id, text_sha256 of every row. groups: text_sha256, keep_id, group_size of every
-    normalised text that occurs more than once."""
-    rows = materialize(docs.select("doc_id", _digest(normalized()).alias("text_sha256")))
-    shared = materialize(suspects(rows.select(_fp48(F.col("text_sha256")).alias("fp"))))
-    texts = docs.select("doc_id", normalized().alias("norm")).withColumn("fp", _fp48(_digest(F.col("norm"))))
-    same = (texts.join(small_side(shared, shared.count()), "fp", "left_semi")
+def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, groups, through). rows: doc_id, text_sha256, fp of every row. groups: text_sha256, keep_id, group_size of
+    every normalised text that occurs more than once. through: the sieve of the suspects' fingerprints.
+
+    Only texts that the sieve lets through are shuffled, at every size; they are grouped by their bytes, so what it
+    lets through without need ends as a group of one.
+    """
+    rows = materialize(docs.select("doc_id", _digest(normalized()).alias("text_sha256")).withColumn("fp", _fp48(F.col("text_sha256"))))
+    through = sieve(suspects(rows.select("fp")), "fp")
+    texts = docs.select("doc_id", normalized().alias("norm"))
+    same = (sifted(texts, _fp48(_digest(F.col("norm"))), through).where("_lx_maybe")
             .groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .where("group_size > 1").select(_digest(F.col("norm")).alias("text_sha256"), "keep_id", "group_size"))
-    return rows, materialize(same)
+    return rows, materialize(same), through
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -160,23 +177,30 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts are equal to each other. The row with the least doc_id stays. Rows that share that doc_id and the text are
     one document and all read kept; a null id is kept only in a group where every id is null. No rows in, no rows out.
     """
-    rows, groups = copy_groups(docs)
-    joined = rows.join(small_side(groups, groups.count()), "text_sha256", "left")
-    alone = F.col("group_size").isNull()
-    return joined.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+    rows, groups, through = copy_groups(docs)
+    told = sifted(rows, F.col("fp"), through)
+    alone = told.where("NOT _lx_maybe").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
+    joined = hot_join(told.where("_lx_maybe"), groups, "text_sha256", "group_size", rows.count(), "left")
+    single = F.col("group_size").isNull()
+    return alone.select("doc_id", "keep_id", "group_size", F.lit(True).alias("kept"), "text_sha256").unionByName(joined.select(
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+        (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has no copy with a smaller doc_id, with the columns of docs."""
-    _, groups = copy_groups(docs)
+    """The rows of docs whose text has no copy with a smaller doc_id, with the columns of docs.
+
+    Rows without copies and those of hot texts are decided where they lie; only other suspects are shuffled.
+    """
+    rows, groups, through = copy_groups(docs)
     sha, keep, size = "_lx_sha", "_lx_keep", "_lx_size"
     groups = groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    tagged = docs.withColumn(sha, _digest(normalized()))
-    joined = tagged.join(small_side(groups, groups.count()), sha, "left")
-    return joined.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = sifted(docs.withColumn(sha, _digest(normalized())), _fp48(F.col(sha)), through)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = hot_join(told.where("_lx_maybe"), groups, sha, size, rows.count(), "left")
+    stay = joined.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
+    return told.where("NOT _lx_maybe").select(*columns).unionByName(stay.select(*columns))
 
 
 ORACLE = r"""

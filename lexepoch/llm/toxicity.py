@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lean, materialize, ship, small_side, text_of
+from .common import lean, materialize, ship, text_of
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 20
