@@ -23,8 +23,12 @@ from .common import ship, text_of
 #: Entries in one worker's caches; a full cache is emptied, so memory does not follow the vocabulary of the corpus.
 CACHE = 800_000
 
-#: Fixed value: the pattern of byte-level pre-tokenizers.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pattern of byte-level pre-tokenizers, from its classes of letters and digits and of neither.
+def _pattern(letter: str, digit: str, other: str) -> str:
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|\s+(?!\S)|\s+"
+
+
+PIECE = _pattern(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")
 
 _loaded: dict[tuple, object] = {}
 
@@ -41,10 +45,45 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def library_pieces() -> str:
+    """The pattern with the letters and digits of the tokenizers library, whose Unicode tables are other than regex's.
+
+    The library is asked for the class of each character that regex and Python's own tables (of other versions) class
+    differently; the characters on which those two agree are classed alike by all three.
+    """
+    from unicodedata import category
+
+    from tokenizers.pre_tokenizers import ByteLevel
+    text = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    letters, digits = (set(regex.findall(rf"\p{{{k}}}", text)) for k in "LN")
+    own = {k: {c for c in text if category(c)[0] == k} for k in "LN"}
+    odd = sorted((letters ^ own["L"]) | (digits ^ own["N"]))
+    cut = ByteLevel(add_prefix_space=False, use_regex=True)
+    by: dict[str, list[str]] = {"L": [], "N": [], "": []}
+    for c in odd:
+        # A letter joins the letter before it, a digit the digit before it, any other the mark before it.
+        by["L" if len(cut.pre_tokenize_str("a" + c)) == 1 else "N" if len(cut.pre_tokenize_str("1" + c)) == 1 else ""].append(c)
+
+    def ranges(chars: list[str]) -> str:
+        out: list[list[int]] = []
+        for x in map(ord, chars):
+            if out and x == out[-1][1] + 1:
+                out[-1][1] = x
+            else:
+                out.append([x, x])
+        return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
+
+    def kind(base: str, chars: list[str]) -> str:
+        less = f"[{base}--[{ranges(odd)}]]" if odd else base
+        return f"(?:{less}|[{ranges(chars)}])" if chars else less
+
+    return _pattern(kind(r"\p{L}", by["L"]), kind(r"\p{N}", by["N"]), kind(r"[^\s\p{L}\p{N}]", by[""]))
+
+
 class Merger:
     """Counts the tokens of one pre-token: pairs wait in a heap by rank, symbols are a doubly linked list."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -55,7 +94,7 @@ class Merger:
         self.rank = {names[a] << 32 | names[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [names[a + b] for a, b in merges]
         self.special = [t["content"] for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
-        self.piece = regex.compile(PIECE)
+        self.piece = regex.compile(pattern or library_pieces(), regex.V1)
         self.word = _Counts(self._of_piece)
         self.part = _Counts(self._of_part)
 
@@ -140,14 +179,14 @@ class _Counts(dict):
         return value
 
 
-def merger(path: str) -> Merger:
+def merger(path: str, pattern: str | None = None) -> Merger:
     if ("merger", path) not in _loaded:
-        _loaded["merger", path] = Merger(path)
+        _loaded["merger", path] = Merger(path, pattern)
     return _loaded["merger", path]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str):
-    bpe = merger(path)
+def _count_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
+    bpe = merger(path, pattern)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sizes = [len(t.encode()) for t in texts]
@@ -162,10 +201,10 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no tokens; repeated rows are counted each; other columns are not read.
     """
     ship(docs.sparkSession)
-    path = path or default_path()
+    path, pattern = path or default_path(), library_pieces()
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        lambda bs: _count_batches(bs, path), f"doc_id {kind}, n_bytes long, n_tokens long")
+        lambda bs: _count_batches(bs, path, pattern), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 # -- ids --------------------------------------------------------------------------------------------------------------
