@@ -27,7 +27,9 @@ WIDTH, HIDDEN, TAGS, CODES = 64, 16, 1 + 2 * len(KINDS), 129
 # -- base patterns (fixed values) -------------------------------------------------------------------------------------
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match never begins within a run of digits that the one before it left, so the look-behind and the possessive runs
+# change no match and keep the search linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@]")
@@ -291,7 +293,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: T
         x = np.array([codes(texts[i][s:min(b, s + WIDTH)]) for i, a, b, s in some], np.int64)
         tags[lo:lo + len(some)] = net.decode(x.T).T
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    row = 0
+    row, at = 0, [0] * len(texts)
     while row < len(plans):
         i, a, b, _ = plans[row]
         end = row
@@ -306,8 +308,18 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: T
             merged[lo:lo + n][closer] = tags[r][:n][closer]
             near = near.astype(float)
             near[lo:lo + n][closer] = far[closer]
-        for s in read_spans(texts[i], a, merged):
-            if not any(s[0] < y and x < s[1] for x, y, _ in base[i]):
+        found, own = read_spans(texts[i], a, merged), base[i]
+        while at[i] < len(own) and own[at[i]][1] <= a:
+            at[i] += 1
+        k = at[i]
+        for s in found:
+            while k < len(own) and own[k][1] <= s[0]:
+                k += 1
+            # Base spans of several kinds can overlap, so those that begin before the end of this one are looked at.
+            j, free = k, True
+            while free and j < len(own) and own[j][0] < s[1]:
+                free, j = own[j][1] <= s[0], j + 1
+            if free:
                 out[i].append(s)
         row = end
     return out
@@ -319,8 +331,8 @@ def _window_batches(batches: Iterator[pa.RecordBatch]):
         x, y = [], []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text)
-            for a, b in stretches(text)[:200]:
-                for s in windows(a, b)[:50]:
+            for a, b in stretches(text):
+                for s in windows(a, b):
                     x.append(codes(text[s:min(b, s + WIDTH)]).tobytes())
                     y.append(tags_of(spans, s).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
