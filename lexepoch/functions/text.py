@@ -49,6 +49,11 @@ def plain_letters(accented: str = ACCENTED) -> str:
     return "".join("D" if c == "Đ" else unicodedata.normalize("NFD", c)[0] for c in accented)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # -- Arrow functions: what no built-in expression says ----------------------------------------------------------------
 @F.pandas_udf(StringType())
 def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -95,9 +100,9 @@ def vn_date(c: Column) -> Column:
     """'ngày d tháng m năm yyyy', else d/m/yyyy, the first match; an impossible date is null."""
     long = r"(?iu)ngày\s+0?([1-9]|[12][0-9]|3[01])\s+tháng\s+0?([1-9]|1[0-2])\s+năm\s+((?:19|20)[0-9]{2})"
     short = r"0?([1-9]|[12][0-9]|3[01])/0?([1-9]|1[0-2])/((?:19|20)[0-9]{2})"
-    part = lambda p, i: F.regexp_extract(c, p, i)
-    return F.when(part(long, 3) != "", _date(part(long, 3), part(long, 2), part(long, 1))).otherwise(
-        _date(part(short, 3), part(short, 2), part(short, 1)))
+    read = lambda m, p: _date(*[F.regexp_extract(m, p, i) for i in (3, 2, 1)])
+    return let(F.regexp_extract(c, long, 0), lambda m: F.when(m != "", read(m, long)).otherwise(
+        let(F.regexp_extract(c, short, 0), lambda n: read(n, short))))
 
 
 def normalize_date(c: Column) -> Column:
@@ -112,12 +117,12 @@ def normalize_date(c: Column) -> Column:
 def effective_from(text: Column) -> Column:
     """F8: the date after 'có hiệu lực / hiệu lực thi hành / áp dụng (kể) từ ngày'."""
     phrase = F.regexp_extract(text, r"(?iu)(?:có hiệu lực|hiệu lực thi hành|áp dụng)(?:\s+kể)?\s+từ\s+ngày\s+" + DATE_PHRASE, 1)
-    return F.when(phrase != "", vn_date(F.concat(F.lit("ngày "), phrase)))
+    return let(phrase, lambda p: F.when(p != "", vn_date(F.concat(F.lit("ngày "), p))))
 
 
 def clause_date(text: Column, verbs: str) -> Column:
     phrase = F.regexp_extract(text, rf"(?iu)(?:{verbs})(?:\s+kể)?\s+từ\s+ngày\s+" + DATE_PHRASE, 1)
-    return F.when(phrase != "", vn_date(F.concat(F.lit("ngày "), phrase)))
+    return let(phrase, lambda p: F.when(p != "", vn_date(F.concat(F.lit("ngày "), p))))
 
 
 def local_today(ts: Column) -> Column:
@@ -147,27 +152,30 @@ def _head(text: Column, n: int = 1000) -> Column:
 
 def document_type(title: Column, text: Column | None = None) -> Column:
     """ordered rules on the title, then on the text's first 1000 characters; the order is part of the meaning."""
-    rest = F.lit("other") if text is None else _first(_head(text), BODY_TYPE_RULES, "other")
-    return _first(F.lower(title), TYPE_RULES, rest)
+    rest = F.lit("other") if text is None else let(_head(text), lambda h: _first(h, BODY_TYPE_RULES, "other"))
+    return let(F.lower(title), lambda t: _first(t, TYPE_RULES, rest))
 
 
 def document_nature(title: Column, kind: Column, text: Column | None = None) -> Column:
     """F5."""
     both = F.lower(title) if text is None else F.concat(F.lower(title), F.lit(" "), _head(text))
-    out = None
-    for words, value in NATURE_RULES:
-        out = F.when(_any(both, words), value) if out is None else out.when(_any(both, words), value)
-    return (out.when(kind.isin(*NORMATIVE_TYPES), "normative_legal_document")
-            .when(kind.isin(*GUIDANCE_TYPES) | both.contains("hướng dẫn"), "official_guidance")
-            .when((kind == "decision") & _any(both, NORMATIVE_DECISION), "normative_legal_document")
-            .when(kind.isin("decision", "announcement"), "administrative_document").otherwise("other"))
+
+    def of(both: Column, kind: Column) -> Column:
+        out = None
+        for words, value in NATURE_RULES:
+            out = F.when(_any(both, words), value) if out is None else out.when(_any(both, words), value)
+        return (out.when(kind.isin(*NORMATIVE_TYPES), "normative_legal_document")
+                .when(kind.isin(*GUIDANCE_TYPES) | both.contains("hướng dẫn"), "official_guidance")
+                .when((kind == "decision") & _any(both, NORMATIVE_DECISION), "normative_legal_document")
+                .when(kind.isin("decision", "announcement"), "administrative_document").otherwise("other"))
+
+    return let(both, lambda b: let(kind, lambda k: of(b, k)))
 
 
 def topics(text: Column, rules=None, default: str = "other") -> Column:
     """The topics whose words occur; [default] when none."""
-    low = F.lower(text)
-    found = F.filter(F.array(*[F.when(_any(low, words), name) for name, words in rules or TOPIC_RULES]), lambda x: x.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit(default))).otherwise(found)
+    found = lambda low: F.array_compact(F.array(*[F.when(_any(low, words), name) for name, words in rules or TOPIC_RULES]))
+    return let(let(F.lower(text), found), lambda f: F.when(F.size(f) == 0, F.array(F.lit(default))).otherwise(f))
 
 
 def issuer(title: Column) -> Column:

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
-def match(cands: DataFrame, docs: DataFrame, least: float = 0.7) -> DataFrame:
+def match(cands: DataFrame, docs: DataFrame, least: float = 0.7, earlier: bool = False) -> DataFrame:
     """Best match of each candidate: number 0.5, issued date 0.3, text hash 0.2, title 0.2, at most 1; a match needs 0.7.
     A candidate without such a match is matched at 0.95 by its text hash alone. Ties go to the smallest document_id.
 
-    Both sides have document_number (normalised), issued_date, text_hash, title_fp; the candidate has candidate_id.
-    Pairs come from two equi-joins, on number and on hash, never from a comparison of all with all.
+    Both sides have document_number (normalised), issued_date, text_hash, title_fp; the candidate has candidate_id, and
+    with ``earlier`` is matched with documents of smaller ids only. For each set of signals that makes a match, documents
+    are folded to the one with the least id per value of the set, and candidates join those: of the documents that
+    share a candidate's best set it is the one with the least id that counts, so no group emits its pairs.
     """
-    d = docs.select("document_id", *[F.col(c).alias(f"d_{c}") for c in ("document_number", "issued_date", "text_hash", "title_fp")])
+    signal = ("document_number", "issued_date", "text_hash", "title_fp")
+    d = docs.select("document_id", *[F.col(c).alias(f"d_{c}") for c in signal])
     hit = lambda c: F.coalesce(F.col(c) == F.col(f"d_{c}"), F.lit(False))
     points = lambda c, p: F.when(hit(c), p).otherwise(0.0)
     score = F.least(F.lit(1.0), F.round(points("document_number", 0.5) + points("issued_date", 0.3) + points("text_hash", 0.2) + points("title_fp", 0.2), 6))
     signals = F.filter(F.array(*[F.when(hit(c), c) for c in ("document_number", "issued_date", "text_hash", "title_fp")]), lambda x: x.isNotNull())
-    by_number = cands.join(d, cands.document_number == F.col("d_document_number")).withColumn("score", score).where(F.col("score") >= least)
-    by_hash = cands.join(d, cands.text_hash == F.col("d_text_hash")).withColumn("score", F.when(score >= least, score).otherwise(0.95))
-    both = (by_number.withColumn("by", F.lit(0)).unionByName(by_hash.withColumn("by", F.when(score >= least, 0).otherwise(1)))
-            .withColumn("signals", signals))
+    weight = dict(zip(signal, (50, 30, 20, 20)))
+    sets = [s for n in range(1, len(signal) + 1) for s in combinations(signal, n) if sum(weight[c] for c in s) >= round(100 * least)]
+    found = []
+    for s in [*sets, ("text_hash",)]:
+        on = [f"d_{c}" for c in s]
+        folded = d.where(" AND ".join(f"{c} IS NOT NULL" for c in on)).groupBy(*on).agg(F.min(F.struct("document_id", *d.columns[1:])).alias("x"))
+        met = cands.join(folded.select(*[F.col(c).alias(f"k_{c}") for c in on], "x.*"), [F.col(c) == F.col(f"k_d_{c}") for c in s])
+        found.append(met.drop(*[f"k_{c}" for c in on]))
+    both = reduce(DataFrame.unionByName, found)
+    both = both.where("document_id < candidate_id") if earlier else both
+    both = both.withColumn("by", F.when(score >= least, 0).otherwise(1)).withColumn("score", F.when(score >= least, score).otherwise(0.95)).withColumn("signals", signals)
     w = Window.partitionBy("candidate_id").orderBy("by", F.col("score").desc(), "document_id")
     return both.withColumn("n", F.row_number().over(w)).where("n = 1").select("candidate_id", "document_id", "score", "signals")
 

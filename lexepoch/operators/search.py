@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import new_path
 from . import status
 
 DRAFTS = ("draft", "proposal", "consultation")
@@ -84,33 +85,74 @@ def _has(c: Column, q: Column) -> Column:
     return F.coalesce(F.lower(c).contains(q), F.lit(False))
 
 
+#: Letters of a question's key, by which texts that may hold it are found; at most so many questions are broadcast.
+KEY, MAX_QUESTIONS = 3, 10_000
+
+
+def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], bool]:
+    """Questions (query_id, q, q_number, q_tokens, key, token), the lengths of their keys, and whether they are few.
+
+    A question's key is one of its runs of KEY letters (the last in code point order, as accented letters are rarer):
+    a text that holds the question holds the key, so texts meet questions by equal keys.
+    """
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where(F.col("q").rlike(r"[\p{L}\p{N}]"))
+    number = T.normalize_number(F.regexp_extract("q", r"([0-9]+/[0-9]{4}/[\p{L}0-9_.-]+)", 1))
+    tokens = T.tokens(F.col("q"))
+    q = q.select("query_id", "q", F.nullif(number, F.lit("")).alias("q_number"), tokens.alias("q_tokens"),
+                 F.when(F.length("q") <= KEY, F.col("q")).otherwise(F.array_max(_runs(F.col("q"), [KEY]))).alias("key"),
+                 F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("token"))
+    n = q.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("key")).alias("lengths")).first()
+    return q, sorted(n.lengths), n.n <= MAX_QUESTIONS
+
+
+def _runs(c: Column, lengths: list[int]) -> Column:
+    """All distinct runs of letters of the lengths in a text."""
+    of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(*[of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+
+
 def search(queries: DataFrame, docs: DataFrame, provs: DataFrame, k: int = 10, effective_only: bool = False) -> DataFrame:
     """Ranked documents of one or many queries (query_id, query): number, title phrase, all tokens, or a provision that
-    holds the phrase. A query without letters or digits finds nothing. Queries are few and are sent to the documents,
-    so each table is read once for all of them.
+    holds the phrase. A query without letters or digits finds nothing.
+
+    Texts meet queries by equi-joins, on the number, on a key that holders of the phrase share with it, and on the
+    query's longest token; what met is then checked. Each table is read once for all queries. Queries are broadcast if
+    they are few, by count.
     """
     bound(k, 1, 50, "k")
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where(F.col("q").rlike(r"[\p{L}\p{N}]"))
-    number = T.normalize_number(F.regexp_extract("q", r"([0-9]+/[0-9]{4}/[\p{L}0-9_.-]+)", 1))
-    q = F.broadcast(q.withColumn("q_number", F.nullif(number, F.lit(""))).withColumn("q_tokens", T.tokens(F.col("q"))))
-    d = filters(docs, effective_only=effective_only).withColumn("n_number", T.normalize_number(F.col("document_number"))).withColumn("d_tokens", T.tokens(F.col("title")))
-    in_provision = (provs.join(q, _has(F.col("content"), F.col("q"))).select("query_id", "document_id", "provision_id", "article", "content", "sort_key"))
+    q, lengths, few = _keyed(queries)
+    q = F.broadcast(q) if few else q
+    title = F.lower("title")
+    d = filters(docs, effective_only=effective_only).withColumn("n_number", T.normalize_number(F.col("document_number")))
+    heading = F.col("heading") if "heading" in provs.columns else F.lit(None).cast("string")
+    held = provs.select("document_id", "provision_id", "article", heading.alias("heading"), "content", "sort_key", F.explode(_runs(F.lower("content"), lengths)).alias("key"))
+    in_provision = held.join(q.select("query_id", "q", "key"), "key").where(_has(F.col("content"), F.col("q")))
     w = Window.partitionBy("query_id", "document_id").orderBy("sort_key", "provision_id")
-    heading = F.lit(None).cast("string")
     top = (in_provision.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("query_id", "document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.snippet(F.col("article"), heading, F.col("content")).alias("s")))), lambda x: x["s"]), " | ").alias("snippets")))
-    direct = d.join(q, (F.col("n_number") == F.col("q_number")) | _has(F.col("title"), F.col("q"))
-                    | (F.size(F.array_except("q_tokens", "d_tokens")) == 0)).select("query_id", "document_id")
-    found = direct.union(top.select("query_id", "document_id")).distinct()
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.snippet(F.col("article"), F.col("heading"), F.col("content")).alias("s")))), lambda x: x["s"]), " | ").alias("snippets")))
+    by_number = d.join(q.select("query_id", F.col("q_number").alias("n_number")), "n_number").select("query_id", "document_id")
+    by_title = (d.select("document_id", "title", F.explode(_runs(title, lengths)).alias("key")).join(q.select("query_id", "q", "key"), "key")
+                .where(_has(F.col("title"), F.col("q"))).select("query_id", "document_id"))
+    d_tokens = d.select("document_id", T.tokens(F.col("title")).alias("d_tokens"))
+    by_tokens = (d_tokens.select("document_id", "d_tokens", F.explode("d_tokens").alias("token")).join(q.select("query_id", "q_tokens", "token"), "token")
+                 .where(F.size(F.array_except("q_tokens", "d_tokens")) == 0).select("query_id", "document_id"))
+    found = by_number.union(by_title).union(by_tokens).withColumn("snippets", F.lit(None).cast("string")).unionByName(top)
+    found = found.groupBy("query_id", "document_id").agg(F.max("snippets").alias("snippets"))
     score = (F.lit(0.1) + F.when(F.col("n_number") == F.col("q_number"), 0.8).otherwise(0.0) + F.when(_has(F.col("title"), F.col("q")), 0.4).otherwise(0.0)
              + F.when(F.col("document_nature") == "normative_legal_document", 0.15).when(F.col("document_nature") == "official_guidance", 0.05).otherwise(0.0))
-    scored = (found.join(d, "document_id").join(q, "query_id").withColumn("score", F.round(score, 6))
-              .join(top, ["query_id", "document_id"], "left"))
+    scored = found.join(d, "document_id").join(q.select("query_id", "q", "q_number"), "query_id").withColumn("score", F.round(score, 6))
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id")
     return (scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select("query_id", "rank", "document_id", "document_number", "document_nature", "title", "score", F.coalesce("snippets", F.lit("")).alias("snippets")))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read again, so that its plan is worked out once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def provision_score(content: Column, heading: Column, terms: Column, q: Column, in_document: Column) -> Column:
     """phrase 3 in the content, else 2.5 in the heading; per term 0.5 and 0.8; 1 for the document's title or number."""
     c, h = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(heading, F.lit("")))
@@ -122,19 +164,23 @@ def provision_score(content: Column, heading: Column, terms: Column, q: Column,
 def effective_rules(queries: DataFrame, docs: DataFrame, provs: DataFrame, rels: DataFrame, as_of: str, k: int = 10, evidence: DataFrame | None = None) -> DataFrame:
     """Provisions in force at a date for each query, rules and guidance ranked apart, k of each.
 
-    Relevance is decided before status, so only provisions that score are joined with the state of their document.
+    Relevance is decided before status. The candidates, at most 20 of each query, are written once; the rest starts from
+    them: only their edges and provisions are read.
     """
-    cands = search(queries, docs, provs, 20, effective_only=True).select("query_id", "document_id", "title", "document_number", "document_nature", F.col("score").alias("doc_score"))
-    q = F.broadcast(queries.select("query_id", F.lower(F.trim("query")).alias("q"), T.query_terms(F.col("query")).alias("terms")))
-    wanted = docs.join(cands.select("document_id").distinct(), "document_id", "left_semi")
-    state = status.documents_at(wanted, rels, [as_of])
-    live = cands.join(state.where("is_effective").select("document_id"), "document_id")
-    scored = (live.join(q, "query_id").join(provs.select("provision_id", "document_id", "article", "clause", "content"), "document_id")
-              .withColumn("score", provision_score(F.col("content"), F.lit(""), F.col("terms"), F.col("q"),
+    cands = _kept(search(queries, docs, provs, 20, effective_only=True).select(
+        "query_id", "document_id", "title", "document_number", "document_nature", F.col("score").alias("doc_score")), "candidates")
+    ids = cands.select("document_id").distinct()
+    edges = rels.join(ids.withColumnRenamed("document_id", "target_document_id"), "target_document_id", "left_semi")
+    state = _kept(status.documents_at(docs.join(ids, "document_id", "left_semi"), edges, [as_of]), "state")
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("q"), T.query_terms(F.col("query")).alias("terms"))
+    live = cands.join(state.where("is_effective").select("document_id"), "document_id").join(q, "query_id")
+    heading = F.col("heading") if "heading" in provs.columns else F.lit("")
+    relevant = _kept(provs.join(live.select("document_id").distinct(), "document_id", "left_semi"), "provisions")
+    scored = (live.join(relevant.select("provision_id", "document_id", "article", "clause", "content", heading.alias("heading")), "document_id")
+              .withColumn("score", provision_score(F.col("content"), F.col("heading"), F.col("terms"), F.col("q"),
                                                    _has(F.col("title"), F.col("q")) | _has(F.col("document_number"), F.col("q"))))
               .where("score > 0"))
-    relevant = provs.join(scored.select("provision_id").distinct(), "provision_id", "left_semi")
-    prov_state = status.provisions_at(relevant, state, rels, [as_of]).where("is_effective").select("provision_id")
+    prov_state = status.provisions_at(relevant, state, edges, [as_of]).where("is_effective").select("provision_id")
     lane = F.when(F.col("document_nature") == "official_guidance", "guidance").otherwise("rules")
     ranked = scored.join(prov_state, "provision_id").withColumn("lane", lane).withColumn(
         "total_score", F.round(F.col("doc_score") * 0.4 + F.col("score") * 0.6, 6))

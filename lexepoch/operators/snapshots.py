@@ -37,17 +37,21 @@ def changes(log: DataFrame) -> DataFrame:
 
 
 def apply(log: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, audit): incoming snapshots that are new or differ from their source's last one.
+    """(rows to append, audit): incoming snapshots that are new or differ from the one before of their source.
 
-    Applying the same input again appends nothing. Unchanged sources are only touched (audit event CHECKED).
+    Several of one source are taken by version and snapshot_id, each against the one before, and numbered on from the
+    log's last version. Applying the same input again appends nothing where a batch has one row per source. Unchanged
+    snapshots are only touched (audit event CHECKED); a null hash says nothing and keeps the old one.
     """
     last = log.groupBy("source_id").agg(F.max_by(F.struct(*HASHES), "version").alias("old"), F.max("version").alias("old_version"))
     j = incoming.join(last, "source_id", "left")
-    new = F.col("old_version").isNull()
-    differ = reduce(lambda a, b: a | b, [F.col(h).isNotNull() & ~F.col(h).eqNullSafe(F.col(f"old.{h}")) for h in HASHES])
+    order = Window.partitionBy("source_id").orderBy("version", "snapshot_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("old_version").isNull() & (F.row_number().over(order) == 1)
+    differ = reduce(lambda a, b: a | b, [F.col(h).isNotNull() & ~F.col(h).eqNullSafe(F.coalesce(F.last(h, True).over(before), F.col(f"old.{h}"))) for h in HASHES])
     event = F.when(new, "SOURCE_CREATED").when(differ, "SOURCE_CHANGED").otherwise("CHECKED")
     tagged = j.withColumn("event", event)
-    append = tagged.where("event <> 'CHECKED'").withColumn("version", F.coalesce(F.col("old_version"), F.lit(0)) + 1)
+    append = tagged.where("event <> 'CHECKED'").withColumn("version", F.coalesce(F.col("old_version"), F.lit(0)) + F.row_number().over(order))
     return append.select(*incoming.columns), tagged.select("source_id", "snapshot_id", "event")
 
 

@@ -33,12 +33,16 @@ def active_edges(rels: DataFrame, dates: list[str]) -> DataFrame:
     return at_dates(rels, dates).where(within(F.col("as_of"), F.col("effective_from"), F.col("effective_to")))
 
 
-def documents_at(docs: DataFrame, rels: DataFrame, dates: list[str]) -> DataFrame:
-    """(document_id, as_of, status, is_effective, warning, affecting): affecting lists the source documents of active edges."""
+def documents_at(docs: DataFrame, rels: DataFrame, dates: list[str], with_edges: bool = False) -> DataFrame:
+    """(document_id, as_of, status, is_effective, warning, n_affecting): how many active edges bear on the document.
+
+    With ``with_edges`` a last column, affecting, lists them with their source documents; it grows with the edges of
+    one document, so it is made on request only.
+    """
+    edges = [F.sort_array(F.collect_list(F.struct("relationship_type", "source_document_id", "effective_from"))).alias("edges")] if with_edges else []
     flags = active_edges(rels.where(F.col("relationship_type").isin(*AFFECTING)), dates).groupBy(
         F.col("target_document_id").alias("document_id"), "as_of").agg(
-        *[F.bool_or(F.col("relationship_type") == t).alias(t) for t in AFFECTING],
-        F.sort_array(F.collect_list(F.struct("relationship_type", "source_document_id", "effective_from"))).alias("edges"))
+        *[F.bool_or(F.col("relationship_type") == t).alias(t) for t in AFFECTING], F.count(F.lit(1)).alias("n"), *edges)
     base = at_dates(docs.select("document_id", "document_nature", "effective_from", "effective_to"), dates)
     joined = base.join(flags, ["document_id", "as_of"], "left")
     day = F.col("as_of")
@@ -53,7 +57,8 @@ def documents_at(docs: DataFrame, rels: DataFrame, dates: list[str]) -> DataFram
     reached = F.col("status").isin("repealed", "replaced", "suspended", "partially_effective", "effective")
     return joined.withColumn("status", status).select(
         "document_id", "as_of", "status", F.col("status").isin("effective", "partially_effective").alias("is_effective"),
-        warning.alias("warning"), F.when(reached, F.col("edges")).alias("affecting"))
+        warning.alias("warning"), F.when(reached, F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_affecting"),
+        *([F.when(reached, F.col("edges")).alias("affecting")] if with_edges else []))
 
 
 def partial_repeals(provs: DataFrame, rels: DataFrame, dates: list[str]) -> DataFrame:

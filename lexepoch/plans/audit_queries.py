@@ -117,13 +117,13 @@ _A8 = with_views("""SELECT 'match_rate' AS gate, 98.0 AS target, r AS actual, r
 def c21_backfill(spark: SparkSession, sf: str) -> DataFrame:
     d = X.x_docs(spark, sf).withColumn("issued_date", F.when(F.col("document_id") % 4 != 0, F.col("issued_date"))).withColumn(
         "title", F.when(F.col("document_id") % 8 == 0, F.lit("Không rõ")).otherwise(F.concat("title", F.lit(" năm 2019"))))
-    e = X.x_evid(spark, sf).where("document_id % 3 = 0")
+    e = verify.admissible(X.x_evid(spark, sf))
     return audit.backfill(d, e, 1990).select("document_id", "issued_date", "imputed")
 
 
 _C21 = with_views("""SELECT d.document_id, coalesce(CASE WHEN d.document_id % 4 <> 0 THEN d.issued_date END, said, CASE WHEN d.document_id % 8 = 0 THEN DATE '1990-01-01' ELSE DATE '2019-01-01' END) AS issued_date,
   d.document_id % 4 = 0 AND said IS NULL AS imputed FROM x_docs d LEFT JOIN (SELECT document_id, min(CAST(asserted_value AS DATE)) AS said FROM x_evid
-  WHERE field_name = 'issued_date' AND document_id % 3 = 0 GROUP BY document_id) s ON s.document_id = d.document_id""")
+  WHERE field_name = 'issued_date' AND NOT is_quarantined AND environment = 'production' AND evidence_origin <> 'synthetic_fixture' GROUP BY document_id) s ON s.document_id = d.document_id""")
 
 
 def _bad_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,13 +231,13 @@ _A17 = with_views("""SELECT CASE WHEN n IS NULL THEN 'metadata_only' WHEN n = 1
 
 
 def a18_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.x_docs(spark, sf).where("document_id % 20 <> 0").withColumn("canonical_id", F.concat_ws("|", "issuer_name", F.col("issued_date").cast("string")))
+    d = X.x_docs(spark, sf).where("document_nature <> 'draft'").withColumn("canonical_id", F.concat_ws("|", "issuer_name", F.col("issued_date").cast("string")))
     return audit.domain_integrity(d, X.x_srcs(spark, sf))
 
 
-_A18 = with_views("""SELECT (SELECT count(*) FROM x_docs WHERE document_id % 20 <> 0 AND document_id NOT IN (SELECT document_id FROM x_srcs)) AS orphan_documents,
-  (SELECT count(*) FROM (SELECT issuer_name, issued_date FROM x_docs WHERE document_id % 20 <> 0 GROUP BY issuer_name, issued_date HAVING count(*) > 1)) AS duplicate_canonical_ids,
-  (SELECT count(*) FROM x_srcs WHERE document_id % 20 = 0) AS sources_without_document""")
+_A18 = with_views("""SELECT (SELECT count(*) FROM x_docs WHERE document_nature <> 'draft' AND document_id NOT IN (SELECT document_id FROM x_srcs)) AS orphan_documents,
+  (SELECT count(*) FROM (SELECT issuer_name, issued_date FROM x_docs WHERE document_nature <> 'draft' GROUP BY issuer_name, issued_date HAVING count(*) > 1)) AS duplicate_canonical_ids,
+  (SELECT count(*) FROM x_srcs WHERE document_id NOT IN (SELECT document_id FROM x_docs WHERE document_nature <> 'draft')) AS sources_without_document""")
 
 
 def a19_ingestion(spark: SparkSession, sf: str) -> DataFrame:

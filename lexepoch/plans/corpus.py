@@ -24,7 +24,9 @@ def process(items: DataFrame) -> dict[str, DataFrame]:
     parsed.withColumn("canonical_id", T.canonical_id(F.col("document_type"), F.col("document_number"), F.col("issued_date"), F.concat_ws("|", "title", "source_id"))).write.parquet(path)
     named = spark.read.parquet(path)  # parsed once: all tables below come from it
     docs, srcs = canonical.merge(named, named.select("document_id", "source_id", "source_authority"))
-    provs = segment.provisions(docs).withColumn("provision_id", F.xxhash64("document_id", "sort_key"))
+    cut = new_path(spark, "provisions")
+    segment.provisions(docs).withColumn("provision_id", F.xxhash64("document_id", "sort_key")).write.parquet(cut)
+    provs = spark.read.parquet(cut)  # segmented once: evidence reads them, too
     asserts = named.join(srcs.select("source_id", F.col("document_id").alias("kept")), "source_id").select(
         F.col("kept").alias("document_id"), "source_id", "source_authority", "document_number", "issued_date", "effective_from", F.lit(None).cast("date").alias("effective_to"))
     return {"documents": docs, "provisions": provs, "relationships": segment.resolve(segment.relationships(docs), docs),
@@ -32,12 +34,16 @@ def process(items: DataFrame) -> dict[str, DataFrame]:
 
 
 def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document from one or two sources, a few without a text; the second states another date now and then."""
+    """Every document from one or two sources, with up to three articles of two clauses each, a few without a text; the
+    second source states another date now and then."""
     from .text_queries import _texts
     d = _texts(spark, sf)
     i = F.col("document_id")
     copies = d.withColumn("copy", F.explode(F.when(i % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    text = F.when(i % 50 == 49, F.lit("")).otherwise(F.when((F.col("copy") == 1) & (i % 12 == 0), F.regexp_replace("text", "năm ([0-9]{4})\nVăn", "năm 1980\nVăn")).otherwise(F.col("text")))
+    article = lambda n: F.concat(F.lit("\nĐiều "), n.cast("string"), F.lit(". Nội dung\n1. Khoản một\n2. Khoản hai"))
+    articles = F.when(i % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(1), (i % 4).cast("int")), article), "")).otherwise("")
+    stated = F.when((F.col("copy") == 1) & (i % 12 == 0), F.regexp_replace("text", "năm ([0-9]{4})\nVăn", "năm 1980\nVăn")).otherwise(F.col("text"))
+    text = F.when(i % 50 == 49, F.lit("")).otherwise(F.concat(stated, articles))
     items = copies.select((i * 2 + F.col("copy")).alias("document_id"), "title", text.alias("text"), (i * 2 + F.col("copy")).alias("source_id"), F.lit("tier_a").alias("source_authority"))
     out = process(items)
     n = out["provisions"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_provisions"))
@@ -47,7 +53,7 @@ def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 _CODE = "CASE document_id % 6 WHEN 0 THEN 'LUAT' WHEN 1 THEN 'ND' WHEN 2 THEN 'TT' WHEN 3 THEN 'QD' WHEN 4 THEN 'CV' ELSE 'TB' END"
 _C29 = with_views(f"""SELECT document_id * 2 AS document_id, 'VN:' || {_CODE} || ':' || year(issued_date) || ':' || document_id || '-' || year(issued_date) || '-ND-CP' AS canonical_id,
-  1 AS n_provisions, CASE WHEN document_id % 3 = 0 THEN 2 ELSE 1 END AS n_sources, CASE WHEN document_id % 12 = 0 AND effective_from IS NOT NULL THEN 'conflicting'
+  CASE WHEN document_id % 4 = 0 THEN 1 ELSE 3 * (document_id % 4) END AS n_provisions, CASE WHEN document_id % 3 = 0 THEN 2 ELSE 1 END AS n_sources, CASE WHEN document_id % 12 = 0 AND effective_from IS NOT NULL THEN 'conflicting'
     WHEN effective_from IS NULL THEN 'single_source_verified' WHEN document_id % 3 = 0 THEN 'cross_verified' ELSE 'single_source_verified' END AS status
   FROM x_docs WHERE document_id % 50 <> 49""")
 

@@ -29,9 +29,9 @@ _NORM = "translate(upper({}), 'Đ', 'D')"
 _SEARCH = [_QSQL,
            ("q", rf"""SELECT query_id, lower(trim(query)) AS q, nullif({_NORM.format("regexp_extract(lower(trim(query)), '([0-9]+/[0-9]{4}/[\\p{L}0-9_.-]+)', 1)".replace(chr(92) * 2, chr(92)))}, '') AS qn,
   list_filter(regexp_split_to_array(lower(trim(query)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS qt FROM qs WHERE regexp_matches(query, '[\p{{L}}\p{{N}}]')"""),
-           ("pm", """SELECT query_id, document_id, article, content, row_number() OVER (PARTITION BY query_id, document_id ORDER BY sort_key, provision_id) AS n
+           ("pm", """SELECT query_id, document_id, article, heading, content, row_number() OVER (PARTITION BY query_id, document_id ORDER BY sort_key, provision_id) AS n
   FROM x_provs p JOIN q ON contains(lower(p.content), q.q)"""),
-           ("tops", """SELECT query_id, document_id, string_agg('[' || article || '] ' || substr(content, 1, 200) || '...', ' | ' ORDER BY n) AS snippets FROM pm WHERE n <= 2 GROUP BY query_id, document_id"""),
+           ("tops", """SELECT query_id, document_id, string_agg('[' || article || coalesce(' - ' || heading, '') || '] ' || substr(content, 1, 200) || '...', ' | ' ORDER BY n) AS snippets FROM pm WHERE n <= 2 GROUP BY query_id, document_id"""),
            ("dd", rf"""SELECT *, {_NORM.format('document_number')} AS nn, regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+') AS dt FROM x_docs"""),
            ("hit", """SELECT q.query_id, d.document_id FROM dd d JOIN q ON d.nn = q.qn OR contains(lower(d.title), q.q) OR len(list_filter(q.qt, lambda x: NOT list_contains(d.dt, x))) = 0
   UNION SELECT query_id, document_id FROM tops"""),
@@ -43,6 +43,18 @@ _C15 = with_views("""SELECT s.query_id, rank, s.document_id, document_number, do
   LEFT JOIN tops t ON t.query_id = s.query_id AND t.document_id = s.document_id WHERE rank <= 10""", *_SEARCH)
 
 
+def c15_one_question(spark: SparkSession, sf: str) -> DataFrame:
+    """One question alone, as a reader asks it."""
+    return search.search(_questions(spark).where("query_id = 3"), X.x_docs(spark, sf), X.x_provs(spark, sf), 10)
+
+
+_C15_ONE = _C15 + " AND s.query_id = 3"
+
+
+def c17_one_question(spark: SparkSession, sf: str) -> DataFrame:
+    return search.effective_rules(_questions(spark).where("query_id = 0"), X.x_docs(spark, sf), X.x_provs(spark, sf), X.x_rels(spark, sf), AS_OF, 10)
+
+
 def c17_effective_rules(spark: SparkSession, sf: str) -> DataFrame:
     return search.effective_rules(_questions(spark), X.x_docs(spark, sf), X.x_provs(spark, sf), X.x_rels(spark, sf), AS_OF, 10)
 
@@ -56,13 +68,15 @@ _RULES = [_ONE, _FLAGS, _STATE, _HITS, *_SEARCH,
           ("live", """SELECT c.*, s.as_of, q.q, list_filter(regexp_split_to_array(q.q, '\\s+'), lambda x: length(x) > 1) AS terms FROM cand c
   JOIN state s ON s.document_id = c.document_id AND s.status IN ('effective', 'partially_effective') JOIN q ON q.query_id = c.query_id"""),
           ("ps", """SELECT l.query_id, l.document_nature, l.score AS doc_score, p.*, l.as_of,
-  round(CASE WHEN contains(lower(content), l.q) THEN 3.0 ELSE 0 END + 0.5 * len(list_filter(l.terms, lambda x: contains(lower(content), x))) +
+  round(CASE WHEN contains(lower(content), l.q) THEN 3.0 WHEN contains(lower(coalesce(heading, '')), l.q) THEN 2.5 ELSE 0 END + 0.5 * len(list_filter(l.terms, lambda x: contains(lower(content), x))) +
+    0.8 * len(list_filter(l.terms, lambda x: contains(lower(coalesce(heading, '')), x))) +
     CASE WHEN contains(lower(l.title), l.q) OR contains(lower(l.document_number), l.q) THEN 1.0 ELSE 0 END, 6) AS pscore
   FROM live l JOIN x_provs p ON p.document_id = l.document_id"""),
           ("rk", """SELECT *, CASE WHEN document_nature = 'official_guidance' THEN 'guidance' ELSE 'rules' END AS lane, CAST(round(0.4 * doc_score + 0.6 * pscore, 6) AS DOUBLE) AS total_score FROM ps
   WHERE pscore > 0 AND status_override IS NULL AND (valid_from IS NULL OR valid_from <= as_of) AND (valid_to IS NULL OR as_of <= valid_to)
     AND provision_id NOT IN (SELECT provision_id FROM hits)"""),
           ("topk", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY total_score DESC, provision_id) AS rank FROM rk) WHERE rank <= 10")]
+_C17_ONE = with_views("SELECT query_id, lane, rank, provision_id, document_id, article, clause, total_score FROM topk WHERE query_id = 0", *_RULES)
 _C17 = with_views("SELECT query_id, lane, rank, provision_id, document_id, article, clause, total_score FROM topk", *_RULES)
 
 
@@ -153,6 +167,6 @@ _C28 = with_views("""SELECT document_id, as_of, status, b AS blockers, b = '' AS
   FROM state s LEFT JOIN verd v ON v.document_id = s.document_id LEFT JOIN (SELECT document_id, count(*) AS n FROM x_evid WHERE NOT is_quarantined AND environment = 'production'
     AND evidence_origin <> 'synthetic_fixture' GROUP BY document_id) e ON e.document_id = s.document_id)""", _ONE, _FLAGS, _STATE, _CONF, _PER, _AG, _VERD)
 
-QUERIES = {f.__name__: f for f in (c15_search, c17_effective_rules, k3_answerability, c14_latest_updates, p2_window, p1_filters, j2_by_topic, p3_resolve, j3_relationships, c16_detail, c28_contract)}
-ORACLE = {"c15_search": _C15, "c17_effective_rules": _C17, "k3_answerability": _K3, "c14_latest_updates": _C14, "p2_window": _P2, "p1_filters": _P1, "j2_by_topic": _J2,
+QUERIES = {f.__name__: f for f in (c15_search, c15_one_question, c17_effective_rules, c17_one_question, k3_answerability, c14_latest_updates, p2_window, p1_filters, j2_by_topic, p3_resolve, j3_relationships, c16_detail, c28_contract)}
+ORACLE = {"c15_search": _C15, "c15_one_question": _C15_ONE, "c17_effective_rules": _C17, "c17_one_question": _C17_ONE, "k3_answerability": _K3, "c14_latest_updates": _C14, "p2_window": _P2, "p1_filters": _P1, "j2_by_topic": _J2,
           "p3_resolve": _P3, "j3_relationships": _J3, "c16_detail": _C16, "c28_contract": _C28}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import snapshots
@@ -29,15 +30,15 @@ def s2_feed_items(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("page_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int"))
     item = F.concat(F.lit("<item><title>Nghị định số "), i.cast("string"), F.lit("/2024/NĐ-CP &amp; phụ lục</title>"),
-                    F.when(i % 7 != 0, F.concat(F.lit("<link>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</link>"))).otherwise(""),
+                    F.when(i % 7 != 0, F.concat(F.lit("<link>"), F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "=", "&#x3D;"), F.lit("</link>"))).otherwise(""),
                     F.when(i % 2 == 0, F.concat(F.lit("<guid isPermaLink=\"false\">g-"), i.cast("string"), F.lit("</guid>"))).otherwise(""),
                     F.lit("<pubDate>Mon, "), F.date_format(day, "d MMM yyyy"), F.lit(" 08:00:00 GMT</pubDate></item>"))
     feeds = p.groupBy((i % 20).cast("string").alias("source_name")).agg(
         F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("xml"))
-    return landed.feed_items(feeds).select("source_name", "item_id", "title", "published", "document_number")
+    return landed.feed_items(feeds).select("source_name", "item_id", "url", "title", "published", "document_number")
 
 
-_S2 = """SELECT CAST(page_id % 20 AS VARCHAR) AS source_name, CASE WHEN page_id % 2 = 0 THEN 'g-' || page_id ELSE replace(url, '&', '&amp;') END AS item_id,
+_S2 = """SELECT CAST(page_id % 20 AS VARCHAR) AS source_name, CASE WHEN page_id % 2 = 0 THEN 'g-' || page_id ELSE url END AS item_id, url,
   'Nghị định số ' || page_id || '/2024/NĐ-CP & phụ lục' AS title, CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER) AS DATE) AS published,
   page_id || '/2024/NĐ-CP' AS document_number FROM pages WHERE page_id % 7 <> 0"""
 
@@ -162,12 +163,12 @@ _C7 = with_views("""SELECT i.source_name, item_id, published FROM items i LEFT J
 
 def j14_match_sources(spark: SparkSession, sf: str) -> DataFrame:
     p = X.load(spark, sf, "pages").select(F.lit("site").alias("source_name"), "url", "page_id")
-    known = p.where("page_id % 2 = 0").select("source_name", "url", F.col("page_id").alias("source_id"))
+    known = p.where("url LIKE '%1%'").select("source_name", "url", F.col("page_id").alias("source_id"))
     return snapshots.match_sources(p, known).select("page_id", "source_id", "is_new")
 
 
 _J14 = """SELECT p.page_id, CASE WHEN k.id IS NULL THEN sha256('site|' || p.url) ELSE CAST(k.id AS VARCHAR) END AS source_id, k.id IS NULL AS is_new FROM pages p
-  LEFT JOIN (SELECT url, min(page_id) AS id FROM pages WHERE page_id % 2 = 0 GROUP BY url) k ON k.url = p.url"""
+  LEFT JOIN (SELECT url, min(page_id) AS id FROM pages WHERE url LIKE '%1%' GROUP BY url) k ON k.url = p.url"""
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------
@@ -219,6 +220,48 @@ def t4_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 _T4 = "SELECT event_id FROM events"
 
 
+def t5_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Two landings; the second one's write fails after it has begun, and the next run repeats that batch: no row is lost or doubled."""
+    path = new_path(spark, "t5")
+    rows, tries = X.load(spark, sf, "events").select("event_id", "event_type"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}-out/batch={number}")
+        tries.append(number)
+        if tries == [0, 1]:
+            raise RuntimeError("lost while writing")
+
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{path}-in")
+        for _ in range(2):
+            try:
+                streams.run(streams.intake(spark, f"{path}-in", "event_id long, event_type string"), f"{path}-checkpoint", write=write)
+                break
+            except StreamingQueryException:
+                pass
+    return spark.read.schema("event_id long, event_type string").parquet(f"{path}-out/batch=*")
+
+
+_T5 = "SELECT event_id, event_type FROM events"
+
+
+def t7_drift_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of the documents by source, some without one, some sources with gaps: written or diverted."""
+    d, i = X.load(spark, sf, "documents"), F.col("doc_id")
+    source = F.when(F.col("lang") == "en", F.col("source"))
+    gap = F.coalesce(source, F.lit("none")).isin(*_GAPS) & (i % 4 == 0)
+    batch = d.select("doc_id", source.alias("source"), i.cast("string").alias("document_number"), F.lit("t").alias("title"), F.when(~gap, F.lit("2024-01-01")).alias("effective_date"), F.lit("x").alias("issuer"))
+    path = new_path(spark, "t7")
+    streams.drift_gate(batch, "source", lambda df: df.write.parquet(f"{path}/lane=written"), lambda df: df.write.parquet(f"{path}/lane=diverted"))
+    return spark.read.schema("doc_id long, source string, lane string").option("basePath", path).parquet(f"{path}/lane=*")
+
+
+_GAPS = ("none", "src3", "src7")
+_T7 = """SELECT doc_id, s AS source, CASE WHEN bad * 50 > n OR (bad > 1 AND n > 10) THEN 'diverted' ELSE 'written' END AS lane FROM (SELECT doc_id, s, count(*) OVER w AS n,
+  sum(CASE WHEN coalesce(s, 'none') IN ('none', 'src3', 'src7') AND doc_id % 4 = 0 THEN 1 ELSE 0 END) OVER w AS bad
+  FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN source END AS s FROM documents) WINDOW w AS (PARTITION BY s))"""
+
+
 def t6_due(spark: SparkSession, sf: str) -> DataFrame:
     q = X.load(spark, sf, "events").select(F.col("event_id").alias("item_id"), (F.col("event_id") % 4).alias("attempts"), F.col("ts").alias("next_retry_at"),
                                            F.when(F.col("event_id") % 5 == 0, F.col("ts") + F.expr("INTERVAL '10' DAY")).alias("lease_until"))
@@ -279,8 +322,8 @@ _T10 = with_views("SELECT source_name, item_id, published FROM items WHERE publi
 
 QUERIES = {f.__name__: f for f in (
     s1_scan, s2_feed_items, s3_listing_links, s4_attachments, s5_html_properties, s6_xml_records, s7_xml_history, s11_object_keys, p6_admit_urls, w7_checkpoints, c7_admitted_items,
-    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t6_due, f27_next_retry, t8_alert_windows, t8_stream_windows, t9_stream_updates, t10_reconcile)}
+    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t5_resume, t7_drift_gate, t6_due, f27_next_retry, t8_alert_windows, t8_stream_windows, t9_stream_updates, t10_reconcile)}
 ORACLE = {
     "s1_scan": _S1, "s2_feed_items": _S2, "s3_listing_links": _S3, "s4_attachments": _S4, "s5_html_properties": _S5, "s6_xml_records": _S6, "s7_xml_history": _S7, "s11_object_keys": _S11,
     "p6_admit_urls": _P6, "w7_checkpoints": _W7, "c7_admitted_items": _C7, "j14_match_sources": _J14, "t1_intake": _T1, "t2_admit": _C7, "t3_snapshot_changes": _T3, "t4_dedupe": _T4,
-    "t6_due": _T6, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t9_stream_updates": _T9, "t10_reconcile": _T10}
+    "t5_resume": _T5, "t7_drift_gate": _T7, "t6_due": _T6, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t9_stream_updates": _T9, "t10_reconcile": _T10}

@@ -13,8 +13,7 @@ _DATES_SQL = ("dates", " UNION ALL ".join(f"SELECT DATE '{d}' AS as_of" for d in
 
 
 def c8_document_status(spark: SparkSession, sf: str) -> DataFrame:
-    out = status.documents_at(X.x_docs(spark, sf), X.x_rels(spark, sf), DATES)
-    return out.withColumn("n_affecting", F.greatest(F.coalesce(F.size("affecting"), F.lit(0)), F.lit(0))).drop("affecting")
+    return status.documents_at(X.x_docs(spark, sf), X.x_rels(spark, sf), DATES)
 
 
 _FLAGS = ("flags", """SELECT r.target_document_id AS document_id, d.as_of, max(CASE WHEN relationship_type = 'repeals' THEN 1 ELSE 0 END) AS rp,
@@ -158,6 +157,15 @@ def p4_admissible_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return verify.admissible(X.x_evid(spark, sf)).select("document_id", "source_id", "field_name", "asserted_value")
 
 
+def f28_locator_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence with locators: JSON with flags, JSON without, and plain text; flagged and synthetic evidence may not speak."""
+    s = F.col("source_id")
+    locator = (F.when(s % 7 == 0, F.lit('{"is_test_fixture": true}')).when(s % 5 == 0, F.lit('{"page": 3, "is_quarantined": true}'))
+               .when(s % 3 == 0, F.lit("Điều 1")).when(s % 2 == 0, F.lit('{"is_quarantined": false}')))
+    e = X.x_evid(spark, sf).withColumn("evidence_locator", locator).withColumn("evidence_type", F.when(s % 11 == 0, F.lit("synthetic_conflict")))
+    return verify.admissible(e).select("document_id", "source_id", "field_name")
+
+
 _ADM = ("adm", "SELECT * FROM x_evid WHERE NOT is_quarantined AND environment = 'production' AND evidence_origin IN ('live_official', 'imported_official')")
 _P4 = with_views("SELECT document_id, source_id, field_name, asserted_value FROM adm", _ADM)
 
@@ -278,12 +286,13 @@ def j11_provision_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     c8_document_status, c9_provision_status, j8_active_edges, j9_partial_repeals, j10_versions_as_of, w4_version_chain, c24_compare_versions, c26_known_events,
-    c10_conflicts, c13_verdicts, p4_admissible_evidence, w3_first_values, c13_corpus, a12_unique_conflicts, p9_active_conflicts, p10_candidates, c18_dossiers,
+    c10_conflicts, c13_verdicts, p4_admissible_evidence, f28_locator_flags, w3_first_values, c13_corpus, a12_unique_conflicts, p9_active_conflicts, p10_candidates, c18_dossiers,
     c19_claims, c25_verify_claims, a11_sources, c20_quarantine, c3_evidence, c4_record_evidence, j11_provision_evidence)}
 ORACLE = {
     "c8_document_status": _C8, "c9_provision_status": _C9, "j8_active_edges": _J8, "j9_partial_repeals": _J9, "j10_versions_as_of": _J10, "w4_version_chain": _W4,
     "c24_compare_versions": _C24, "c26_known_events": _C26, "c10_conflicts": with_views(f"SELECT {_COLS} FROM conf", _CONF), "c13_verdicts": _C13,
-    "p4_admissible_evidence": _P4, "w3_first_values": _W3, "c13_corpus": _CORPUS, "a12_unique_conflicts": with_views(f"SELECT {_COLS} FROM uni", _CONF, _UNI),
+    "p4_admissible_evidence": _P4,
+    "f28_locator_flags": with_views("SELECT document_id, source_id, field_name FROM adm WHERE source_id % 7 <> 0 AND source_id % 5 <> 0 AND source_id % 11 <> 0", _ADM), "w3_first_values": _W3, "c13_corpus": _CORPUS, "a12_unique_conflicts": with_views(f"SELECT {_COLS} FROM uni", _CONF, _UNI),
     "p9_active_conflicts": with_views(f"SELECT {_COLS} FROM conf WHERE source_a % 5 <> 0 AND source_b % 7 <> 0", _CONF),
     "p10_candidates": with_views("SELECT document_id, issued_date FROM x_docs WHERE verification_status = 'single_source_verified' AND document_nature = 'normative_legal_document' ORDER BY issued_date DESC, document_id LIMIT 50"),
     "c18_dossiers": _C18, "c19_claims": _C19, "c25_verify_claims": _C25,

@@ -120,6 +120,72 @@ _U3 = """SELECT doc_id, topic FROM (SELECT doc_id, 'law_of_the' AS topic FROM do
     OR contains(lower(text), 'und') OR contains(lower(text), 'license') OR contains(lower(text), '@'))"""
 
 
+def f5_natures(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and texts that say every nature: the first rule that holds decides."""
+    d = X.x_docs(spark, sf)
+    title = F.concat(X.pick(F.col("document_id") % 8, _OPENINGS), "title")
+    return d.select("document_id", T.document_nature(title, F.col("document_type"), F.when(F.col("document_id") % 8 == 7, F.lit("Kính gửi. HƯỚNG DẪN thực hiện")).otherwise(F.lit(""))).alias("nature"))
+
+
+_OPENINGS = ["Lấy ý kiến về dự thảo ", "Dự thảo ", "Tờ trình về ", "Văn bản hợp nhất ", "Đính chính ", "Ban hành quy chế của ", "", ""]
+_F5 = with_views("""SELECT document_id, CASE document_id % 8 WHEN 0 THEN 'consultation' WHEN 1 THEN 'draft' WHEN 2 THEN 'proposal' WHEN 3 THEN 'consolidated_document' WHEN 4 THEN 'correction'
+  ELSE CASE WHEN document_type IN ('law', 'decree', 'circular') THEN 'normative_legal_document' WHEN document_type = 'official_letter' OR document_id % 8 = 7 THEN 'official_guidance'
+    WHEN document_type = 'decision' THEN CASE WHEN document_id % 8 = 5 THEN 'normative_legal_document' ELSE 'administrative_document' END ELSE 'other' END END AS nature FROM x_docs""")
+
+
+def f6_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of the fourteen topics in turn, by one of its words."""
+    d = X.x_docs(spark, sf)
+    words = X.pick(F.col("document_id") % len(T.TOPIC_RULES), [w[-1] for _, w in T.TOPIC_RULES])
+    return d.select("document_id", F.array_join(T.topics(F.concat(F.lit("Về việc "), F.upper(words))), ",").alias("topics"))
+
+
+_F6 = with_views("SELECT document_id, " + _cases(f"document_id % {len(T.TOPIC_RULES)}", [
+    "'import_export_duty,customs'" if name in ("import_export_duty", "customs") else f"'{name}'" for name, _ in T.TOPIC_RULES]) + " AS topics FROM x_docs")
+
+
+def f10_issuers(spark: SparkSession, sf: str) -> DataFrame:
+    """Issuers by what is given, by the title, by the number's ending, and the other body."""
+    d, i = X.x_docs(spark, sf), F.col("document_id")
+    number = F.concat(i.cast("string"), F.lit("/2019"), X.pick(i % 7, ["/NĐ-CP", "/QĐ-TTg", "/TT-BTC", "/QH14", "/TT-NHNN", "/TCT-CS", "/VB"]))
+    given = F.when(i % 3 == 0, F.lit("  ")).when(i % 11 == 1, F.col("issuer_name"))
+    title = F.when(i % 5 == 4, F.lit("Thông tư của Bộ Tài chính")).otherwise(F.lit("Văn bản"))
+    return d.select("document_id", T.corpus_issuer(given, title, number).alias("issuer"))
+
+
+_BY_NUMBER = _cases("document_id % 7", ["'Chính phủ'", "'Thủ tướng Chính phủ'", "'Bộ Tài chính'", "'Quốc hội'", "'Ngân hàng Nhà nước'", "'Tổng cục Thuế'", "'Cơ quan ban hành khác'"])
+_F10 = with_views(f"""SELECT document_id, CASE WHEN document_id % 3 <> 0 AND document_id % 11 = 1 AND issuer_name IS NOT NULL THEN issuer_name
+  WHEN document_id % 5 = 4 AND document_id % 7 NOT IN (0, 1) THEN 'Bộ Tài chính' ELSE {_BY_NUMBER} END AS issuer FROM x_docs""")
+
+
+def f17_object_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of each document's fields, given in another order than that of their names."""
+    d = X.x_docs(spark, sf)
+    return d.select("document_id", T.object_hash(F.create_map(F.lit("title"), "title", F.lit("number"), "document_number", F.lit("nature"), "document_nature")).alias("object_hash"))
+
+
+_F17 = with_views("""SELECT document_id, sha256('{"nature":"' || document_nature || '","number":"' || document_number || '","title":"' || title || '"}') AS object_hash FROM x_docs""")
+
+
+def f18_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Years by issue date, by publication, by either form of number, and none."""
+    d, i = X.x_docs(spark, sf), F.col("document_id")
+    number = F.when(i % 5 == 2, F.concat(i.cast("string"), F.lit("/1987/QH"))).when(i % 5 == 3, F.lit("CV-1990-7")).when(i % 5 == 4, F.lit("12/QĐ"))
+    return d.select("document_id", T.extract_year(number, F.when(i % 5 == 0, F.col("issued_date")), F.when(i % 5 == 1, F.col("effective_from"))).alias("year"))
+
+
+_F18 = with_views("""SELECT document_id, CASE document_id % 5 WHEN 0 THEN coalesce(CAST(year(issued_date) AS VARCHAR), 'UNKNOWN') WHEN 1 THEN coalesce(CAST(year(effective_from) AS VARCHAR), 'UNKNOWN')
+  WHEN 2 THEN '1987' WHEN 3 THEN '1990' ELSE 'UNKNOWN' END AS year FROM x_docs""")
+
+
+def f26_local_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The legal date of every event's moment, which is the day after in UTC's last seven hours."""
+    return X.load(spark, sf, "events").select("event_id", T.local_today(F.col("ts").cast("timestamp")).alias("local_date"))
+
+
+_F26 = "SELECT event_id, CAST(ts + INTERVAL 7 HOUR AS DATE) AS local_date FROM events"
+
+
 # -- segmentation and relationships: texts composed from the views, parsed back ---------------------------------------
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
     """One text per document: an article heading per provision, a clause line where the provision has a clause."""
@@ -178,20 +244,20 @@ def c5_dedupe_match(spark: SparkSession, sf: str) -> DataFrame:
     """Each document against those with smaller ids: by a made-up number, its date, its text, its first line."""
     d = X.load(spark, sf, "documents")
     base = d.select("doc_id", F.concat(F.col("source"), F.lit("/"), (F.col("n_chars") % 50).cast("string")).alias("document_number"),
-                    (F.col("doc_id") % 7).cast("string").alias("issued_date"), F.sha2("text", 256).alias("text_hash"), F.lit(None).cast("string").alias("title_fp"))
-    cands = base.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "candidate_id")
-    docs = base.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "document_id")
-    return canonical.match(cands, docs).withColumn("signals", F.array_join("signals", ","))
+                    (F.col("doc_id") % 7).cast("string").alias("issued_date"), F.sha2("text", 256).alias("text_hash"),
+                    F.nullif(T.title_fingerprint(F.substring_index("text", "\n", 1)), F.lit("")).alias("title_fp"))
+    return canonical.match(base.withColumnRenamed("doc_id", "candidate_id"), base.withColumnRenamed("doc_id", "document_id"), earlier=True).withColumn("signals", F.array_join("signals", ","))
 
 
-_C5 = """WITH b AS (SELECT doc_id, source || '/' || (n_chars % 50) AS num, doc_id % 7 AS d, sha256(text) AS h FROM documents),
-p AS (SELECT c.doc_id AS candidate_id, x.doc_id AS document_id, c.num = x.num AS n, c.d = x.d AS i, c.h = x.h AS t,
-  least(1.0, CASE WHEN c.num = x.num THEN 0.5 ELSE 0 END + CASE WHEN c.d = x.d THEN 0.3 ELSE 0 END + CASE WHEN c.h = x.h THEN 0.2 ELSE 0 END) AS s
-  FROM b c JOIN b x ON c.num = x.num OR c.h = x.h WHERE c.doc_id % 2 = 1 AND x.doc_id % 2 = 0),
+_C5 = r"""WITH b AS (SELECT doc_id, source || '/' || (n_chars % 50) AS num, doc_id % 7 AS d, sha256(text) AS h,
+  nullif(trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}\s]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')), '') AS f FROM documents),
+p AS (SELECT c.doc_id AS candidate_id, x.doc_id AS document_id, c.num = x.num AS n, c.d = x.d AS i, c.h = x.h AS t, c.f = x.f AS tf,
+  least(1.0, CASE WHEN c.num = x.num THEN 0.5 ELSE 0 END + CASE WHEN c.d = x.d THEN 0.3 ELSE 0 END + CASE WHEN c.h = x.h THEN 0.2 ELSE 0 END + CASE WHEN c.f = x.f THEN 0.2 ELSE 0 END) AS s
+  FROM b c JOIN b x ON (c.num = x.num OR c.h = x.h) AND x.doc_id < c.doc_id),
 r AS (SELECT *, CASE WHEN s >= 0.7 THEN 0 ELSE 1 END AS lane, CASE WHEN s >= 0.7 THEN s ELSE 0.95 END AS score FROM p WHERE s >= 0.7 OR t),
 o AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY lane, score DESC, document_id) AS k FROM r)
 SELECT candidate_id, document_id, CAST(round(score, 6) AS DOUBLE) AS score, concat_ws(',', CASE WHEN n THEN 'document_number' END, CASE WHEN i THEN 'issued_date' END,
-  CASE WHEN t THEN 'text_hash' END) AS signals FROM o WHERE k = 1"""
+  CASE WHEN t THEN 'text_hash' END, CASE WHEN tf THEN 'title_fp' END) AS signals FROM o WHERE k = 1"""
 
 
 def j13_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,9 +361,9 @@ _S10 = with_views("""SELECT document_id, provision_id, content FROM x_provs WHER
   UNION ALL SELECT document_id, provision_id, upper(content) FROM x_provs WHERE document_id % 10 = 0 AND provision_id % 2 = 0""")
 
 QUERIES = {f.__name__: f for f in (
-    f11_metadata, f2_dates, f12_identities, f16_hashes, f19_page_text, f1_decoded, f20_tokens, u3_topics, c1_segment, c2_relationships, j12_resolved_edges, c5_dedupe_match,
+    f11_metadata, f5_natures, f6_topics, f10_issuers, f17_object_hashes, f18_years, f26_local_dates, f2_dates, f12_identities, f16_hashes, f19_page_text, f1_decoded, f20_tokens, u3_topics, c1_segment, c2_relationships, j12_resolved_edges, c5_dedupe_match,
     j13_merge, w6_changes, j6_current_snapshot, c6_snapshot_log, c23_idempotence, j15_integrity, a20_compare_datasets, s8_insert_ignore, s9_upsert, s10_replace_children)}
 ORACLE = {
-    "f11_metadata": _F11, "f2_dates": _F2, "f12_identities": _F12, "f16_hashes": _F16, "f19_page_text": _F19, "f1_decoded": _F1, "f20_tokens": _F20, "u3_topics": _U3,
+    "f11_metadata": _F11, "f5_natures": _F5, "f6_topics": _F6, "f10_issuers": _F10, "f17_object_hashes": _F17, "f18_years": _F18, "f26_local_dates": _F26, "f2_dates": _F2, "f12_identities": _F12, "f16_hashes": _F16, "f19_page_text": _F19, "f1_decoded": _F1, "f20_tokens": _F20, "u3_topics": _U3,
     "c1_segment": _C1, "c2_relationships": _C2, "j12_resolved_edges": _J12, "c5_dedupe_match": _C5, "j13_merge": _J13, "w6_changes": _W6, "j6_current_snapshot": _J6,
     "c6_snapshot_log": _C6, "c23_idempotence": _C23, "j15_integrity": _J15, "a20_compare_datasets": _A20, "s8_insert_ignore": _S8, "s9_upsert": _S9, "s10_replace_children": _S10}

@@ -34,11 +34,14 @@ def _tag(xml: Column, name: str) -> Column:
 
 
 def feed_items(xml: DataFrame) -> DataFrame:
-    """Items of RSS texts (source_name, xml): item_id is the guid or else the link; items without title or link are dropped."""
+    """Items of RSS texts (source_name, xml): item_id is the guid or else the link; items without title or link are dropped.
+
+    Entities, numeric ones too, are decoded in title, link and guid, so links are those of the pages.
+    """
     items = xml.select("source_name", F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<item(?:\s[^>]*)?>(.*?)</item>"), 1)).alias("i"))
     i = F.col("i")
     pub = F.regexp_extract(_tag(i, "pubDate"), r"([0-9]{1,2}) ([A-Za-z]{3}) ([0-9]{4})", 0)
-    found = items.select("source_name", T.named_entities(_tag(i, "title")).alias("title"), _tag(i, "link").alias("url"), _tag(i, "guid").alias("guid"),
+    found = items.select("source_name", T.decode_entities(_tag(i, "title")).alias("title"), T.decode_entities(_tag(i, "link")).alias("url"), T.decode_entities(_tag(i, "guid")).alias("guid"),
                          F.try_to_date(F.concat(F.when(F.length(pub) == 10, "0").otherwise(""), pub), "dd MMM yyyy").alias("published"))
     return found.where("title IS NOT NULL AND url IS NOT NULL").select(
         "source_name", F.coalesce("guid", "url").alias("item_id"), "title", "url", "published", T.document_number(F.col("title")).alias("document_number"))

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, or in a local folder of this session where that is unset."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a local folder, but only on a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lexepoch-")

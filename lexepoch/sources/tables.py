@@ -68,7 +68,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x_provs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, p = _lines(spark, sf_dir), load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    g, p = _lines(spark, sf_dir), load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     clause = F.when(F.col("supp") % 3 != 0, (F.col("supp") % 3).cast("string"))
     return g.join(p, g.part == p.p_partkey, "left").select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("provision_id"), F.col("l_orderkey").alias("document_id"),
@@ -76,6 +76,7 @@ def x_provs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("part") % 5 == 0, F.col("ship")).alias("valid_from"),
         F.when(F.col("part") % 7 == 0, F.date_add("ship", 365)).alias("valid_to"),
         F.when(F.col("part") % 11 == 0, F.lit("repealed")).alias("status_override"), F.col("p_name").alias("content"),
+        F.when(F.col("part") % 4 == 0, F.lit("Small ring")).when(F.col("part") % 4 == 1, F.col("p_type")).alias("heading"),
         F.concat(F.lpad(F.col("l_linenumber").cast("string"), 4, "0"), F.lit(".0000")).alias("sort_key"))
 
 
@@ -167,7 +168,7 @@ SQL_VIEWS = {
     "x_provs": f"""SELECT l_orderkey * 100 + l_linenumber AS provision_id, l_orderkey AS document_id, 'Điều ' || l_linenumber AS article,
   {_CLAUSE} AS clause, CASE WHEN part % 5 = 0 THEN ship END AS valid_from,
   CASE WHEN part % 7 = 0 THEN CAST(ship + 365 AS DATE) END AS valid_to, CASE WHEN part % 11 = 0 THEN 'repealed' END AS status_override,
-  p_name AS content, lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || '.0000' AS sort_key FROM x_lines LEFT JOIN part ON part = p_partkey""",
+  p_name AS content, CASE part % 4 WHEN 0 THEN 'Small ring' WHEN 1 THEN p_type END AS heading, lpad(CAST(l_linenumber AS VARCHAR), 4, '0') || '.0000' AS sort_key FROM x_lines LEFT JOIN part ON part = p_partkey""",
     "x_rels": f"""SELECT l_orderkey * 100 + l_linenumber AS relationship_id, l_orderkey AS source_document_id,
   (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM orders) AS target_document_id, {_case('part % 5', EDGE_TYPES)} AS relationship_type,
   ship AS effective_from, CASE WHEN supp % 2 = 0 THEN CAST(ship + 400 AS DATE) END AS effective_to,

@@ -103,10 +103,10 @@ def reschedule(queue: DataFrame, now: str) -> DataFrame:
 
 
 def drift_gate(batch: DataFrame, group: str, write: Callable[[DataFrame], None], divert: Callable[[DataFrame], None]) -> None:
-    """Groups of the real batch with a degraded circuit are diverted, the others written."""
+    """Groups of the real batch with a degraded circuit are diverted, the others written. Rows without a group are one group."""
     from ..operators.audit import drift
-    state = drift(batch, group).select(group, "circuit")
-    tagged = batch.join(state, group)
+    state = drift(batch, group).select(F.col(group).alias("_group"), "circuit")
+    tagged = batch.join(state, batch[group].eqNullSafe(F.col("_group"))).drop("_group")
     write(tagged.where("circuit = 'HEALTHY'").drop("circuit"))
     divert(tagged.where("circuit <> 'HEALTHY'").drop("circuit"))
 
