@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexepoch.functions import text as T
 from lexepoch.operators import audit, canonical, search, segment, snapshots, status, verify, versions
-from lexepoch.sources import landed, sinks
+from lexepoch.sources import landed, sinks, tables as X
 from lexepoch.sources.scratch import new_path
 from lexepoch.streaming import streams
 
@@ -220,3 +220,49 @@ def test_drift_gate_diverts_the_degraded(spark):
 
 def test_new_path_is_in_the_shared_folder(spark):
     assert new_path(spark, "a") != new_path(spark, "a")
+
+
+def test_search_plans_have_no_nested_loop_and_keys_find_the_same(spark, sf_dir, monkeypatch):
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["small ring", "red", "d", "5/", "thuế giá", "ng"])], "query_id int, query string")
+    docs, provs, rels = X.x_docs(spark, sf_dir), X.x_provs(spark, sf_dir), X.x_rels(spark, sf_dir)
+    found = search.search(q, docs, provs, 50)
+    rules = search.effective_rules(q, docs, provs, rels, "2000-07-01", 10)
+    for df in (found, rules):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    assert {r[0] for r in rows} == set(range(6))
+    monkeypatch.setattr(search, "FEW_KEYS", 2)
+    monkeypatch.setattr(search._keys_in, "__defaults__", (2,))
+    assert sorted(map(tuple, search.search(q, docs, provs, 50).collect())) == rows
+
+
+def test_headings_score_and_show(spark):
+    df = spark.createDataFrame([("a red ring", "Small ring", ["red", "ring"], "small ring"), ("b", None, ["red"], "small ring"), ("small ring", "Small ring", [], "small ring")],
+                               "content string, heading string, terms array<string>, q string")
+    got = [r.s for r in df.select(search.provision_score(F.col("content"), F.col("heading"), F.col("terms"), F.col("q"), F.lit(False)).alias("s")).collect()]
+    assert got == [2.5 + 0.5 + 0.5 + 0.8, 0.0, 3.0]
+    long = spark.range(1).select(T.snippet(F.lit("Điều 2"), F.lit("Phạm vi"), F.repeat(F.lit("x"), 300)).alias("s")).first().s
+    assert long == "[Điều 2 - Phạm vi] " + "x" * 200 + "..."
+
+
+def test_snapshots_of_one_batch_are_numbered_and_compared_in_turn(spark):
+    log = spark.createDataFrame([(1, 4, 10, "a")], "source_id long, version int, snapshot_id long, text string")
+    new = spark.createDataFrame([(1, 1, 11, "b"), (1, 2, 12, "b"), (1, 3, 13, "a"), (2, 1, 14, "z"), (2, 2, 15, "z")], log.schema)
+    append, audit_rows = snapshots.apply(snapshots.hashed(log), snapshots.hashed(new))
+    assert sorted((r.source_id, r.version, r.snapshot_id) for r in append.collect()) == [(1, 5, 11), (1, 6, 13), (2, 1, 14)]
+    assert sorted((r.snapshot_id, r.event) for r in audit_rows.collect()) == [
+        (11, "SOURCE_CHANGED"), (12, "CHECKED"), (13, "SOURCE_CHANGED"), (14, "SOURCE_CREATED"), (15, "CHECKED")]
+
+
+def test_drift_gate_keeps_rows_without_a_group(spark):
+    rows = [(None, "1", "t", "2024-01-01", "x")] * 3 + [("a", "1", "t", None, "x")] * 3
+    out = {}
+    streams.drift_gate(spark.createDataFrame(rows, "source string, document_number string, title string, effective_date string, issuer string"), "source",
+                       lambda df: out.update(written=df.count()), lambda df: out.update(diverted=df.count()))
+    assert out == {"written": 3, "diverted": 3}
+
+
+def test_feed_links_are_decoded(spark):
+    xml = "<rss><item><title>A &amp; B</title><link>https://x.vn/?a=1&amp;b&#61;2</link></item></rss>"
+    r = landed.feed_items(spark.createDataFrame([("s", xml)], "source_name string, xml string")).first()
+    assert (r.title, r.url, r.item_id) == ("A & B", "https://x.vn/?a=1&b=2", "https://x.vn/?a=1&b=2")
