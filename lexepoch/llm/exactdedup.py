@@ -154,20 +154,21 @@ def suspects(fps: DataFrame) -> DataFrame:
 
 
 # -- the operator -----------------------------------------------------------------------------------------------------
-def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, groups, through). rows: doc_id, text_sha256, fp of every row. groups: text_sha256, keep_id, group_size of
-    every normalised text that occurs more than once. through: the sieve of the suspects' fingerprints.
+def copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups). rows: doc_id, text_sha256 of every row, _lx_maybe (false: surely without a copy). groups:
+    text_sha256, keep_id, group_size of every normalised text that occurs more than once.
 
-    Only texts that the sieve lets through are shuffled, at every size; they are grouped by their bytes, so what it
-    lets through without need ends as a group of one.
+    Texts are read once for their digests. Then only texts of suspects are normalised again and shuffled, at every
+    size: their ids pass a sieve where the texts lie. They are grouped by their bytes, so what the sieves let through
+    without need ends as a group of one.
     """
     rows = materialize(docs.select("doc_id", _digest(normalized()).alias("text_sha256")).withColumn("fp", _fp48(F.col("text_sha256"))))
-    through = sieve(suspects(rows.select("fp")), "fp")
-    texts = docs.select("doc_id", normalized().alias("norm"))
-    same = (sifted(texts, _fp48(_digest(F.col("norm"))), through).where("_lx_maybe")
+    told = sifted(rows, F.col("fp"), sieve(suspects(rows.select("fp")), "fp")).drop("fp")
+    texts = sifted(docs.select("doc_id", "text"), F.col("doc_id"), sieve(told.where("_lx_maybe"), "doc_id")).where("_lx_maybe")
+    same = (texts.select("doc_id", normalized().alias("norm"))
             .groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
             .where("group_size > 1").select(_digest(F.col("norm")).alias("text_sha256"), "keep_id", "group_size"))
-    return rows, materialize(same), through
+    return told, materialize(same)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,10 +178,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts are equal to each other. The row with the least doc_id stays. Rows that share that doc_id and the text are
     one document and all read kept; a null id is kept only in a group where every id is null. No rows in, no rows out.
     """
-    rows, groups, through = copy_groups(docs)
-    told = sifted(rows, F.col("fp"), through)
+    told, groups = copy_groups(docs)
     alone = told.where("NOT _lx_maybe").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
-    joined = hot_join(told.where("_lx_maybe"), groups, "text_sha256", "group_size", rows.count(), "left")
+    joined = hot_join(told.where("_lx_maybe"), groups, "text_sha256", "group_size", told.count(), "left")
     single = F.col("group_size").isNull()
     return alone.select("doc_id", "keep_id", "group_size", F.lit(True).alias("kept"), "text_sha256").unionByName(joined.select(
         "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -191,16 +191,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text has no copy with a smaller doc_id, with the columns of docs.
 
-    Rows without copies and those of hot texts are decided where they lie; only other suspects are shuffled.
+    Rows whose id is surely not dropped are kept where they lie; only the others are shuffled, at every size.
     """
-    rows, groups, through = copy_groups(docs)
-    sha, keep, size = "_lx_sha", "_lx_keep", "_lx_size"
-    groups = groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
-    told = sifted(docs.withColumn(sha, _digest(normalized())), _fp48(F.col(sha)), through)
+    told, groups = copy_groups(docs)
+    gone = (hot_join(told.where("_lx_maybe"), groups, "text_sha256", "group_size", told.count())
+            .where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_lx_id"), F.col("text_sha256").alias("_lx_gone")))
+    gone = materialize(gone.distinct())
+    seen = sifted(docs, docs["doc_id"], sieve(gone, "_lx_id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = hot_join(told.where("_lx_maybe"), groups, sha, size, rows.count(), "left")
-    stay = joined.where(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
-    return told.where("NOT _lx_maybe").select(*columns).unionByName(stay.select(*columns))
+    left = (seen.where("_lx_maybe").withColumn("_lx_sha", _digest(normalized()))
+            .join(gone.hint("merge"), (F.col("_lx_sha") == F.col("_lx_gone")) & F.col("doc_id").eqNullSafe(F.col("_lx_id")), "left_anti"))
+    return seen.where("NOT _lx_maybe").select(*columns).unionByName(left.select(*columns))
 
 
 ORACLE = r"""

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexepoch.llm import cdc, components, cws, exactdedup, queries, simhash
+from lexepoch.llm import cdc, common, components, cws, exactdedup, queries, simhash
 
 
 # -- exact dedup ------------------------------------------------------------------------------------------------------
@@ -165,7 +165,7 @@ def test_near_groups_find_edits_and_leave_the_rest(spark):
 def brute_near_groups(rows, bits=3, least=0.8):
     """Components of all pairs within the bits for any seed whose sets of five-word shingles are alike."""
     ids = [d for d, _ in rows]
-    fps = np.array([simhash.weighted_majorities(Counter(t.encode().lower().split()), [1, 2, 3, 4]) for _, t in rows], np.uint64)
+    fps = np.array([simhash.weighted_majorities(Counter(t.encode().lower().split()), list(simhash.SEEDS)) for _, t in rows], np.uint64)
     sets = [set(simhash.shingle_bytes(t.encode(), 5)) for _, t in rows]
     column = {s: j for j, s in enumerate(s for s, n in Counter(s for x in sets for s in x).items() if n > 1)}
     has = np.zeros((len(rows), len(column)), np.float32)
@@ -218,6 +218,100 @@ def test_texts_of_one_fingerprint_meet_each_other(spark):
     assert got == brute_near_groups(rows) == {1: 1, 2: 1, 9: 1, 3: 3, 4: 3}
 
 
+def test_failed_candidate_does_not_hide_a_true_pair(spark):
+    """Document 2 is document 1 shuffled (not alike), document 3 is document 2 with two words swapped (alike)."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    turned = rng.sample(words, 300)
+    near = list(turned)
+    near[150], near[151] = near[151], near[150]
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, turned, near), 1)]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 2, 3: 2}
+
+
+def _alike(texts):
+    """All pairs of different texts whose five-word shingle sets have a similarity of 0.8 or more, by an inverted index."""
+    sets = {i: set(simhash.shingle_bytes((t or "").encode(), 5)) for i, t in texts.items()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    both = Counter()
+    for ids in holders.values():
+        both.update((a, b) for n, b in enumerate(ids) for a in ids[:n])
+    return {p for p, n in both.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_groups_on_the_tables(spark, sf):
+    """Recall of pairs, and no document is put to one that no chain of true pairs leads to.
+
+    The middle table has five pairs; one of them, with a block of other words, lies 4 to 13 bits apart under each of 24 seeds.
+    """
+    table = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    one = exactdedup.drop_exact_duplicates(table)
+    texts = {r.doc_id: r.text for r in one.collect()}
+    # Frequent shingles make long lists; a pair at 0.8 shares rarer ones, too, so texts of few distinct words are left to the bits.
+    pairs = _alike({i: t for i, t in texts.items() if len(set((t or "").lower().split())) > 5})
+    ids = sorted(texts)
+    edges = defaultdict(set)
+    for a, b in pairs:
+        edges[a].add(b)
+        edges[b].add(a)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(one).collect()}
+    together = sum(got.get(a, a) == got.get(b, b) for a, b in pairs)
+    assert together >= 0.8 * len(pairs)
+    for i, g in got.items():
+        seen, todo = {i}, [i]
+        while todo:
+            more = edges[todo.pop()] - seen
+            seen |= more
+            todo += more
+        assert g in seen or len(set((texts[i] or "").lower().split())) <= 5
+    assert set(got) <= set(ids)
+
+
+def test_bound_of_small_groups_changes_nothing(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(4):
+        base = [word() for _ in range(150)]
+        for c in range(30):
+            changed = list(base)
+            for _ in range(c % 3):
+                changed[rng.randrange(150)] = word()
+            rows.append((g * 100 + c, " ".join(changed)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r.doc_id: r.group_id for r in simhash.near_duplicate_groups(df, pairwise=n).collect()} for n in (2, 1000))
+    assert few == many == brute_near_groups(rows)
+
+
+@pytest.mark.parametrize("bits, least", [(1, 2), (20, 10_000)])
+def test_full_sieve_and_hot_keys_change_no_result(spark, sf_dir, docs, monkeypatch, bits, least):
+    """A sieve that lets all rows through, and keys that count as hot from the third row on, give the same rows."""
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    monkeypatch.setattr(common, "HOT_LEAST", least)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").union(spark.range(900, 990).selectExpr("id", "'' AS text", "'en'", "'s'", "0L"))
+    rows = {r.doc_id: r for r in exactdedup.exact_duplicates(table).collect()}
+    for ids in brute_exact([(r.doc_id, r.text) for r in table.collect()]).values():
+        assert {(rows[i].keep_id, rows[i].group_size) for i in ids} == {(min(ids), len(ids))}
+    assert exactdedup.drop_exact_duplicates(table).count() == sum(r.kept for r in rows.values())
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, k=3).collect()}
+    ids = sorted(found)
+    fps = [brute_fingerprint(r.text, 3) for r in table.orderBy("doc_id").collect()]
+    assert found == brute_components(ids, fps, 2)
+
+
+def test_senders_get_their_bitmaps_back(spark):
+    """Owners see each fingerprint of a sender once; a repeat inside one sender is marked by its bit."""
+    fps = spark.createDataFrame([(x,) for x in [5, 5, 7, 9, 1 << 47, 1 << 47, 11]], "fp long").repartition(3)
+    assert {r.fp for r in exactdedup.suspects(fps).collect()} == {5, 1 << 47}
+    alone = spark.createDataFrame([(3,), (3,), (4,)], "fp long").coalesce(1)
+    assert {r.fp for r in exactdedup.suspects(alone).collect()} == {3}
+
+
 # -- content-defined chunks -------------------------------------------------------------------------------------------
 def test_gear_by_doubling_equals_rolling():
     table, data = cdc.gear_table(), np.frombuffer(random.Random(1).randbytes(400), np.uint8)
@@ -266,6 +360,44 @@ def test_op2_catches_planted_passages_and_leaves_clean_texts(spark):
         assert text[r.doc_id][r.start:r.start + r.length] in text[r.first_doc_ids[0]]
 
 
+def test_op2_equals_brute_force(spark, sf_dir, texts):
+    """Documents that share 51 or more words with one of a smaller id are found; every named first document holds text of the run."""
+    got = defaultdict(list)
+    for r in queries.QUERIES["op2_substring_dedup"](spark, sf_dir).collect():
+        got[r.doc_id].append(r)
+    first, later = {}, set()
+    for i in sorted(texts):
+        w = texts[i].split(" ")
+        for k in range(len(w) - 50):
+            run = tuple(w[k:k + 51])
+            if len(set(run)) > 10 and first.setdefault(run, i) != i:
+                later.add(i)
+    assert later <= set(got)
+    for i, runs in got.items():
+        for r in runs:
+            assert r.length >= cdc.MIN_RUN and r.first_doc_ids and len(r.first_doc_ids) == len(r.first_lengths)
+            own = texts[i][r.start:r.start + r.length]
+            for j, n in zip(r.first_doc_ids, r.first_lengths):
+                assert j < i and n >= 1
+                assert any(own[a:a + 2 * cdc.LEAST] in texts[j] for a in range(max(1, len(own) - 2 * cdc.LEAST + 1)))
+    # What other documents hold exactly is covered: a pair of chunks that an earlier document has lies in some run or is too short.
+    pairs = defaultdict(list)
+    for r in cdc.chunks(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), pairs=True).collect():
+        pairs[bytes(r.digest)].append((r.doc_id, r.start, r.start + r.length))
+    for places in pairs.values():
+        least = min(places)[0]
+        for i, a, b in places:
+            if i != least and b - a >= cdc.MIN_RUN:
+                assert any(r.start <= a and b <= r.start + r.length and least in r.first_doc_ids for r in got[i])
+
+
+def test_repeats_inside_one_document_on_request(spark):
+    line = " ".join(f"từ{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"{line} mở {line}"), (2, "khác hẳn")], "doc_id long, text string")
+    assert cdc.repeated_passages(df).count() == 0
+    assert [r.doc_id for r in cdc.repeated_passages(df, inside=True).collect()] == [1]
+
+
 def test_passages_are_cut_out(spark, docs, none):
     shared = " ".join(f"từ{i}" for i in range(80))
     df = spark.createDataFrame([(1, "đầu " + shared), (2, shared + " cuối là đây"), (3, None), (None, shared), (4, "")], "doc_id long, text string")

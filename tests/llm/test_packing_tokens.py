@@ -128,3 +128,15 @@ def test_odd_rows_are_packed(docs, none):
     assert all(r.ids[-1] == 2 for r in rows if r.doc_id in (3, 4)) and [r.length for r in rows if r.doc_id == 3] == [1]
     assert all(len(r.ids) == r.length for r in rows)
     assert packing.pack_documents(none).count() == 0
+
+
+def test_counts_and_ids_equal_the_library_on_every_code_point():
+    from tokenizers import Tokenizer
+    path = tokens.default_path()
+    library, own, encoder = Tokenizer.from_file(path), tokens.merger(path), tokens.encoder(path)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    for lo in range(0, len(every), 50_000):
+        some = [f"{c}'s {c}." for c in every[lo:lo + 50_000]]
+        want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+        assert [t for t, w in zip(some, want) if own.count(t) != len(w)] == []
+        assert [t for t, w in zip(some[::7], want[::7]) if encoder.encode(t).tolist() != w] == []

@@ -109,9 +109,28 @@ def test_planted_cases(spark, tmp_path):
     assert all(i in three for i in ids(two) if i < 800)
 
 
-def test_rest_imports_without_these_folders(tmp_path):
+def test_odd_rows_pass_every_stage(spark, docs, none, tmp_path):
+    """Nulls, empties, repeated rows and ids, a long text and an extra column; and an empty table."""
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (docs, none):
+        now = rows
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            now = materialize(stage(spark, now, str(tmp_path)))
+            assert now.columns == docs.columns
+        packed = corpus_pipeline.packed(spark, now, str(tmp_path)).collect()
+        assert bool(packed) == bool(rows.count())
+    one = materialize(corpus_pipeline.exact_copies_out(spark, docs, str(tmp_path)))
+    two = ids(materialize(corpus_pipeline.near_copies_out(spark, one, str(tmp_path))))
+    assert two[8] == 2 and two[None] == 1 and two[3] == 1 and two[7] == 0 and two[6] == 1
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_rest_imports_without_these_folders(tmp_path, pipeline):
     import shutil
     shutil.copytree(ROOT / "lexepoch", tmp_path / "lexepoch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if pipeline:
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), [n for n in q if n.startswith('op') or n == 'pipeline'])"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0 and out.stdout.strip().endswith("[]"), out.stderr
