@@ -85,12 +85,14 @@ def _has(c: Column, q: Column) -> Column:
     return F.coalesce(F.lower(c).contains(q), F.lit(False))
 
 
-#: Letters of a question's key, by which texts that may hold it are found; at most so many questions are broadcast.
-KEY, MAX_QUESTIONS = 3, 10_000
+#: Letters of a question's key, by which texts that may hold it are found; at most so many questions are broadcast, and
+#: at most so many keys are looked for one by one (with more, all runs of letters of a text are keys; both find the same).
+KEY, MAX_QUESTIONS, FEW_KEYS = 3, 10_000, 64
 
 
-def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], bool]:
-    """Questions (query_id, q, q_number, q_tokens, key, token), the lengths of their keys, and whether they are few.
+def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], list[str], bool]:
+    """Questions (query_id, q, q_number, q_tokens, key, token), the lengths of their keys, the first FEW_KEYS + 1 keys, and
+    whether the questions are few.
 
     A question's key is one of its runs of KEY letters (the last in code point order, as accented letters are rarer):
     a text that holds the question holds the key, so texts meet questions by equal keys.
@@ -102,7 +104,8 @@ def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], bool]:
                  F.when(F.length("q") <= KEY, F.col("q")).otherwise(F.array_max(_runs(F.col("q"), [KEY]))).alias("key"),
                  F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("token"))
     n = q.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("key")).alias("lengths")).first()
-    return q, sorted(n.lengths), n.n <= MAX_QUESTIONS
+    keys = sorted(r.key for r in q.select("key").distinct().limit(FEW_KEYS + 1).collect())
+    return q, sorted(n.lengths), keys, n.n <= MAX_QUESTIONS
 
 
 def _runs(c: Column, lengths: list[int]) -> Column:
@@ -111,6 +114,13 @@ def _runs(c: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
 
 
+def _keys_in(c: Column, lengths: list[int], keys: list[str], few_keys: int = FEW_KEYS) -> Column:
+    """The keys that a text may meet questions by."""
+    if len(keys) > few_keys or not keys:
+        return _runs(c, lengths)
+    return T.let(c, lambda low: F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in keys])))
+
+
 def search(queries: DataFrame, docs: DataFrame, provs: DataFrame, k: int = 10, effective_only: bool = False) -> DataFrame:
     """Ranked documents of one or many queries (query_id, query): number, title phrase, all tokens, or a provision that
     holds the phrase. A query without letters or digits finds nothing.
@@ -120,18 +130,18 @@ def search(queries: DataFrame, docs: DataFrame, provs: DataFrame, k: int = 10, e
     they are few, by count.
     """
     bound(k, 1, 50, "k")
-    q, lengths, few = _keyed(queries)
+    q, lengths, keys, few = _keyed(queries)
     q = F.broadcast(q) if few else q
     title = F.lower("title")
     d = filters(docs, effective_only=effective_only).withColumn("n_number", T.normalize_number(F.col("document_number")))
     heading = F.col("heading") if "heading" in provs.columns else F.lit(None).cast("string")
-    held = provs.select("document_id", "provision_id", "article", heading.alias("heading"), "content", "sort_key", F.explode(_runs(F.lower("content"), lengths)).alias("key"))
+    held = provs.select("document_id", "provision_id", "article", heading.alias("heading"), "content", "sort_key", F.explode(_keys_in(F.lower("content"), lengths, keys)).alias("key"))
     in_provision = held.join(q.select("query_id", "q", "key"), "key").where(_has(F.col("content"), F.col("q")))
     w = Window.partitionBy("query_id", "document_id").orderBy("sort_key", "provision_id")
     top = (in_provision.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("query_id", "document_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.snippet(F.col("article"), F.col("heading"), F.col("content")).alias("s")))), lambda x: x["s"]), " | ").alias("snippets")))
     by_number = d.join(q.select("query_id", F.col("q_number").alias("n_number")), "n_number").select("query_id", "document_id")
-    by_title = (d.select("document_id", "title", F.explode(_runs(title, lengths)).alias("key")).join(q.select("query_id", "q", "key"), "key")
+    by_title = (d.select("document_id", "title", F.explode(_keys_in(title, lengths, keys)).alias("key")).join(q.select("query_id", "q", "key"), "key")
                 .where(_has(F.col("title"), F.col("q"))).select("query_id", "document_id"))
     d_tokens = d.select("document_id", T.tokens(F.col("title")).alias("d_tokens"))
     by_tokens = (d_tokens.select("document_id", "d_tokens", F.explode("d_tokens").alias("token")).join(q.select("query_id", "q_tokens", "token"), "token")
