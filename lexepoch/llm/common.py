@@ -88,6 +88,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, n: str, rows: int, how:
     rows stay where they are; no key of the shuffled rest has more than 1/HOT_SHARE of the rows (or HOT_LEAST). With
     how="left" left rows without a partner stay, too. Null keys meet nothing.
     """
+    if rows <= HOT_LEAST:
+        return left.join(right.hint("merge"), on, how)
     bound = max(HOT_LEAST, rows // HOT_SHARE)
     hot = F.broadcast(right.where(F.col(n) > bound))
     # The merge hint keeps the rest shuffled at every size: its right side grows with the input.

@@ -33,11 +33,17 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     checkpointed, so a lost executor costs one round at most. Null ends are dropped, self links too.
     """
     shared_dir(edges.sparkSession)
+
+    def kept(df: DataFrame, rows: int) -> DataFrame:
+        # As many partitions as the edges need: rounds over few edges are many small steps.
+        return df.coalesce(rows // 50_000 + 1).checkpoint()
+
     now = (edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
            .where("u > v").distinct().checkpoint())
     rows, before = now.count(), None
+    now = now.coalesce(rows // 50_000 + 1)
     for _ in range(limit):
-        now = _small_star(_large_star(now, rows).checkpoint(), rows).checkpoint()
+        now = kept(_small_star(_large_star(now, rows), rows), rows)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == before:
             break

@@ -362,7 +362,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     candidate, named by the least doc_id, and all others meet each other even if their fingerprints are equal. Rows that
     share an id are one document: they are in one group, named by that id.
 
-    Links are checked before large groups are thinned: in rounds of 1, 16, 256, ... members of a group under one key
+    Links are checked before large groups are thinned: in rounds of 1, 64, 4096, ... members of a group under one key
     meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined.
     """
     spark = docs.sparkSession
@@ -398,6 +398,6 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
         hot = found.where("v IS NULL").select("tag", "fp", F.col("u").alias("id"))
         if not hot.limit(1).count():
             return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-        lo, hi = hi, 16 * hi
+        lo, hi = hi, 64 * hi
         found = dealt(hot.join(joined, hot["id"] == joined["node"], "left")
                       .select("tag", "fp", "id", F.coalesce("root", "id").alias("component")), lo, hi)
