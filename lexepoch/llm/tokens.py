@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -45,8 +46,8 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def library_pieces() -> str:
-    """The pattern with the letters and digits of the tokenizers library, whose Unicode tables are other than regex's.
+def library_pieces() -> tuple[str, str]:
+    """The pattern, and the characters that need it, with the letters and digits of the tokenizers library, whose Unicode tables are other than regex's.
 
     The library is asked for the class of each character that regex and Python's own tables (of other versions) class
     differently; the characters on which those two agree are classed alike by all three.
@@ -77,13 +78,13 @@ def library_pieces() -> str:
         less = f"[{base}--[{ranges(odd)}]]" if odd else base
         return f"(?:{less}|[{ranges(chars)}])" if chars else less
 
-    return _pattern(kind(r"\p{L}", by["L"]), kind(r"\p{N}", by["N"]), kind(r"[^\s\p{L}\p{N}]", by[""]))
+    return _pattern(kind(r"\p{L}", by["L"]), kind(r"\p{N}", by["N"]), kind(r"[^\s\p{L}\p{N}]", by[""])), ranges(odd)
 
 
 class Merger:
     """Counts the tokens of one pre-token: pairs wait in a heap by rank, symbols are a doubly linked list."""
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pieces: tuple[str, str] | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -94,7 +95,8 @@ class Merger:
         self.rank = {names[a] << 32 | names[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [names[a + b] for a, b in merges]
         self.special = [t["content"] for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
-        self.piece = regex.compile(pattern or library_pieces(), regex.V1)
+        exact, odd = pieces or library_pieces()
+        self.piece, self.exact_piece, self.odd = regex.compile(PIECE), regex.compile(exact, regex.V1), re.compile(f"[{odd}]" if odd else r"(?!)")
         self.word = _Counts(self._of_piece)
         self.part = _Counts(self._of_part)
 
@@ -132,6 +134,10 @@ class Merger:
                     heapq.heappush(heap, r << 32 | h)
         return n - merges
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens; the slower pattern is for texts with characters that the library classes otherwise than regex."""
+        return (self.exact_piece if not text.isascii() and self.odd.search(text) else self.piece).findall(text)
+
     def _of_piece(self, piece: str) -> int:
         return self.merged(piece.encode())
 
@@ -140,11 +146,11 @@ class Merger:
         if not part or part[0].isspace() or part[-1].isspace():
             return -1
         word = self.word
-        return sum([word[p] for p in self.piece.findall(" " + part)])
+        return sum([word[p] for p in self.cut(" " + part)])
 
     def plain(self, text: str) -> int:
         word = self.word
-        return sum([word[p] for p in self.piece.findall(text)])
+        return sum([word[p] for p in self.cut(text)])
 
     def count(self, text: str) -> int:
         for s in self.special:
@@ -179,14 +185,14 @@ class _Counts(dict):
         return value
 
 
-def merger(path: str, pattern: str | None = None) -> Merger:
+def merger(path: str, pieces: tuple[str, str] | None = None) -> Merger:
     if ("merger", path) not in _loaded:
-        _loaded["merger", path] = Merger(path, pattern)
+        _loaded["merger", path] = Merger(path, pieces)
     return _loaded["merger", path]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
-    bpe = merger(path, pattern)
+def _count_batches(batches: Iterator[pa.RecordBatch], path: str, pieces: tuple[str, str]):
+    bpe = merger(path, pieces)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sizes = [len(t.encode()) for t in texts]
@@ -201,10 +207,10 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no tokens; repeated rows are counted each; other columns are not read.
     """
     ship(docs.sparkSession)
-    path, pattern = path or default_path(), library_pieces()
+    path, pieces = path or default_path(), library_pieces()
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(
-        lambda bs: _count_batches(bs, path, pattern), f"doc_id {kind}, n_bytes long, n_tokens long")
+        lambda bs: _count_batches(bs, path, pieces), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 # -- ids --------------------------------------------------------------------------------------------------------------
