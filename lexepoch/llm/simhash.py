@@ -383,8 +383,8 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     spread = nodes.select(tagged, F.col("first").alias("id")).select("k.tag", "k.fp", "id")
 
     def dealt(members: DataFrame, lo: int, hi: int) -> DataFrame:
-        n = shuffle_partitions(spark)
-        return materialize(members.repartition(n, F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
+        # No count of partitions is given, so adaptive execution sizes them: rounds after the first have few members.
+        return materialize(members.repartition(F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
             lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, lo, hi, pairwise)), "u long, v long, tag smallint, fp long"))
 
     lo, hi, before = 0, 1, None
@@ -393,8 +393,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
         pairs = found.where("v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         pairs = materialize(pairs if before is None else pairs.join(before, ["u", "v"], "left_anti"))
         before = pairs if before is None else before.unionByName(pairs)
-        linked = linked.unionByName(_checked(docs, pairs, k, similarity))
-        joined = components(linked)
+        joined = components(linked.unionByName(_checked(docs, pairs, k, similarity)))
+        # What is joined goes on as one edge from each member to its root.
+        linked = joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         hot = found.where("v IS NULL").select("tag", "fp", F.col("u").alias("id"))
         if not hot.limit(1).count():
             return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
