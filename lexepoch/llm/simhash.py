@@ -243,19 +243,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, max_bits: int = 2, segments: in
 SEEDS = tuple(range(1, 9))
 
 
+#: Bits of a parity bitmap: it tells sets apart that are unlike and have up to about twice as many shingles.
+PARITY_BITS = 512
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """Bitmap of a set of hashes: a bit is set if an odd number of them falls on it.
+
+    A hash that only one of two sets holds changes one bit, so bitmaps differ in no more bits than the sets differ in hashes.
+    """
+    odd = np.bincount(shingles & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_agree(size: np.ndarray, bits: np.ndarray, own_size: int, own_bits: np.ndarray, similarity: float) -> np.ndarray:
+    """False where two sets surely have a Jaccard similarity under ``similarity``, by their sizes and parity bitmaps.
+
+    Sets of sizes a and b that reach it differ in at most (a + b) (1 - similarity) / (1 + similarity) elements, and so do their bitmaps.
+    """
+    most = (size + own_size) * (1 - similarity) / (1 + similarity) + 1e-6
+    near = np.abs(size - own_size) <= most
+    near[near] = np.bitwise_count(bits[near] ^ own_bits).sum(1, dtype=np.int64) <= most[near]
+    return near
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int):
     for batch in batches:
         sets = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 0) for s in shingle_bytes(t, k)]), ">u8")
                           .astype(np.uint64)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()),
+                                          pa.array([parity(x) for x in sets], pa.binary())], names=["id", "shingles", "size", "parity"])
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, lo: int, hi: int, pairwise: int):
-    """Rows (tag, fp, id[, component]) sorted by tag and key -> pairs (u, v) to check, and members (u, null, tag, fp) of
-    groups not done.
+def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, lo: int, hi: int, pairwise: int,
+                       similarity: float):
+    """Rows (tag, fp, id[, component, size, parity]) sorted by tag and key -> pairs (u, v) to check, and members
+    (u, null, tag, fp) of groups not done.
 
     Small groups give all their pairs at once (when lo is 0). In a large group members are ordered by their distance
-    to the group's majority bits; those at ranks lo to hi meet every later member of another component.
+    to the group's majority bits; those at ranks lo to hi meet every later member of another component. Where sizes and
+    parity bitmaps of the shingle sets are given, pairs that they prove unlike are left out.
     """
     limit = budgets(max_bits, segments)
     masks = np.array([_segment(i, segments) for i in range(segments)], np.uint64)
@@ -273,7 +300,7 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: l
              pa.concat_arrays([pa.nulls(n, pa.int16()), own[1]]), pa.concat_arrays([pa.nulls(n, pa.int64()), own[2]])],
             names=["u", "v", "tag", "fp"])
 
-    def pairs(tag, fp, ids, comp):
+    def pairs(tag, fp, ids, comp, *sets):
         which = tag % len(ring)
         key = fp & key_mask[which]
         cut = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]) | (key[1:] != key[:-1])]) if len(tag) else np.zeros(0, np.int64)
@@ -299,12 +326,16 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: l
             middle = np.uint64(sum(1 << b for b in range(64) if 2 * count[b] > n))
             order = np.lexsort((i, np.bitwise_count(f ^ middle)))
             f, i, c = f[order], i[order], c[order]
+            sizes, bits = (x[start:start + n][order] for x in sets) if sets else (None, None)
             for r in range(lo, min(hi, n - 1)):
                 diff = f[r + 1:] ^ f[r]
                 near = (np.bitwise_count(diff) <= max_bits) & (c[r + 1:] != c[r])
                 if which[start]:
                     near &= diff != 0
-                met = i[r + 1:][near]
+                met = r + 1 + np.flatnonzero(near)
+                if sets and len(met):
+                    met = met[may_agree(sizes[met], bits[met], sizes[r], bits[r], similarity)]
+                met = i[met]
                 if len(met):
                     u.append(met)
                     v.append(np.full(len(met), i[r]))
@@ -318,7 +349,10 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: l
 
     def columns(batch):
         out = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        return [*out, batch.column(3).to_numpy() if batch.num_columns > 3 else out[2]]
+        if batch.num_columns == 3:
+            return [*out, out[2]]
+        bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
+        return [*out, batch.column(3).to_numpy(), batch.column(4).to_numpy(), bits]
 
     held, count = [], 0
     for batch in batches:
@@ -326,24 +360,27 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: l
         count += batch.num_rows
         if count < 50_000 or not batch.num_rows:
             continue
-        tag, fp, ids, comp = (np.concatenate(x) for x in zip(*held))
+        tag, fp, *others = (np.concatenate(x) for x in zip(*held))
         same = (tag == tag[-1]) & ((fp ^ fp[-1]) & key_mask[tag[-1] % len(ring)] == 0)
         last = int(np.argmax(same))
         if last:
-            yield from pairs(tag[:last], fp[:last], ids[:last], comp[:last])
-        held, count = [[tag[last:], fp[last:], ids[last:], comp[last:]]], min(len(tag) - last, 49_999) if last else 0
+            yield from pairs(tag[:last], fp[:last], *(x[:last] for x in others))
+        held, count = [[x[last:] for x in (tag, fp, *others)]], min(len(tag) - last, 49_999) if last else 0
     if held:
         yield from pairs(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of ids whose texts' k-word shingle sets have a Jaccard similarity of at least ``similarity``."""
-    wanted = materialize(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct())
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, shingles, size, parity) of the texts whose doc_id is one of the distinct ids ``wanted``."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
     texts = (sifted(ids, F.col("id"), sieve(wanted, "id")).where("_lx_maybe").select("id", "text")
              .join(wanted.hint("merge"), "id", "left_semi"))
     ship(docs.sparkSession)
-    sets = materialize(texts.mapInArrow(lean(lambda bs: _shingle_sets(bs, k)), "id long, shingles array<long>"))
+    return materialize(texts.mapInArrow(lean(lambda bs: _shingle_sets(bs, k)), "id long, shingles array<long>, size long, parity binary"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
@@ -363,7 +400,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     share an id are one document: they are in one group, named by that id.
 
     Links are checked before large groups are thinned: in rounds of 1, 64, 4096, ... members of a group under one key
-    meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined.
+    meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined. After
+    the first round the shingle sets of members of large groups are known: pairs that their sizes and parity bitmaps
+    prove to be under the similarity are not made.
     """
     spark = docs.sparkSession
     named = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(r"[^\x20\x09-\x0D]"))
@@ -385,20 +424,29 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     def dealt(members: DataFrame, lo: int, hi: int) -> DataFrame:
         # No count of partitions is given, so adaptive execution sizes them: rounds after the first have few members.
         return materialize(members.repartition(F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
-            lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, lo, hi, pairwise)), "u long, v long, tag smallint, fp long"))
+            lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, lo, hi, pairwise, similarity)), "u long, v long, tag smallint, fp long"))
+
+    def met(found: DataFrame) -> DataFrame:
+        return found.where("v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    lo, hi, before = 0, 1, None
+    lo, hi = 0, 1
     found = dealt(spread, lo, hi)
+    before = materialize(met(found))
+    wanted = materialize(before.select(F.col("u").alias("id")).union(before.select(F.col("v").alias("id"))).distinct())
+    checked = _checked(before, _sets_of(docs, wanted, k), similarity)
+    joined, sets = components(linked.unionByName(checked)), None
     while True:
-        pairs = found.where("v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = materialize(pairs if before is None else pairs.join(before, ["u", "v"], "left_anti"))
-        before = pairs if before is None else before.unionByName(pairs)
-        joined = components(linked.unionByName(_checked(docs, pairs, k, similarity)))
-        # What is joined goes on as one edge from each member to its root.
-        linked = joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         hot = found.where("v IS NULL").select("tag", "fp", F.col("u").alias("id"))
         if not hot.limit(1).count():
             return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+        if sets is None:
+            sets = _sets_of(docs, materialize(hot.select("id").distinct()), k)
         lo, hi = hi, 64 * hi
-        found = dealt(hot.join(joined, hot["id"] == joined["node"], "left")
-                      .select("tag", "fp", "id", F.coalesce("root", "id").alias("component")), lo, hi)
+        of = sets.select("id", "size", "parity").join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"), "size", "parity")
+        found = dealt(hot.join(of, "id").select("tag", "fp", "id", "component", "size", "parity"), lo, hi)
+        pairs = materialize(met(found).join(before, ["u", "v"], "left_anti"))
+        before = before.unionByName(pairs)
+        checked = _checked(pairs, sets, similarity)
+        if checked.limit(1).count():
+            # What is joined goes on as one edge from each member to its root.
+            joined = components(joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(checked))

@@ -288,6 +288,30 @@ def test_bound_of_small_groups_changes_nothing(spark):
     assert few == many == brute_near_groups(rows)
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_parity_bitmaps_leave_out_no_pair_that_agrees(similarity):
+    """Whatever reaches the similarity passes, at the very threshold and beyond the bits of the bitmap; most others do not."""
+    rng = np.random.default_rng(7)
+    passed = unlike = 0
+    for n in (1, 2, 5, 9, 45, 90, 300, 900, 5000):
+        own = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+        others = []
+        for share in np.linspace(0, 1, 40):
+            kept = own[:round(share * len(own))]
+            others.append(np.unique(np.r_[kept, rng.integers(-2**63, 2**63 - 1, rng.integers(0, len(own) - len(kept) + 1))]))
+        bits = np.frombuffer(b"".join(simhash.parity(x) for x in [*others, own]), np.uint64).reshape(len(others) + 1, -1)
+        size = np.array([len(x) for x in others])
+        may = simhash.may_agree(size, bits[:-1], len(own), bits[-1], similarity)
+        for x, ok in zip(others, may):
+            both = len(np.intersect1d(own, x))
+            if both >= similarity * (len(own) + len(x) - both):
+                assert ok
+            elif n in (45, 90, 300):
+                unlike += 1
+                passed += ok
+    assert unlike > 10 and passed < 0.25 * unlike
+
+
 @pytest.mark.parametrize("bits, least", [(1, 2), (20, 10_000)])
 def test_full_sieve_and_hot_keys_change_no_result(spark, sf_dir, docs, monkeypatch, bits, least):
     """A sieve that lets all rows through, and keys that count as hot from the third row on, give the same rows."""
