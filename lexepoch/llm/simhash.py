@@ -443,7 +443,10 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
             sets = _sets_of(docs, materialize(hot.select("id").distinct()), k)
         lo, hi = hi, 64 * hi
         of = sets.select("id", "size", "parity").join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"), "size", "parity")
-        found = dealt(hot.join(of, "id").select("tag", "fp", "id", "component", "size", "parity"), lo, hi)
+        # Joined once for each id, not for each of its keys (of which there are no more than seeds times ring keys for a text).
+        keyed = hot.groupBy("id").agg(F.collect_list(F.struct("tag", "fp")).alias("keys")).join(of, "id")
+        found = dealt(keyed.select(F.explode("keys").alias("k"), "id", "component", "size", "parity")
+                      .select("k.tag", "k.fp", "id", "component", "size", "parity"), lo, hi)
         pairs = materialize(met(found).join(before, ["u", "v"], "left_anti"))
         before = before.unionByName(pairs)
         checked = _checked(pairs, sets, similarity)
