@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.ledger import Ledger
+from ..sources.sinks import new_rows
+from . import snapshots
+
 OFFICIAL = ("tier_a", "tier_b")
 ORIGINS = ("live_official", "imported_official")
+#: Flags of an evidence locator, any of which silences it.
+LOCATOR_FLAGS = ("is_fixture", "quarantined", "is_test_fixture", "is_quarantined")
 #: Fields compared between sources: (field, severity, only between official sources).
 RULES = (("document_number", "high", False), ("issued_date", "medium", False), ("effective_from", "high", True), ("effective_to", "high", False))
 
@@ -16,10 +22,13 @@ def admissible(evidence: DataFrame) -> DataFrame:
     no = lambda c: ~F.coalesce(c, F.lit(False))
     ok = no(F.col("is_quarantined")) & (F.col("environment") == "production") & F.col("evidence_origin").isin(*ORIGINS)
     if "evidence_type" in evidence.columns:
-        ok = ok & ~F.coalesce(F.col("evidence_type"), F.lit("")).startswith("synthetic")
+        kind = F.coalesce(F.col("evidence_type"), F.lit(""))
+        ok = ok & ~kind.startswith("synthetic") & (kind != "test_fixture")
     if "evidence_locator" in evidence.columns:
-        for flag in ("is_test_fixture", "is_quarantined"):
-            ok = ok & no(F.try_variant_get(F.try_parse_json("evidence_locator"), f"$.{flag}", "boolean"))
+        said = lambda flag, kind: F.try_variant_get(F.try_parse_json("evidence_locator"), f"$.{flag}", kind)
+        for flag in LOCATOR_FLAGS:
+            ok = ok & no(said(flag, "boolean"))
+        ok = ok & no(said("evidence_origin", "string") == "test_fixture")
     return evidence.where(ok)
 
 
@@ -74,29 +83,78 @@ def verdicts(asserts: DataFrame) -> DataFrame:
                     ((n("high") == 0) & status.isin("cross_verified", "single_source_verified")).alias("answerable"))
 
 
-def assertions(docs: DataFrame, srcs: DataFrame, evidence: DataFrame, fallback: bool = True) -> DataFrame:
+def on_current(srcs: DataFrame, snaps: DataFrame) -> DataFrame:
+    """srcs (source_id, current_snapshot_id) with snapshot_id, the snapshot that speaks for each; sources without one stay silent."""
+    return srcs.drop("snapshot_id").join(snapshots.current(srcs, snaps).select("source_id", "snapshot_id"), "source_id")
+
+
+def assertions(docs: DataFrame, srcs: DataFrame, evidence: DataFrame, fallback: bool = True, snaps: DataFrame | None = None) -> DataFrame:
     """One assertion per (document, source): admissible evidence, else with fallback the document's own value.
 
-    asserted_fields counts what the source itself says, so agreement by fallback stays visible.
+    With ``snaps`` only evidence of a source's current snapshot speaks, and srcs has source_id (one document each) and
+    current_snapshot_id; without, evidence names its source as snapshot_id. asserted_fields counts what the source
+    itself says, so agreement by fallback stays visible.
     """
     fields = [f for f, _, _ in RULES]
-    said = first_values(admissible(evidence), fields).withColumnRenamed("snapshot_id", "source_id")
+    said = first_values(admissible(evidence), fields)
+    srcs = on_current(srcs, snaps) if snaps is not None else srcs.withColumn("snapshot_id", F.col("source_id"))
     j = srcs.join(docs.select("document_id", *[F.col(f).cast("string").alias(f"d_{f}") for f in fields]), "document_id").join(
-        said, ["document_id", "source_id"], "left")
+        said, ["document_id", "snapshot_id"], "left")
     value = lambda f: F.coalesce(F.col(f), F.col(f"d_{f}")) if fallback else F.col(f)
+    snap = ["snapshot_id"] if snaps is not None else []
     return j.select("document_id", "source_id", "source_authority", *[value(f).alias(f) for f in fields],
-                    sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)).alias("asserted_fields"))
+                    sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)).alias("asserted_fields"), *snap)
 
 
-def corpus(docs: DataFrame, srcs: DataFrame, evidence: DataFrame) -> DataFrame:
+def corpus(docs: DataFrame, srcs: DataFrame, evidence: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
     """Verdict of every document of the corpus; documents without a source are unverified and not answerable."""
-    found = verdicts(assertions(docs, srcs, evidence))
+    return _of_all(docs, verdicts(assertions(docs, srcs, evidence, snaps=snaps)))
+
+
+def _of_all(docs: DataFrame, found: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return docs.select("document_id").join(found, "document_id", "left").select(
         "document_id", F.coalesce("n_sources", zero).alias("n_sources"), F.coalesce("n_conflicts", zero).alias("n_conflicts"),
         F.coalesce("status", F.lit("unverified")).alias("status"), F.coalesce("answerable", F.lit(False)).alias("answerable"))
 
 
+# -- the corpus again after some snapshots have changed ---------------------------------------------------------------
+#: Tables of a ledger that keeps verdicts, and the conflicts recorded so far, each under its key once.
+LEDGER = {"verdicts": "document_id long, n_sources long, n_conflicts long, status string, answerable boolean",
+          "conflicts": "document_id long, field_name string, snapshot_a long, value_a string, snapshot_b long, value_b string, severity string"}
+CONFLICT_KEY = ["document_id", "field_name", "snapshot_a", "value_a", "snapshot_b", "value_b"]
+
+
+def touched(srcs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(document_id) of the documents that the changed sources (source_id) speak about."""
+    return srcs.join(changed.select("source_id").distinct(), "source_id", "left_semi").select("document_id").distinct()
+
+
+def reverify(ledger: Ledger, batch_id: int, docs: DataFrame, srcs: DataFrame, snaps: DataFrame, evidence: DataFrame, changed: DataFrame | None = None) -> bool:
+    """Verify what the changed sources (all without ``changed``) touch, as one batch: new verdicts of those documents, and
+    those of their conflicts that are not recorded yet.
+
+    Every table is first cut down to the touched documents, so the joins, pairs and shuffles grow with them. Documents
+    whose last source went away are touched too if ``changed`` names it.
+    """
+    def build() -> dict[str, DataFrame]:
+        d, s, p, e, known = docs, srcs, snaps, evidence, ledger.table("conflicts")
+        if changed is not None:
+            ids = ledger.staged("touched", touched(srcs, changed))
+            d, s, e, known = (t.join(ids, "document_id", "left_semi") for t in (docs, srcs, evidence, known))
+            p = snaps.join(s.select("source_id"), "source_id", "left_semi")
+        said = ledger.staged("assertions", assertions(d, s, e, snaps=p))
+        ends = lambda x: said.select("document_id", F.col("source_id").alias(f"source_{x}"), F.col("snapshot_id").alias(f"snapshot_{x}"))
+        found = conflicts(said).join(ends("a"), ["document_id", "source_a"]).join(ends("b"), ["document_id", "source_b"])
+        return {"verdicts": _of_all(d, verdicts(said)), "conflicts": new_rows(found, known.select(*CONFLICT_KEY), CONFLICT_KEY)}
+
+    return ledger.run(batch_id, build)
+
+
+def verdicts_now(ledger: Ledger) -> DataFrame:
+    return ledger.latest("verdicts", ["document_id"])
+
+
 def active_conflicts(found: DataFrame) -> DataFrame:
     return found.where((F.coalesce(F.col("conflict_type"), F.lit("")) != "SYNTHETIC_TEST_CONFLICT") & ~F.coalesce(F.col("resolved"), F.lit(False)))
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.ledger import Ledger
 from ..sources.scratch import new_path
 
 
@@ -102,13 +103,30 @@ def reschedule(queue: DataFrame, now: str) -> DataFrame:
         "next_retry_at", T.next_retry(F.col("attempts"), F.col("item_id"), F.lit(now)))
 
 
-def drift_gate(batch: DataFrame, group: str, write: Callable[[DataFrame], None], divert: Callable[[DataFrame], None]) -> None:
-    """Groups of the real batch with a degraded circuit are diverted, the others written. Rows without a group are one group."""
+def tagged(batch: DataFrame, group: str) -> DataFrame:
+    """batch with the circuit of each row's group. Rows without a group are one group."""
     from ..operators.audit import drift
     state = drift(batch, group).select(F.col(group).alias("_group"), "circuit")
-    tagged = batch.join(state, batch[group].eqNullSafe(F.col("_group"))).drop("_group")
-    write(tagged.where("circuit = 'HEALTHY'").drop("circuit"))
-    divert(tagged.where("circuit <> 'HEALTHY'").drop("circuit"))
+    return batch.join(state, batch[group].eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def drift_gate(batch: DataFrame, group: str, write: Callable[[DataFrame], None], divert: Callable[[DataFrame], None]) -> None:
+    """Groups of the real batch with a degraded circuit are diverted, the others written; two writes (``drift_stream`` makes them one)."""
+    rows = tagged(batch, group)
+    write(rows.where("circuit = 'HEALTHY'").drop("circuit"))
+    divert(rows.where("circuit <> 'HEALTHY'").drop("circuit"))
+
+
+def drift_stream(stream: DataFrame, group: str, ledger: Ledger, checkpoint: str) -> None:
+    """T7 on a stream: both lanes of a micro-batch become visible together, once, in the ledger's tables written and diverted."""
+    from ..operators.intake import drift_lanes
+    run(stream, checkpoint, write=ledger.sink(lambda batch: drift_lanes(batch, group)))
+
+
+def intake_run(stream: DataFrame, ledger: Ledger, checkpoint: str, force: bool = False, before_commit: Callable[[int], None] | None = None) -> None:
+    """Drain a stream of items into the ledger's tables; marks move with the rows that move them."""
+    from ..operators.intake import build
+    run(stream, checkpoint, write=ledger.sink(lambda batch: build(ledger, batch, force), before_commit))
 
 
 def backfill(items: DataFrame, start: str, end: str) -> DataFrame:
