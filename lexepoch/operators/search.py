@@ -90,6 +90,14 @@ def _has(c: Column, q: Column) -> Column:
 KEY, MAX_QUESTIONS, FEW_KEYS = 3, 10_000, 64
 
 
+def questions(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """(query_id, q, q_number, q_tokens) of the questions that have letters or digits, and whether they are few."""
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where(F.col("q").rlike(r"[\p{L}\p{N}]"))
+    number = T.normalize_number(F.regexp_extract("q", r"([0-9]+/[0-9]{4}/[\p{L}0-9_.-]+)", 1))
+    q = q.select("query_id", "q", F.nullif(number, F.lit("")).alias("q_number"), T.tokens(F.col("q")).alias("q_tokens"))
+    return q, q.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS
+
+
 def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], list[str], bool]:
     """Questions (query_id, q, q_number, q_tokens, key, token), the lengths of their keys, the first FEW_KEYS + 1 keys, and
     whether the questions are few.
@@ -97,15 +105,13 @@ def _keyed(queries: DataFrame) -> tuple[DataFrame, list[int], list[str], bool]:
     A question's key is one of its runs of KEY letters (the last in code point order, as accented letters are rarer):
     a text that holds the question holds the key, so texts meet questions by equal keys.
     """
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("q")).where(F.col("q").rlike(r"[\p{L}\p{N}]"))
-    number = T.normalize_number(F.regexp_extract("q", r"([0-9]+/[0-9]{4}/[\p{L}0-9_.-]+)", 1))
-    tokens = T.tokens(F.col("q"))
-    q = q.select("query_id", "q", F.nullif(number, F.lit("")).alias("q_number"), tokens.alias("q_tokens"),
+    q, few = questions(queries)
+    q = q.select("query_id", "q", "q_number", "q_tokens",
                  F.when(F.length("q") <= KEY, F.col("q")).otherwise(F.array_max(_runs(F.col("q"), [KEY]))).alias("key"),
-                 F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("token"))
-    n = q.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.length("key")).alias("lengths")).first()
+                 F.array_max(F.transform("q_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("token"))
+    lengths = q.agg(F.collect_set(F.length("key")).alias("lengths")).first().lengths
     keys = sorted(r.key for r in q.select("key").distinct().limit(FEW_KEYS + 1).collect())
-    return q, sorted(n.lengths), keys, n.n <= MAX_QUESTIONS
+    return q, sorted(lengths), keys, few
 
 
 def _runs(c: Column, lengths: list[int]) -> Column:
@@ -121,32 +127,47 @@ def _keys_in(c: Column, lengths: list[int], keys: list[str], few_keys: int = FEW
     return T.let(c, lambda low: F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in keys])))
 
 
-def search(queries: DataFrame, docs: DataFrame, provs: DataFrame, k: int = 10, effective_only: bool = False) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, provs: DataFrame, k: int = 10, effective_only: bool = False, topics: list[str] | None = None) -> DataFrame:
     """Ranked documents of one or many queries (query_id, query): number, title phrase, all tokens, or a provision that
-    holds the phrase. A query without letters or digits finds nothing.
+    holds the phrase, only documents of one of the topics if any are asked for. A query without letters or digits finds
+    nothing.
 
     Texts meet queries by equi-joins, on the number, on a key that holders of the phrase share with it, and on the
-    query's longest token; what met is then checked. Each table is read once for all queries. Queries are broadcast if
-    they are few, by count.
+    query's longest token; what met is then checked. Texts are not copied for their keys: ids meet, and the contents of
+    what met are joined. Queries are broadcast if they are few, by count. Where the same tables are searched again and
+    again, ``postings`` writes an index of them once.
     """
     bound(k, 1, 50, "k")
     q, lengths, keys, few = _keyed(queries)
     q = F.broadcast(q) if few else q
     title = F.lower("title")
-    d = filters(docs, effective_only=effective_only).withColumn("n_number", T.normalize_number(F.col("document_number")))
+    d = filters(docs, effective_only=effective_only, topics=topics).withColumn("n_number", T.normalize_number(F.col("document_number")))
     heading = F.col("heading") if "heading" in provs.columns else F.lit(None).cast("string")
-    held = provs.select("document_id", "provision_id", "article", heading.alias("heading"), "content", "sort_key", F.explode(_keys_in(F.lower("content"), lengths, keys)).alias("key"))
-    in_provision = held.join(q.select("query_id", "q", "key"), "key").where(_has(F.col("content"), F.col("q")))
-    w = Window.partitionBy("query_id", "document_id").orderBy("sort_key", "provision_id")
-    top = (in_provision.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("query_id", "document_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.snippet(F.col("article"), F.col("heading"), F.col("content")).alias("s")))), lambda x: x["s"]), " | ").alias("snippets")))
+    wanted = provs.select("document_id", "provision_id", "article", heading.alias("heading"), "content", "sort_key")
+    if few:
+        held = wanted.withColumn("key", F.explode(_keys_in(F.lower("content"), lengths, keys))).join(q.select("query_id", "q", "key"), "key").where(_has(F.col("content"), F.col("q")))
+    else:
+        met = wanted.select("provision_id", F.explode(_keys_in(F.lower("content"), lengths, keys)).alias("key")).join(q.select("query_id", "q", "key"), "key").drop("key")
+        held = met.join(wanted, "provision_id").where(_has(F.col("content"), F.col("q")))
     by_number = d.join(q.select("query_id", F.col("q_number").alias("n_number")), "n_number").select("query_id", "document_id")
     by_title = (d.select("document_id", "title", F.explode(_keys_in(title, lengths, keys)).alias("key")).join(q.select("query_id", "q", "key"), "key")
                 .where(_has(F.col("title"), F.col("q"))).select("query_id", "document_id"))
     d_tokens = d.select("document_id", T.tokens(F.col("title")).alias("d_tokens"))
     by_tokens = (d_tokens.select("document_id", "d_tokens", F.explode("d_tokens").alias("token")).join(q.select("query_id", "q_tokens", "token"), "token")
                  .where(F.size(F.array_except("q_tokens", "d_tokens")) == 0).select("query_id", "document_id"))
-    found = by_number.union(by_title).union(by_tokens).withColumn("snippets", F.lit(None).cast("string")).unionByName(top)
+    return ranked(q, d, by_number.union(by_title).union(by_tokens), snippets(held), k)
+
+
+def snippets(held: DataFrame) -> DataFrame:
+    """(query_id, document_id, snippets): the first two provisions of each document that hold the question."""
+    w = Window.partitionBy("query_id", "document_id").orderBy("sort_key", "provision_id")
+    return (held.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy("query_id", "document_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", T.snippet(F.col("article"), F.col("heading"), F.col("content")).alias("s")))), lambda x: x["s"]), " | ").alias("snippets")))
+
+
+def ranked(q: DataFrame, d: DataFrame, found: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each question, from (query_id, document_id) found in titles and numbers and from provisions with snippets."""
+    found = found.withColumn("snippets", F.lit(None).cast("string")).unionByName(top)
     found = found.groupBy("query_id", "document_id").agg(F.max("snippets").alias("snippets"))
     score = (F.lit(0.1) + F.when(F.col("n_number") == F.col("q_number"), 0.8).otherwise(0.0) + F.when(_has(F.col("title"), F.col("q")), 0.4).otherwise(0.0)
              + F.when(F.col("document_nature") == "normative_legal_document", 0.15).when(F.col("document_nature") == "official_guidance", 0.05).otherwise(0.0))

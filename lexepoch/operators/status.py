@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Natures that are never law, and document states that all provisions inherit.
 NOT_LAW = ("draft", "proposal", "consultation")
 INHERITED = ("repealed", "replaced", "not_yet_effective", "expired", "suspended")
+#: States that edges decide.
+REACHED = ("repealed", "replaced", "suspended", "partially_effective", "effective")
 AFFECTING = ("repeals", "replaces", "suspends", "partially_repeals")
 
 
@@ -45,20 +47,23 @@ def documents_at(docs: DataFrame, rels: DataFrame, dates: list[str], with_edges:
         *[F.bool_or(F.col("relationship_type") == t).alias(t) for t in AFFECTING], F.count(F.lit(1)).alias("n"), *edges)
     base = at_dates(docs.select("document_id", "document_nature", "effective_from", "effective_to"), dates)
     joined = base.join(flags, ["document_id", "as_of"], "left")
-    day = F.col("as_of")
-    status = (F.when(F.col("document_nature").isin(*NOT_LAW), "not_yet_effective")
-              .when(F.col("effective_from").isNull(), "unknown")
-              .when(day < F.col("effective_from"), "not_yet_effective")
-              .when(day > F.col("effective_to"), "expired")
-              .when(F.col("repeals"), "repealed").when(F.col("replaces"), "replaced").when(F.col("suspends"), "suspended")
-              .when(F.col("partially_repeals"), "partially_effective").otherwise("effective"))
-    warning = (F.when(F.col("document_nature").isin(*NOT_LAW), "NOT_LAW").when(F.col("effective_from").isNull(), "MISSING_EFFECTIVE_DATE")
-               .when(F.col("status") == "not_yet_effective", "FUTURE").when(F.col("status") != "effective", F.upper("status")))
-    reached = F.col("status").isin("repealed", "replaced", "suspended", "partially_effective", "effective")
-    return joined.withColumn("status", status).select(
-        "document_id", "as_of", "status", F.col("status").isin("effective", "partially_effective").alias("is_effective"),
-        warning.alias("warning"), F.when(reached, F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_affecting"),
-        *([F.when(reached, F.col("edges")).alias("affecting")] if with_edges else []))
+    listed = [F.when(F.col("status").isin(*REACHED), F.col("edges")).alias("affecting")] if with_edges else []
+    return joined.select("*", *judged(F.col("as_of"), {t: F.col(t) for t in AFFECTING})).select(
+        "document_id", "as_of", "status", "is_effective", "warning", "n_affecting", *listed)
+
+
+def judged(day: Column, active: dict[str, Column]) -> list[Column]:
+    """status, is_effective, warning and n_affecting of a document (document_nature, effective_from, effective_to) on a day,
+    by which kinds of edges are active and their number n."""
+    nature, start = F.col("document_nature"), F.col("effective_from")
+    status = (F.when(nature.isin(*NOT_LAW), "not_yet_effective").when(start.isNull(), "unknown").when(day < start, "not_yet_effective")
+              .when(day > F.col("effective_to"), "expired").when(active["repeals"], "repealed").when(active["replaces"], "replaced")
+              .when(active["suspends"], "suspended").when(active["partially_repeals"], "partially_effective").otherwise("effective"))
+    warning = (F.when(nature.isin(*NOT_LAW), "NOT_LAW").when(start.isNull(), "MISSING_EFFECTIVE_DATE")
+               .when(status == "not_yet_effective", "FUTURE").when(status != "effective", F.upper(status)))
+    none = F.lit(0).cast("long")
+    return [status.alias("status"), status.isin("effective", "partially_effective").alias("is_effective"), warning.alias("warning"),
+            F.when(status.isin(*REACHED), F.coalesce(F.col("n").cast("long"), none)).otherwise(none).alias("n_affecting")]
 
 
 def partial_repeals(provs: DataFrame, rels: DataFrame, dates: list[str]) -> DataFrame:

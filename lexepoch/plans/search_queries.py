@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import search, status, verify
+from ..operators import postings, search, status, verify
+from ..sources.scratch import new_path
 from ..sources import tables as X
 from ..sources.tables import with_views
 from .temporal_queries import _AG, _CONF, _DATES_SQL, _FLAGS, _PER, _STATE, _VERD
@@ -48,6 +49,41 @@ def c15_one_question(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(_questions(spark).where("query_id = 3"), X.x_docs(spark, sf), X.x_provs(spark, sf), 10)
 
 
+_built: dict[tuple[str, str], postings.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> postings.Index:
+    """The index of a folder's documents and provisions, written once a session."""
+    at = spark.sparkContext.applicationId, sf
+    if at not in _built:
+        _built[at] = postings.build(X.x_docs(spark, sf), X.x_provs(spark, sf), new_path(spark, "index"))
+    return _built[at]
+
+
+def k5_indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten questions over the written index, and one that is shorter than its keys."""
+    return postings.search(_questions(spark), _index(spark, sf), 10)
+
+
+def k5_one_question(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.search(_questions(spark).where("query_id = 3"), _index(spark, sf), 10)
+
+
+def k5_question_a_document(spark: SparkSession, sf: str) -> DataFrame:
+    """As many questions as documents: every document's number, which longer numbers end with."""
+    index = _index(spark, sf)
+    asked = index.docs.select(F.col("document_id").alias("query_id"), F.col("document_number").alias("query"))
+    return postings.search(asked, index, 10).select("query_id", "rank", "document_id", "score")
+
+
+#: A question's words are its number, its year and the ending: a title has all of them if number and year are among its own.
+_K5_ALL = with_views("""SELECT query_id, rank, document_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM (
+  SELECT query_id, m.document_id, CAST(round(0.1 + max(phrase) + CASE document_nature WHEN 'normative_legal_document' THEN 0.15 WHEN 'official_guidance' THEN 0.05 ELSE 0 END, 6) AS DOUBLE) AS score
+  FROM met m JOIN x_docs d ON d.document_id = m.document_id GROUP BY query_id, m.document_id, document_nature)) WHERE rank <= 10""",
+                     ("met", """SELECT q.document_id AS query_id, d.document_id, CASE WHEN q.document_id = d.document_id THEN 1.2 ELSE 0.4 END AS phrase
+  FROM (SELECT *, substr(document_number, i) AS ending FROM (SELECT *, unnest(range(1, instr(document_number, '/')))::INT AS i FROM x_docs)) d JOIN x_docs q ON q.document_number = d.ending
+  UNION ALL SELECT q.document_id, d.document_id, 0 FROM x_docs q JOIN x_docs d ON q.document_id IN (d.document_id, year(d.issued_date)) AND year(q.issued_date) IN (d.document_id, year(d.issued_date))
+  WHERE q.document_id BETWEEN 1900 AND 2100"""))
 _C15_ONE = _C15 + " AND s.query_id = 3"
 
 
@@ -167,6 +203,6 @@ _C28 = with_views("""SELECT document_id, as_of, status, b AS blockers, b = '' AS
   FROM state s LEFT JOIN verd v ON v.document_id = s.document_id LEFT JOIN (SELECT document_id, count(*) AS n FROM x_evid WHERE NOT is_quarantined AND environment = 'production'
     AND evidence_origin <> 'synthetic_fixture' GROUP BY document_id) e ON e.document_id = s.document_id)""", _ONE, _FLAGS, _STATE, _CONF, _PER, _AG, _VERD)
 
-QUERIES = {f.__name__: f for f in (c15_search, c15_one_question, c17_effective_rules, c17_one_question, k3_answerability, c14_latest_updates, p2_window, p1_filters, j2_by_topic, p3_resolve, j3_relationships, c16_detail, c28_contract)}
-ORACLE = {"c15_search": _C15, "c15_one_question": _C15_ONE, "c17_effective_rules": _C17, "c17_one_question": _C17_ONE, "k3_answerability": _K3, "c14_latest_updates": _C14, "p2_window": _P2, "p1_filters": _P1, "j2_by_topic": _J2,
+QUERIES = {f.__name__: f for f in (c15_search, c15_one_question, k5_indexed_search, k5_one_question, k5_question_a_document, c17_effective_rules, c17_one_question, k3_answerability, c14_latest_updates, p2_window, p1_filters, j2_by_topic, p3_resolve, j3_relationships, c16_detail, c28_contract)}
+ORACLE = {"c15_search": _C15, "c15_one_question": _C15_ONE, "k5_indexed_search": _C15, "k5_one_question": _C15_ONE, "k5_question_a_document": _K5_ALL, "c17_effective_rules": _C17, "c17_one_question": _C17_ONE, "k3_answerability": _K3, "c14_latest_updates": _C14, "p2_window": _P2, "p1_filters": _P1, "j2_by_topic": _J2,
           "p3_resolve": _P3, "j3_relationships": _J3, "c16_detail": _C16, "c28_contract": _C28}
