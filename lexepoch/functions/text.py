@@ -1,4 +1,4 @@
-"""Column functions on titles and texts (F1-F30). All are built-in expressions but nfc and numeric entities."""
+"""Column functions on titles and texts (F1-F30). All are built-in expressions but nfc."""
 
 from __future__ import annotations
 
@@ -54,7 +54,55 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-# -- Arrow functions: what no built-in expression says ----------------------------------------------------------------
+# -- code points ------------------------------------------------------------------------------------------------------
+#: Combining marks that ``composed`` joins to letters, those that attach below or beside a letter first.
+MARKS = "\u0327\u0328\u031b\u0323\u0302\u0306\u0304\u0307\u0308\u030a\u030b\u030c\u0300\u0301\u0303\u0309"
+_LATIN = [chr(i) for i in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x2B0), *range(0x1E00, 0x1F00))]
+
+
+def _joins(mark: str) -> tuple[str, str]:
+    """Letters that the mark joins to one letter, and those letters."""
+    pairs = [(c, unicodedata.normalize("NFC", c + mark)) for c in _LATIN]
+    return "".join(c for c, x in pairs if len(x) == 1), "".join(x for _, x in pairs if len(x) == 1)
+
+
+def composed(c: Column) -> Column:
+    """NFC of Latin text by built-in expressions: letters with marks after them, in any order, become one letter.
+
+    Texts without marks pass at the price of one look. A mark that joins no letter stays as it is; ``nfc`` is the
+    complete form for all scripts.
+    """
+    def compose(text: Column) -> Column:
+        # Marks of an earlier class stand before others (the canonical order), then each mark joins the letter before it.
+        low, high = MARKS[:4], MARKS[4:]
+        for _ in range(2):
+            text = F.regexp_replace(text, f"([{high}])([{low}])", "$2$1")
+            for i in (1, 2, 3):
+                text = F.regexp_replace(text, f"([{low[i:]}])([{low[:i]}])", "$2$1")
+        for mark in MARKS + high:  # a letter may take two of the others, in the order in which they stand
+            text = let(text, _joining(mark))
+        return text
+
+    return let(c, lambda t: F.when(t.rlike(f"[{MARKS}]"), compose(t)).otherwise(t))
+
+
+def _joining(mark: str):
+    bases, wholes = _joins(mark)
+
+    def join(text: Column) -> Column:
+        parts = F.split(text, mark)
+
+        def part(p: Column, i: Column) -> Column:
+            last = F.substring(p, -1, 1)
+            fits = (p != "") & F.contains(F.lit(bases), last)
+            return (F.when(i == F.size(parts) - 1, p).when(fits, F.concat(F.substring(p, F.lit(1), F.length(p) - 1), F.translate(last, bases, wholes)))
+                    .otherwise(F.concat(p, F.lit(mark))))
+
+        return F.when(F.contains(text, F.lit(mark)), F.array_join(F.transform(parts, part), "")).otherwise(text)
+
+    return join
+
+
 @F.pandas_udf(StringType())
 def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
@@ -62,21 +110,29 @@ def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC."""
+    """Unicode NFC of any script, by an Arrow function."""
     return _nfc(c)
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import re
-    ref = re.compile(r"&#(?:x([0-9a-fA-F]+)|([0-9]+));")
+def _character(n: Column) -> Column:
+    """The character of a code point; null where there is none."""
+    unit = lambda x: F.lpad(F.hex(x), 4, "0")
+    high, low = F.lit(0xD800) + F.floor((n - 0x10000) / 1024), F.lit(0xDC00) + (n - 0x10000) % 1024
+    units = F.when((n < 0xD800) | n.between(0xE000, 0xFFFF), unit(n)).when(n.between(0x10000, 0x10FFFF), F.concat(unit(high), unit(low)))
+    return F.decode(F.unhex(units), "UTF-16BE")
 
-    def char(m) -> str:
-        n = int(m[1], 16) if m[1] else int(m[2])
-        return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
 
-    for s in parts:
-        yield s.map(lambda t: None if t is None else ref.sub(char, t))
+def numeric_entities(c: Column) -> Column:
+    """Hexadecimal references, then decimal ones, as characters; references to no character stay as they are."""
+    def decoded(text: Column, pattern: str, number) -> Column:
+        def join(part: Column, ref: Column) -> Column:
+            return F.concat(part, F.coalesce(_character(number(ref)), ref, F.lit("")))
+        return F.when(text.rlike(pattern), F.array_join(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), join), "")).otherwise(text)
+
+    hexadecimal = lambda r: F.conv(F.regexp_extract(r, "[xX]0*([0-9a-fA-F]{1,8});", 1), 16, 10).try_cast("long")
+    decimal = lambda r: F.regexp_extract(r, "#0*([0-9]{1,9});", 1).try_cast("long")
+    both = lambda t: let(decoded(t, "&#[xX][0-9a-fA-F]+;", hexadecimal), lambda u: decoded(u, "&#[0-9]+;", decimal))
+    return let(c, lambda t: F.when(F.contains(t, F.lit("&#")), both(t)).otherwise(t))
 
 
 def named_entities(c: Column) -> Column:
@@ -87,7 +143,7 @@ def named_entities(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """numeric entities, then the named ones in their fixed order."""
-    return named_entities(_numeric_entities(c))
+    return named_entities(numeric_entities(c))
 
 
 # -- dates ------------------------------------------------------------------------------------------------------------
@@ -200,12 +256,12 @@ def document_number(title: Column, text: Column | None = None, strict_parity: bo
     found = F.nullif(F.regexp_extract(title, rf"(?iu)số\s*[:.]?\s*({first}[0-9A-Za-zĐđ_./-]+)", 1), F.lit(""))
     if text is None:
         return found
-    return F.coalesce(found, F.nullif(F.regexp_extract(F.substring(text, 1, 1500), r"(?iu)Số\s*:\s*([0-9A-Za-zĐđ_./-]+)", 1), F.lit("")))
+    return F.coalesce(found, F.nullif(F.regexp_extract(F.substring(text, 1, 1500), rf"(?iu)Số\s*:\s*({first}[0-9A-Za-zĐđ_./-]+)", 1), F.lit("")))
 
 
 def normalize_number(c: Column) -> Column:
-    """F12 for composed input (see nfc): upper case, plain dashes and letters, no white space, no final punctuation."""
-    up = F.translate(F.upper(c), "–—" + ACCENTED, "--" + plain_letters())
+    """composed, upper case, plain dashes and letters, no white space, no final punctuation."""
+    up = F.translate(F.upper(composed(c)), "–—" + ACCENTED, "--" + plain_letters())
     return F.regexp_replace(F.regexp_replace(up, r"(?U)\s+", ""), r"[.,;:]+$", "")
 
 
@@ -221,12 +277,12 @@ def canonical_id(kind: Column, number: Column, issued: Column, natural_key: Colu
 
 def title_fingerprint(c: Column) -> Column:
     """F14."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(composed(c)), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
 
 
 def normalized_text(c: Column) -> Column:
-    """F16 for composed input: lower case, single spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    """F16: composed, lower case, single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(composed(c)), r"(?U)\s+", " "))
 
 
 def sha256(c: Column) -> Column:
@@ -247,13 +303,13 @@ def extract_year(number: Column, issued: Column, published: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    """tags to spaces, entities decoded (named ones; numeric ones where there are any), white space squeezed."""
-    return F.trim(F.regexp_replace(named_entities(F.regexp_replace(html, r"<[^>]*>", " ")), r"(?U)\s+", " "))
+    """tags to spaces, entities decoded (numeric ones, then named ones), white space squeezed."""
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(html, r"<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
 def query_terms(c: Column, longer_than: int = 1) -> Column:
-    """F20."""
-    return F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda x: F.length(x) > longer_than)
+    """runs of letters and digits in lower case, repeats included; all other characters only part them."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > longer_than)
 
 
 def tokens(c: Column) -> Column:

@@ -210,15 +210,24 @@ def fingerprint_shifts(marked: DataFrame, group: str, order: str) -> DataFrame:
     return marked.withColumn("previous", F.lag("fingerprint").over(w)).withColumn("shifted", F.coalesce(F.col("previous") != F.col("fingerprint"), F.lit(False)))
 
 
-def drift(records: DataFrame, group: str, min_extraction: float = 98.0, min_effective: float = 95.0, max_failures: int = 1) -> DataFrame:
-    """Coverage, failures and circuit of each group of records (document_number, title, effective_date, issuer)."""
+def drift(records: DataFrame, group: str | None, min_extraction: float = 98.0, min_effective: float = 95.0, max_failures: int = 1, expected: DataFrame | None = None) -> DataFrame:
+    """Coverage, failures and circuit of each group of records (document_number, title, effective_date, issuer), or of all of them as one batch.
+
+    A batch without records is degraded: NO_SAMPLES_EVALUATED. With groups, those of ``expected`` (the group's column)
+    that have no records are such batches.
+    """
     has = lambda c: ~blank(c)
     core = has("document_number") & has("title") & has("effective_date")
     n = F.count(F.lit(1))
-    pct = lambda c: F.round(F.count_if(c) * 100.0 / n, 6)
-    per = records.groupBy(group).agg(n.alias("total"), pct(core).alias("extraction_rate"), pct(has("document_number")).alias("identity_rate"),
-                                     pct(has("effective_date")).alias("effective_rate"), pct(has("issuer")).alias("issuer_rate"), F.count_if(~core).alias("failures"))
-    flags = F.filter(F.array(
+    pct = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(c) * 100.0, n), F.lit(0.0)), 6)
+    per = records.groupBy(*([group] if group else [])).agg(
+        n.alias("total"), pct(core).alias("extraction_rate"), pct(has("document_number")).alias("identity_rate"),
+        pct(has("effective_date")).alias("effective_rate"), pct(has("issuer")).alias("issuer_rate"), F.count_if(~core).alias("failures"))
+    if expected is not None:
+        names = expected.select(F.col(group).alias("_g")).distinct()
+        per = names.join(per, F.col("_g").eqNullSafe(F.col(group)), "full").withColumn(group, F.coalesce(group, "_g")).drop("_g").select(
+            group, *[F.coalesce(c, F.lit(0).cast(per.schema[c].dataType)).alias(c) for c in per.columns if c != group])
+    flags = F.when(F.col("total") == 0, F.array(F.lit("NO_SAMPLES_EVALUATED"))).otherwise(F.array_compact(F.array(
         F.when(F.col("extraction_rate") < min_extraction, "SCHEMA_CHANGED"), F.when(F.col("effective_rate") < min_effective, "EFFECTIVE_DATE_COVERAGE_LOW"),
-        F.when((F.col("failures") > max_failures) & (F.col("total") > 10), "SELECTOR_FAILURES")), lambda x: x.isNotNull())
+        F.when((F.col("failures") > max_failures) & (F.col("total") > 10), "SELECTOR_FAILURES"))))
     return per.withColumn("flags", F.array_join(flags, ",")).withColumn("circuit", F.when(F.size(flags) > 0, "DEGRADED").otherwise("HEALTHY"))

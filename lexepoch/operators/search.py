@@ -192,13 +192,16 @@ def provision_score(content: Column, heading: Column, terms: Column, q: Column,
     return F.round(phrase + per + F.when(in_document, 1.0).otherwise(0.0), 6)
 
 
-def effective_rules(queries: DataFrame, docs: DataFrame, provs: DataFrame, rels: DataFrame, as_of: str, k: int = 10, evidence: DataFrame | None = None) -> DataFrame:
+def effective_rules(queries: DataFrame, docs: DataFrame, provs: DataFrame, rels: DataFrame, as_of: str, k: int = 10, evidence: DataFrame | None = None,
+                    topics: list[str] | None = None, verdicts: DataFrame | None = None) -> DataFrame:
     """Provisions in force at a date for each query, rules and guidance ranked apart, k of each.
 
     Relevance is decided before status. The candidates, at most 20 of each query, are written once; the rest starts from
-    them: only their edges and provisions are read.
+    them: only their edges and provisions are read. With evidence (document_id, provision_id, field_name) rows have the
+    number and fields of theirs and a snippet; with verdicts, too, whether a row may be an answer: its document's sources
+    agree and something admissible speaks for it.
     """
-    cands = _kept(search(queries, docs, provs, 20, effective_only=True).select(
+    cands = _kept(search(queries, docs, provs, 20, effective_only=True, topics=topics).select(
         "query_id", "document_id", "title", "document_number", "document_nature", F.col("score").alias("doc_score")), "candidates")
     ids = cands.select("document_id").distinct()
     edges = rels.join(ids.withColumnRenamed("document_id", "target_document_id"), "target_document_id", "left_semi")
@@ -217,20 +220,33 @@ def effective_rules(queries: DataFrame, docs: DataFrame, provs: DataFrame, rels:
         "total_score", F.round(F.col("doc_score") * 0.4 + F.col("score") * 0.6, 6))
     w = Window.partitionBy("query_id", "lane").orderBy(F.col("total_score").desc(), "provision_id")
     top = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= bound(k, 1, 50, "k"))
-    out = top.select("query_id", "lane", "rank", "provision_id", "document_id", "article", "clause", "total_score")
+    out = top.select("query_id", "lane", "rank", "provision_id", "document_id", "article", "clause", "total_score",
+                     *([F.substring("content", 1, F.when(F.col("lane") == "guidance", 300).otherwise(250)).alias("snippet")] if evidence is not None else []))
     if evidence is None:
         return out
     from .evidence import for_provisions
-    return out.join(for_provisions(relevant, evidence), "provision_id", "left")
+    own = evidence.join(ids, "document_id", "left_semi")
+    out = out.join(for_provisions(relevant, own), "provision_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+    if verdicts is None:
+        return out
+    judged = verdicts.join(ids, "document_id", "left_semi").select("document_id", F.col("status").alias("verification"), F.col("answerable").alias("_agreed"))
+    return out.join(judged, "document_id", "left").withColumn("verification", F.coalesce("verification", F.lit("unverified"))).withColumn(
+        "answerable", F.coalesce("_agreed", F.lit(False)) & (F.col("n_evidence") > 0)).drop("_agreed")
 
 
-def answerability(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(query_id, n_rules, n_guidance, answerable, code)."""
-    n = rules.groupBy("query_id").agg(F.count_if(F.col("lane") == "rules").alias("n_rules"), F.count_if(F.col("lane") == "guidance").alias("n_guidance"))
+def answerability(queries: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """(query_id, n_rules, n_guidance, answerable, code). With strict only rows that may be answers (see ``effective_rules``
+    with verdicts) make a query answerable; the code tells what keeps the others from it."""
+    n = rules.groupBy("query_id").agg(
+        F.count_if(F.col("lane") == "rules").alias("n_rules"), F.count_if(F.col("lane") == "guidance").alias("n_guidance"),
+        *([F.count_if("answerable").alias("ok"), F.count_if(F.col("verification") == "conflicting").alias("against"), F.count_if(F.col("n_evidence") > 0).alias("spoken")] if strict else []))
     c = lambda x: F.coalesce(F.col(x), F.lit(0))
+    found = c("n_rules") + c("n_guidance")
+    code = F.when(found == 0, "INSUFFICIENT_EVIDENCE")
+    if strict:
+        code = code.when(c("ok") > 0, None).when(c("against") > 0, "SOURCE_CONFLICT").when(c("spoken") == 0, "INSUFFICIENT_EVIDENCE").otherwise("VERIFICATION_PENDING")
     return queries.select("query_id").join(n, "query_id", "left").select(
-        "query_id", c("n_rules").alias("n_rules"), c("n_guidance").alias("n_guidance"), (c("n_rules") + c("n_guidance") > 0).alias("answerable"),
-        F.when(c("n_rules") + c("n_guidance") == 0, "INSUFFICIENT_EVIDENCE").alias("code"))
+        "query_id", c("n_rules").alias("n_rules"), c("n_guidance").alias("n_guidance"), ((c("ok") if strict else found) > 0).alias("answerable"), code.alias("code"))
 
 
 def detail(docs: DataFrame, srcs: DataFrame, provs: DataFrame, rels: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:

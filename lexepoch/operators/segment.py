@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -25,8 +25,6 @@ class Rules:
 
 
 VN_RULES = Rules()
-#: Paragraphs as articles: for corpora without headings.
-LINE_RULES = Rules(chapter=r"^\x00", section=r"^\x00", article=r"^\x00")
 
 
 def provisions(docs: DataFrame, rules: Rules = VN_RULES) -> DataFrame:
@@ -36,7 +34,7 @@ def provisions(docs: DataFrame, rules: Rules = VN_RULES) -> DataFrame:
     chapter or section heading and the next article belong to none. In an article with clauses the text before the
     first is a provision of its own. A text without articles is one provision.
     """
-    given = docs.select("document_id", F.regexp_replace("text", r"\r\n", "\n").alias("text")).where(F.trim("text") != "")
+    given = docs.select("document_id", T.composed(F.regexp_replace("text", r"\r\n", "\n")).alias("text")).where(F.trim("text") != "")
     lines = (given.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
              .select("document_id", "pos", F.trim(F.regexp_replace("raw", r"^(?U)\s+|\s+$", "")).alias("line")).where("line <> ''"))
     is_a, is_c, is_s = F.col("line").rlike(rules.article), F.col("line").rlike(rules.chapter), F.col("line").rlike(rules.section)
@@ -90,10 +88,32 @@ EDGE_RULES = [
     ("guides", r"(?iu)hướng\s+dẫn\s+(?:thi\s+hành\s+)?(?:thông\s+tư|nghị\s+định|luật)\s+" + _NUMBER, 1)]
 
 
-def relationships(docs: DataFrame) -> DataFrame:
-    """(document_id, line_no, relationship_type, target_number, target_article, target_clause, snippet): the first rule
-    that matches a line gives its one edge; a partial repeal names a clause or an article."""
-    lines = docs.select("document_id", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "raw")).select("document_id", "line_no", F.trim("raw").alias("line"))
+#: Verbs and the edges they give, in the order in which a line is searched for them.
+VERBS = [("bãi bỏ", "repeals"), ("thay thế", "replaces"), ("sửa đổi", "amends"), ("bổ sung", "amends"), ("hướng dẫn", "guides")]
+_WORDS = r"\s+".join
+#: Words of a line: verbs, places in a document, documents with a number, numbers after "số" only, words that join a list, others.
+_TOKENS = "(?iu)" + "|".join([
+    *(_WORDS(v.split()) for v, _ in VERBS), r"thi\s+hành", r"khoản\s+[0-9]+", r"điều\s+[0-9]+",
+    r"(?:thông\s+tư|nghị\s+định|quyết\s+định)\s+" + _NUMBER, r"luật(?:\s+(?!số\s|bãi\s|thay\s|sửa\s|bổ\s|hướng\s)\p{L}+)*\s+" + _NUMBER, r"số\s+" + _NUMBER.removeprefix(r"(?:số\s+)?"),
+    r"(?:và|của|các|hoặc)(?![\p{L}\p{N}])", r"[\p{L}\p{N}]+"])
+
+
+def relationships(docs: DataFrame, first_only: bool = False) -> DataFrame:
+    """(document_id, line_no, relationship_type, target_number, target_article, target_clause, snippet): every document that a line names after a verb.
+
+    A number belongs to the verb before it. The first one must follow its verb at once (places, and words that join a
+    list, aside; after "amends" anything may stand between), later ones belong to it until the next verb. A repeal of a
+    named clause or article is partial. With first_only the first rule that matches a line gives its one edge.
+    """
+    lines = docs.select("document_id", F.posexplode(F.split(T.composed(F.col("text")), r"\r?\n")).alias("line_no", "raw")).select("document_id", "line_no", F.trim("raw").alias("line"))
+    found = (lines.withColumn("e", _first_edge()).where("e IS NOT NULL") if first_only
+             else lines.where(F.col("line").rlike("(?iu)" + "|".join(_WORDS(v.split()) for v, _ in VERBS))).withColumn("e", F.explode(_edges(F.col("line")))))
+    return found.select("document_id", "line_no", F.col("e.t").alias("relationship_type"), T.normalize_number(F.col("e.n")).alias("target_number"),
+                        F.when(F.col("e.a").isNotNull(), F.concat(F.lit("Điều "), "e.a")).alias("target_article"), F.col("e.c").alias("target_clause"),
+                        F.col("line").alias("snippet"))
+
+
+def _first_edge() -> Column:
     choices = []
     for name, pattern, group in EDGE_RULES:
         number = F.regexp_extract("line", pattern, group)
@@ -101,10 +121,36 @@ def relationships(docs: DataFrame) -> DataFrame:
         article = F.nullif(F.regexp_extract("line", pattern, 2), F.lit("")) if group == 3 else F.lit(None).cast("string")
         hit = (number != "") & ((clause.isNotNull() | article.isNotNull()) if group == 3 else F.lit(True))
         choices.append(F.when(hit, F.struct(F.lit(name).alias("t"), number.alias("n"), clause.alias("c"), article.alias("a"))))
-    found = lines.withColumn("e", F.coalesce(*choices)).where("e IS NOT NULL")
-    return found.select("document_id", "line_no", F.col("e.t").alias("relationship_type"), T.normalize_number(F.col("e.n")).alias("target_number"),
-                        F.when(F.col("e.a").isNotNull(), F.concat(F.lit("Điều "), "e.a")).alias("target_article"), F.col("e.c").alias("target_clause"),
-                        F.col("line").alias("snippet"))
+    return F.coalesce(*choices)
+
+
+def _edges(line: Column) -> Column:
+    """All edges of a line, by a fold over its tokens that carries the verb, whether it is open, and the places named since."""
+    none, edge = F.lit(None).cast("string"), "array<struct<t:string,n:string,c:string,a:string>>"
+    start = F.struct(none.alias("verb"), F.lit(False).alias("open"), F.lit(False).alias("sure"), none.alias("clause"), none.alias("article"), F.array().cast(edge).alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        low = F.regexp_replace(F.lower(token), r"\s+", " ")
+        verb = F.coalesce(*[F.when(low == v, F.lit(kind)) for v, kind in VERBS])
+        place = lambda word: F.nullif(F.regexp_extract(low, rf"^{word} ([0-9]+)$", 1), F.lit(""))
+        number = F.nullif(F.regexp_extract(token, r"(?iu)\s" + _NUMBER + "$", 1), F.lit(""))
+        named = low.rlike(r"^luật (?!số )[^0-9]")  # a law by its name: only where a place in it or a document before it was named
+        bare = low.startswith("số ")
+        placed = s["clause"].isNotNull() | s["article"].isNotNull()
+        fits = s["open"] & (s["sure"] | (~bare & (~named | placed | (s["verb"] == "amends")) & ~((s["verb"] == "guides") & low.startswith("quyết"))))
+        partial = (s["verb"] == "repeals") & placed
+        new = F.struct(F.when(partial, "partially_repeals").otherwise(s["verb"]).alias("t"), number.alias("n"), F.when(partial, s["clause"]).alias("c"), F.when(partial, s["article"]).alias("a"))
+        state = lambda verb, open_, sure, clause, article, out: F.struct(
+            verb.alias("verb"), open_.alias("open"), sure.alias("sure"), clause.alias("clause"), article.alias("article"), out.alias("out"))
+        true, false = F.lit(True), F.lit(False)
+        return (F.when(verb.isNotNull(), state(verb, true, false, none, none, s["out"]))
+                .when(number.isNotNull(), state(s["verb"], s["open"], s["sure"] | fits, none, none, F.when(fits, F.concat(s["out"], F.array(new))).otherwise(s["out"])))
+                .when(place("khoản").isNotNull(), state(s["verb"], s["open"], s["sure"], place("khoản"), none, s["out"]))
+                .when(place("điều").isNotNull(), state(s["verb"], s["open"], s["sure"], s["clause"], place("điều"), s["out"]))
+                .when(low.isin("và", "của", "các", "hoặc", "thi hành"), s)
+                .otherwise(state(s["verb"], s["open"] & (s["sure"] | (s["verb"] == "amends")), s["sure"], s["clause"], s["article"], s["out"])))
+
+    return F.aggregate(F.regexp_extract_all(line, F.lit(_TOKENS), 0), start, step)["out"]
 
 
 def resolve(edges: DataFrame, docs: DataFrame) -> DataFrame:

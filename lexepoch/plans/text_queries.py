@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import canonical, segment, snapshots
@@ -103,7 +105,7 @@ def f20_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(T.query_terms(F.col("text"))).alias("n_terms"), F.size(T.tokens(F.col("text"))).alias("n_tokens"))
 
 
-_F20 = r"""SELECT doc_id, len(list_filter(regexp_split_to_array(lower(trim(text)), '\s+'), lambda x: length(x) > 1)) AS n_terms,
+_F20 = r"""SELECT doc_id, len(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g')), '\s+'), lambda x: length(x) > 1)) AS n_terms,
   len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS n_tokens FROM documents"""
 
 
@@ -209,6 +211,39 @@ _C1 = with_views("""SELECT document_id, 'Chương I' AS chapter, article, c AS c
 _VERBS = {"repeals": "Bãi bỏ Nghị định số ", "replaces": "Thay thế Nghị định số ", "amends": "Sửa đổi, bổ sung một số điều của Nghị định số "}
 
 
+#: Letters of the views' words that have a decomposed form, and that form.
+_WHOLE = sorted({c for w in (*X.LABELS, *X.BODIES, *X.SUBJECTS, "Điều Khoản Mục Chương Mở đầu") for c in w if unicodedata.normalize("NFD", c) != c})
+
+
+def _decomposed(c: Column) -> Column:
+    for letter in _WHOLE:
+        c = F.replace(c, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    return c
+
+
+def c1_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in decomposed letters: the same headings are found, and what is cut out is composed."""
+    return segment.provisions(_articles(spark, sf).withColumn("text", _decomposed(F.col("text")))).select(
+        "document_id", "chapter", "article", "clause", "heading", "content", "sort_key", "content_hash")
+
+
+def f16_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles in decomposed letters have the fingerprint, the hash and the number of the composed ones."""
+    d = X.x_docs(spark, sf).withColumn("title", _decomposed(F.col("title")))
+    return d.select("document_id", T.title_fingerprint(F.col("title")).alias("title_fp"), T.sha256(T.normalized_text(F.col("title"))).alias("normalized_hash"),
+                    T.normalize_number(F.col("title")).alias("number"))
+
+
+_F16_DECOMPOSED = with_views(r"""SELECT document_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(title)), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title_fp,
+  sha256(trim(regexp_replace(lower(nfc_normalize(title)), '\s+', ' ', 'g'))) AS normalized_hash, regexp_replace(replace(upper(strip_accents(title)), 'Đ', 'D'), '\s+', '', 'g') AS number FROM x_docs""".replace(chr(92) * 2, chr(92)))
+
+
+def f19_encoded_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose letters e and n outside of tags are numeric references, one of them hexadecimal: the same text comes out."""
+    body = F.regexp_replace(F.regexp_replace("html", r"(?<=>)([^<>&]*?)e", "$1&#101;"), r"(?<=>)([^<>&#]*?)n", "$1&#x6E;")
+    return X.load(spark, sf, "pages").withColumn("html", body).select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("text_hash"), F.length(T.strip_tags(F.col("html"))).alias("n"))
+
+
 def c2_relationships(spark: SparkSession, sf: str) -> DataFrame:
     r = X.x_rels(spark, sf)
     number = F.concat(F.col("target_document_id").cast("string"), F.lit("/2020/NĐ-CP"))
@@ -227,6 +262,23 @@ _C2 = with_views("""SELECT document_id, line_no, relationship_type, target_docum
                  ("l", "SELECT *, source_document_id AS document_id, row_number() OVER (PARTITION BY source_document_id ORDER BY relationship_id) - 1 AS line_no FROM x_rels"))
 
 
+def c2_all_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """One line a document that repeals the first target, clauses of the second, amends the third and repeals all others."""
+    r = X.x_rels(spark, sf)
+    numbered = r.groupBy(F.col("source_document_id").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("relationship_id", "target_document_id"))).alias("all"))
+    law = lambda e: F.concat(F.lit("Nghị định số "), e["target_document_id"].cast("string"), F.lit("/2020/NĐ-CP"))
+    part = lambda e, i: (F.when(i == 0, F.concat(F.lit("Bãi bỏ "), law(e))).when(i == 1, F.concat(F.lit(", khoản 2 Điều 5 của "), law(e)))
+                         .when(i == 2, F.concat(F.lit("; sửa đổi một số điều của "), law(e), F.lit(" ngày 3 tháng 4 năm 2020; bãi bỏ các quyết định trước")))
+                         .otherwise(F.concat(F.when(i == 3, F.lit("; thay thế ")).otherwise(F.lit(" và ")), law(e))))
+    docs = numbered.select("document_id", F.array_join(F.transform("all", part), "").alias("text"))
+    return segment.relationships(docs).select("document_id", "line_no", "relationship_type", "target_number", "target_article", "target_clause")
+
+
+_C2_ALL = with_views("""SELECT document_id, 0 AS line_no, CASE n WHEN 0 THEN 'repeals' WHEN 1 THEN 'partially_repeals' WHEN 2 THEN 'amends' ELSE 'replaces' END AS relationship_type,
+  target_document_id || '/2020/ND-CP' AS target_number, CASE WHEN n = 1 THEN 'Điều 5' END AS target_article, CASE WHEN n = 1 THEN '2' END AS target_clause FROM (
+  SELECT source_document_id AS document_id, target_document_id, row_number() OVER (PARTITION BY source_document_id ORDER BY relationship_id) - 1 AS n FROM x_rels)""")
+
+
 def j12_resolved_edges(spark: SparkSession, sf: str) -> DataFrame:
     r, d = X.x_rels(spark, sf), X.x_docs(spark, sf)
     named = r.join(d.select(F.col("document_id").alias("target_document_id"), "document_number"), "target_document_id").select(
@@ -361,9 +413,10 @@ _S10 = with_views("""SELECT document_id, provision_id, content FROM x_provs WHER
   UNION ALL SELECT document_id, provision_id, upper(content) FROM x_provs WHERE document_id % 10 = 0 AND provision_id % 2 = 0""")
 
 QUERIES = {f.__name__: f for f in (
-    f11_metadata, f5_natures, f6_topics, f10_issuers, f17_object_hashes, f18_years, f26_local_dates, f2_dates, f12_identities, f16_hashes, f19_page_text, f1_decoded, f20_tokens, u3_topics, c1_segment, c2_relationships, j12_resolved_edges, c5_dedupe_match,
+    f11_metadata, f5_natures, f6_topics, f10_issuers, f17_object_hashes, f18_years, f26_local_dates, f2_dates, f12_identities, f16_hashes, f19_page_text, f1_decoded, f20_tokens, u3_topics, c1_segment, c1_decomposed, f16_decomposed, f19_encoded_text, c2_relationships, c2_all_targets, j12_resolved_edges, c5_dedupe_match,
     j13_merge, w6_changes, j6_current_snapshot, c6_snapshot_log, c23_idempotence, j15_integrity, a20_compare_datasets, s8_insert_ignore, s9_upsert, s10_replace_children)}
 ORACLE = {
+    "c1_decomposed": _C1, "f16_decomposed": _F16_DECOMPOSED, "f19_encoded_text": _F19, "c2_all_targets": _C2_ALL,
     "f11_metadata": _F11, "f5_natures": _F5, "f6_topics": _F6, "f10_issuers": _F10, "f17_object_hashes": _F17, "f18_years": _F18, "f26_local_dates": _F26, "f2_dates": _F2, "f12_identities": _F12, "f16_hashes": _F16, "f19_page_text": _F19, "f1_decoded": _F1, "f20_tokens": _F20, "u3_topics": _U3,
     "c1_segment": _C1, "c2_relationships": _C2, "j12_resolved_edges": _J12, "c5_dedupe_match": _C5, "j13_merge": _J13, "w6_changes": _W6, "j6_current_snapshot": _J6,
     "c6_snapshot_log": _C6, "c23_idempotence": _C23, "j15_integrity": _J15, "a20_compare_datasets": _A20, "s8_insert_ignore": _S8, "s9_upsert": _S9, "s10_replace_children": _S10}

@@ -52,7 +52,7 @@ def listing_links(pages: DataFrame, pattern: str, base: str, least: int = 5) ->
     link = rf"(?is)<a[^>]+href=[\"']({pattern})[\"'][^>]*>(.*?)</a>"
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), 1).alias("h"), F.regexp_extract_all("html", F.lit(link), 2).alias("t"))
     rows = pages.select("page_id", F.explode(pairs).alias("l")).select(
-        F.concat(F.lit(base), "l.h").alias("url"), T.named_entities(F.regexp_replace("l.t", "<[^>]+>", "")).alias("t"), "page_id")
+        F.concat(F.lit(base), "l.h").alias("url"), T.decode_entities(F.regexp_replace("l.t", "<[^>]+>", "")).alias("t"), "page_id")
     titled = rows.withColumn("title", F.trim(F.regexp_replace("t", r"(?U)\s+", " "))).where(F.length("title") >= least)
     return titled.groupBy("url").agg(F.min_by("title", F.struct("page_id", "title")).alias("title"))
 
