@@ -22,9 +22,10 @@ def current(srcs: DataFrame, snaps: DataFrame) -> DataFrame:
 
 
 def hashed(versions: DataFrame) -> DataFrame:
-    """Versions (source_id, version, snapshot_id, text) with the page hash and the hash of the normalised text."""
+    """Versions (source_id, version, snapshot_id, text and, if there is one, metadata, a map) with the hashes of page, normalised text and metadata."""
+    metadata = T.object_hash(F.col("metadata")) if "metadata" in versions.columns else F.lit(None).cast("string")
     return versions.select("source_id", "version", "snapshot_id", F.sha2("text", 256).alias("page_hash"),
-                           F.sha2(T.normalized_text(F.col("text")), 256).alias("text_hash"), F.lit(None).cast("string").alias("metadata_hash"))
+                           F.sha2(T.normalized_text(F.col("text")), 256).alias("text_hash"), metadata.alias("metadata_hash"))
 
 
 def changes(log: DataFrame) -> DataFrame:
@@ -62,16 +63,28 @@ def integrity(objects: DataFrame, recorded: DataFrame) -> DataFrame:
     return j.select("source_id", F.when(F.col("actual").isNull(), "MISSING").when(F.col("actual") == F.col("page_hash"), "VERIFIED").otherwise("MISMATCH").alias("state"))
 
 
-def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows of both versions and rows each has alone (as multisets)."""
-    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
+def compare_versions(before: DataFrame, after: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One row: rows of both versions and rows each has alone (as multisets).
+
+    Rows are told apart by sums of two 64-bit hashes per bucket, which do not depend on order: rows are shuffled only
+    from buckets whose sums or counts differ. Two versions whose 128 bits agree in every bucket count as equal.
+    """
     cols = before.columns
-    both = (before.select(*cols, F.lit(1).alias("_s")).unionByName(after.select(*cols, F.lit(-1).alias("_s"))))
-    per = both.groupBy(*cols).agg(F.sum("_s").alias("d"), F.count_if(F.col("_s") == 1).alias("b"), F.count_if(F.col("_s") == -1).alias("a"))
-    return per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("a"), F.lit(0)).alias("rows_after"),
-                   F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).alias("only_before"),
-                   F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_after")).withColumn(
-        "identical", (F.col("only_before") == 0) & (F.col("only_after") == 0))
+    digest = lambda salt: F.xxhash64(F.lit(salt), *cols, *[F.col(c).isNull() for c in cols])
+    tagged = before.select(*cols, F.lit(1).alias("_s")).unionByName(after.select(*cols, F.lit(-1).alias("_s"))).select(
+        "*", digest(1).alias("_h"), digest(2).alias("_g"))
+    tagged = tagged.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
+    side = lambda c, n: F.sum(F.when(F.col("_s") == n, c.cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)")))
+    sums = tagged.groupBy("_b").agg(F.count_if(F.col("_s") == 1).alias("b"), F.count_if(F.col("_s") == -1).alias("a"), *[
+        side(F.col(c), n).alias(f"{c}{i}") for c in ("_h", "_g") for i, n in enumerate((1, -1))])
+    same = (F.col("b") == F.col("a")) & (F.col("_h0") == F.col("_h1")) & (F.col("_g0") == F.col("_g1"))
+    totals = sums.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("a"), F.lit(0)).alias("rows_after"))
+    # One row a bucket at most: small whatever the tables hold.
+    rest = tagged.join(F.broadcast(sums.where(~same).select("_b")), "_b", "left_semi")
+    per = rest.groupBy(*cols).agg(F.sum("_s").alias("d"))
+    alone = per.agg(F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).alias("only_before"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_after"))
+    one = totals.unionByName(alone, allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in one.columns]).withColumn("identical", (F.col("only_before") == 0) & (F.col("only_after") == 0))
 
 
 def match_sources(items: DataFrame, srcs: DataFrame) -> DataFrame:
@@ -94,3 +107,19 @@ def checkpoints(items: DataFrame) -> DataFrame:
     """High-water mark per source: latest date and the item that has it."""
     return items.groupBy("source_name").agg(F.max("published").alias("last_date"),
                                             F.max_by("item_id", F.struct("published", "item_id")).alias("last_item"))
+
+
+def pointers(srcs: DataFrame, log: DataFrame) -> DataFrame:
+    """(source_id, current_snapshot_id): the pointer view of an append-only log (source_id, version, snapshot_id), the latest version of each source."""
+    newest = log.groupBy("source_id").agg(F.max_by("snapshot_id", F.struct("version", "snapshot_id")).alias("current_snapshot_id"))
+    return srcs.select("source_id").distinct().join(newest, "source_id", "left")
+
+
+def repoint(srcs: DataFrame, snaps: DataFrame, evidence: DataFrame) -> DataFrame:
+    """srcs (source_id, current_snapshot_id) away from snapshots with quarantined evidence: to the newest snapshot without, null if there is none."""
+    bad = evidence.where(F.coalesce("is_quarantined", F.lit(False))).select("snapshot_id").distinct()
+    spoilt = srcs.join(bad, srcs.current_snapshot_id == bad.snapshot_id, "left_semi").select("source_id")
+    clean = (snaps.join(spoilt, "source_id", "left_semi").join(bad, "snapshot_id", "left_anti").groupBy("source_id")
+             .agg(F.max_by("snapshot_id", F.struct("fetched_at", "snapshot_id")).alias("_clean")))
+    tagged = srcs.join(spoilt.withColumn("_spoilt", F.lit(True)), "source_id", "left").join(clean, "source_id", "left")
+    return tagged.withColumn("current_snapshot_id", F.when(F.col("_spoilt"), F.col("_clean")).otherwise(F.col("current_snapshot_id"))).drop("_spoilt", "_clean")

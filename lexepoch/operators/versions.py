@@ -25,17 +25,18 @@ def chain(provs: DataFrame) -> DataFrame:
 
 
 def compare(provs: DataFrame, before: str, after: str) -> DataFrame:
-    """(document_id, article, clause, change, new_article): UNCHANGED, MODIFIED, ADDED, REMOVED or RENUMBERED.
+    """(document_id, article, clause, change, new_article): UNCHANGED, MODIFIED, ADDED, REMOVED, RENUMBERED or UNKNOWN.
 
-    Removed and added provisions of one document with the same content are one renumbered provision.
+    Removed and added provisions of one document with the same content are one renumbered provision. Where a version's
+    content is not known (null), whether it has changed is not either.
     """
-    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
-    side = lambda d, p: as_of(provs, [d]).select(*[F.col(k).alias(f"{p}_{k}") for k in KEY], digest.alias(f"{p}_hash"))
+    digest = F.sha2("content", 256)
+    side = lambda d, p: as_of(provs, [d]).select(*[F.col(k).alias(f"{p}_{k}") for k in KEY], digest.alias(f"{p}_hash"), F.lit(True).alias(f"in_{p}"))
     on = [F.col(f"old_{k}").eqNullSafe(F.col(f"new_{k}")) for k in KEY]
     both = side(before, "old").join(side(after, "new"), on, "full").select(
-        *[F.coalesce(f"old_{k}", f"new_{k}").alias(k) for k in KEY], "old_hash", "new_hash")
-    known = both.withColumn("change", F.when(F.col("old_hash").isNull(), "ADDED").when(F.col("new_hash").isNull(), "REMOVED")
-                            .when(F.col("old_hash") == F.col("new_hash"), "UNCHANGED").otherwise("MODIFIED"))
+        *[F.coalesce(f"old_{k}", f"new_{k}").alias(k) for k in KEY], "old_hash", "new_hash", "in_old", "in_new")
+    known = both.withColumn("change", F.when(F.col("in_old").isNull(), "ADDED").when(F.col("in_new").isNull(), "REMOVED")
+                            .when(F.col("old_hash").isNull() | F.col("new_hash").isNull(), "UNKNOWN").when(F.col("old_hash") == F.col("new_hash"), "UNCHANGED").otherwise("MODIFIED"))
     order = Window.partitionBy("document_id", "h").orderBy("article", "clause")
     gone = (known.where("change = 'REMOVED'").withColumn("h", F.col("old_hash")).withColumn("n", F.row_number().over(order))
             .select("document_id", "article", "clause", "h", "n"))

@@ -11,14 +11,17 @@ from ..sources.scratch import new_path
 from ..sources.tables import with_views
 
 
-def process(items: DataFrame) -> dict[str, DataFrame]:
-    """items (document_id, title, text, source_id, source_authority) -> tables documents, provisions, relationships,
-    evidence, verdicts, errors. Items without a title or a text are errors and stop no other item.
+def process(items: DataFrame, run_date: str | None = None) -> dict[str, DataFrame]:
+    """items (document_id, title, text, source_id, source_authority and, if known, published) -> tables documents, provisions,
+    relationships, evidence, events, verdicts, errors. Items without a title or a text are errors and stop no other item.
+
+    Every item that is taken is an event: its document was published, on the run's date where the item has none.
     """
+    items = items if "published" in items.columns else items.withColumn("published", F.lit(None).cast("date"))
     bad = F.coalesce(F.trim("title"), F.lit("")) == ""
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
     errors = items.where(bad | empty).select("document_id", F.when(bad, "MISSING_TITLE").otherwise("MISSING_TEXT").alias("reason"))
-    parsed = items.where(~bad & ~empty).withColumn("m", T.metadata(F.col("title"), F.col("text"))).select("document_id", "text", "source_id", "source_authority", "m.*")
+    parsed = items.where(~bad & ~empty).withColumn("m", T.metadata(F.col("title"), F.col("text"))).select("document_id", "text", "source_id", "source_authority", "published", "m.*")
     spark = items.sparkSession
     path = new_path(spark, "parsed")
     parsed.withColumn("canonical_id", T.canonical_id(F.col("document_type"), F.col("document_number"), F.col("issued_date"), F.concat_ws("|", "title", "source_id"))).write.parquet(path)
@@ -29,11 +32,15 @@ def process(items: DataFrame) -> dict[str, DataFrame]:
     provs = spark.read.parquet(cut)  # segmented once: evidence reads them, too
     asserts = named.join(srcs.select("source_id", F.col("document_id").alias("kept")), "source_id").select(
         F.col("kept").alias("document_id"), "source_id", "source_authority", "document_number", "issued_date", "effective_from", F.lit(None).cast("date").alias("effective_to"))
-    return {"documents": docs, "provisions": provs, "relationships": segment.resolve(segment.relationships(docs), docs),
+    day = F.coalesce("published", F.lit(run_date).cast("date") if run_date else T.local_today(F.current_timestamp()))
+    events = named.join(srcs.select("source_id", F.col("document_id").alias("kept")), "source_id").select(
+        F.col("kept").alias("document_id"), F.lit("published").alias("event_type"), day.alias("event_date"), "effective_from",
+        F.concat(F.lit("Document published: "), "title").alias("description"), F.col("source_id").alias("snapshot_id"))
+    return {"documents": docs, "events": events, "provisions": provs, "relationships": segment.resolve(segment.relationships(docs), docs),
             "evidence": evidence.from_metadata(docs, provs), "verdicts": verify.verdicts(asserts), "errors": errors}
 
 
-def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:
+def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Every document from one or two sources, with up to three articles of two clauses each, a few without a text; the
     second source states another date now and then."""
     from .text_queries import _texts
@@ -44,8 +51,18 @@ def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:
     articles = F.when(i % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(1), (i % 4).cast("int")), article), "")).otherwise("")
     stated = F.when((F.col("copy") == 1) & (i % 12 == 0), F.regexp_replace("text", "năm ([0-9]{4})\nVăn", "năm 1980\nVăn")).otherwise(F.col("text"))
     text = F.when(i % 50 == 49, F.lit("")).otherwise(F.concat(stated, articles))
-    items = copies.select((i * 2 + F.col("copy")).alias("document_id"), "title", text.alias("text"), (i * 2 + F.col("copy")).alias("source_id"), F.lit("tier_a").alias("source_authority"))
-    out = process(items)
+    return copies.select((i * 2 + F.col("copy")).alias("document_id"), "title", text.alias("text"), (i * 2 + F.col("copy")).alias("source_id"), F.lit("tier_a").alias("source_authority"))
+
+
+def c29_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item's event; items of even documents carry a date."""
+    items = _items(spark, sf)
+    dated = F.when(F.col("document_id") % 4 < 2, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("document_id") % 100).cast("int")))
+    return process(items.withColumn("published", dated), "2024-06-30")["events"].drop("description")
+
+
+def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    out = process(_items(spark, sf))
     n = out["provisions"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n_provisions"))
     return (out["documents"].select("document_id", "canonical_id").join(n, "document_id", "left")
             .join(out["verdicts"].select("document_id", "n_sources", "status"), "document_id", "left"))
@@ -57,5 +74,9 @@ _C29 = with_views(f"""SELECT document_id * 2 AS document_id, 'VN:' || {_CODE} ||
     WHEN effective_from IS NULL THEN 'single_source_verified' WHEN document_id % 3 = 0 THEN 'cross_verified' ELSE 'single_source_verified' END AS status
   FROM x_docs WHERE document_id % 50 <> 49""")
 
-QUERIES = {"c29_corpus": c29_corpus}
-ORACLE = {"c29_corpus": _C29}
+_C29_EVENTS = with_views("""SELECT document_id * 2 AS document_id, 'published' AS event_type, CASE WHEN (document_id * 2 + copy) % 4 < 2 THEN CAST(DATE '2024-01-01' + ((document_id * 2 + copy) % 100)::INT AS DATE)
+    ELSE DATE '2024-06-30' END AS event_date, effective_from, document_id * 2 + copy AS snapshot_id
+  FROM x_docs JOIN (SELECT 0 AS copy UNION ALL SELECT 1) c ON copy = 0 OR document_id % 3 = 0 WHERE document_id % 50 <> 49""")
+
+QUERIES = {"c29_corpus": c29_corpus, "c29_events": c29_events}
+ORACLE = {"c29_corpus": _C29, "c29_events": _C29_EVENTS}

@@ -200,10 +200,10 @@ def t2_admit(spark: SparkSession, sf: str) -> DataFrame:
 def t3_snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Two landings of page versions, read one after the other by a stateful stream that remembers hashes."""
     path = new_path(spark, "t3")
-    log = snapshots.hashed(X.x_snaps(spark, sf)).select("source_id", "version", "page_hash")
+    log = snapshots.hashed(X.x_snaps(spark, sf)).select("source_id", "version", *snapshots.HASHES)
     for v in (1, 2):
         log.where(F.col("version") == v).write.mode("append").parquet(f"{path}-in")
-        stream = streams.intake(spark, f"{path}-in", "source_id long, version int, page_hash string")
+        stream = streams.intake(spark, f"{path}-in", "source_id long, version int, page_hash string, text_hash string, metadata_hash string")
         streams.run(streams.snapshot_changes(stream), f"{path}-checkpoint", path=f"{path}-out")
     return spark.read.schema("source_id long, version int, change string").parquet(f"{path}-out")
 
@@ -303,6 +303,29 @@ _T8S = """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS
   HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 
 
+def t8_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour windows that begin every two hours."""
+    wide = streams.windows(_stream(spark, sf), "6 hours", "1 hour", "2 hours")
+    return streams.drained(wide, "t8w").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+_T8W = """SELECT window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR,
+  time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS window_start FROM events) WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL"""
+
+
+def t8_stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed hours of each type, empty ones too, against the day before them."""
+    with streams.with_rocksdb(spark):
+        out = streams.drained(streams.stream_alerts(_stream(spark, sf).where("event_id % 3 = 0").select("event_type", "ts")), "t8a")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_T8A = """SELECT h AS window_start, event_type, n, round(avg(n) OVER w, 6) AS trailing_mean, coalesce(n > round(avg(n) OVER w, 6) * 2, FALSE) AS alert FROM (
+  SELECT s.event_type, h, coalesce(c.n, 0) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', min(ts)), (SELECT max(ts) FROM events WHERE event_id % 3 = 0) - INTERVAL 2 HOUR, INTERVAL 1 HOUR)) AS h
+    FROM events WHERE event_id % 3 = 0 GROUP BY event_type) s LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL) c ON c.event_type = s.event_type AND c.hour = s.h)
+  WINDOW w AS (PARTITION BY event_type ORDER BY h ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""
+
+
 def t9_stream_updates(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.x_docs(spark, sf)
     n = X.load(spark, sf, "orders").count()
@@ -322,8 +345,8 @@ _T10 = with_views("SELECT source_name, item_id, published FROM items WHERE publi
 
 QUERIES = {f.__name__: f for f in (
     s1_scan, s2_feed_items, s3_listing_links, s4_attachments, s5_html_properties, s6_xml_records, s7_xml_history, s11_object_keys, p6_admit_urls, w7_checkpoints, c7_admitted_items,
-    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t5_resume, t7_drift_gate, t6_due, f27_next_retry, t8_alert_windows, t8_stream_windows, t9_stream_updates, t10_reconcile)}
+    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t5_resume, t7_drift_gate, t6_due, f27_next_retry, t8_alert_windows, t8_stream_windows, t8_sliding_windows, t8_stream_alerts, t9_stream_updates, t10_reconcile)}
 ORACLE = {
     "s1_scan": _S1, "s2_feed_items": _S2, "s3_listing_links": _S3, "s4_attachments": _S4, "s5_html_properties": _S5, "s6_xml_records": _S6, "s7_xml_history": _S7, "s11_object_keys": _S11,
     "p6_admit_urls": _P6, "w7_checkpoints": _W7, "c7_admitted_items": _C7, "j14_match_sources": _J14, "t1_intake": _T1, "t2_admit": _C7, "t3_snapshot_changes": _T3, "t4_dedupe": _T4,
-    "t5_resume": _T5, "t7_drift_gate": _T7, "t6_due": _T6, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t9_stream_updates": _T9, "t10_reconcile": _T10}
+    "t5_resume": _T5, "t7_drift_gate": _T7, "t6_due": _T6, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t8_sliding_windows": _T8W, "t8_stream_alerts": _T8A, "t9_stream_updates": _T9, "t10_reconcile": _T10}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as T
 from ..operators import canonical, segment, snapshots
 from ..sources import sinks, tables as X
+from ..sources.scratch import new_path
 from ..sources.tables import with_views
 
 _DMY = "day(issued_date) || '/' || month(issued_date) || '/' || year(issued_date)"
@@ -409,14 +410,22 @@ def s10_replace_children(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.replace_children(p, new, "document_id")
 
 
+def s10_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The same replacement as a write: a table in parts, of which only those with replaced parents are overwritten."""
+    p, path = X.x_provs(spark, sf).select("document_id", "provision_id", "content"), new_path(spark, "s10")
+    sinks.write_parts(p, path, "document_id", 64)
+    sinks.replace_parts(p.where("document_id % 10 = 0 AND provision_id % 2 = 0").withColumn("content", F.upper("content")), path, "document_id", 64)
+    return spark.read.parquet(path).drop("part")
+
+
 _S10 = with_views("""SELECT document_id, provision_id, content FROM x_provs WHERE document_id NOT IN (SELECT document_id FROM x_provs WHERE document_id % 10 = 0 AND provision_id % 2 = 0)
   UNION ALL SELECT document_id, provision_id, upper(content) FROM x_provs WHERE document_id % 10 = 0 AND provision_id % 2 = 0""")
 
 QUERIES = {f.__name__: f for f in (
     f11_metadata, f5_natures, f6_topics, f10_issuers, f17_object_hashes, f18_years, f26_local_dates, f2_dates, f12_identities, f16_hashes, f19_page_text, f1_decoded, f20_tokens, u3_topics, c1_segment, c1_decomposed, f16_decomposed, f19_encoded_text, c2_relationships, c2_all_targets, j12_resolved_edges, c5_dedupe_match,
-    j13_merge, w6_changes, j6_current_snapshot, c6_snapshot_log, c23_idempotence, j15_integrity, a20_compare_datasets, s8_insert_ignore, s9_upsert, s10_replace_children)}
+    j13_merge, w6_changes, j6_current_snapshot, c6_snapshot_log, c23_idempotence, j15_integrity, a20_compare_datasets, s8_insert_ignore, s9_upsert, s10_replace_children, s10_written)}
 ORACLE = {
-    "c1_decomposed": _C1, "f16_decomposed": _F16_DECOMPOSED, "f19_encoded_text": _F19, "c2_all_targets": _C2_ALL,
+    "c1_decomposed": _C1, "s10_written": _S10, "f16_decomposed": _F16_DECOMPOSED, "f19_encoded_text": _F19, "c2_all_targets": _C2_ALL,
     "f11_metadata": _F11, "f5_natures": _F5, "f6_topics": _F6, "f10_issuers": _F10, "f17_object_hashes": _F17, "f18_years": _F18, "f26_local_dates": _F26, "f2_dates": _F2, "f12_identities": _F12, "f16_hashes": _F16, "f19_page_text": _F19, "f1_decoded": _F1, "f20_tokens": _F20, "u3_topics": _U3,
     "c1_segment": _C1, "c2_relationships": _C2, "j12_resolved_edges": _J12, "c5_dedupe_match": _C5, "j13_merge": _J13, "w6_changes": _W6, "j6_current_snapshot": _J6,
     "c6_snapshot_log": _C6, "c23_idempotence": _C23, "j15_integrity": _J15, "a20_compare_datasets": _A20, "s8_insert_ignore": _S8, "s9_upsert": _S9, "s10_replace_children": _S10}

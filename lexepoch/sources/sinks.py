@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import new_path
+
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of df whose keys existing lacks; of rows that share new keys one stays."""
@@ -35,7 +37,22 @@ def replace_children(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return base.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
-def land(df: DataFrame, path: str) -> None:
-    """Raw landing, partitioned by source, year and month of column landed_on."""
-    (df.withColumn("year", F.date_format("landed_on", "yyyy")).withColumn("month", F.date_format("landed_on", "MM"))
-     .write.mode("append").partitionBy("source_name", "year", "month").parquet(path))
+def write_parts(df: DataFrame, path: str, key: str, parts: int) -> None:
+    """A new table folder in parts by a hash of key, in which ``replace_parts`` can replace parents."""
+    df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition("part").write.mode("errorifexists").partitionBy("part").parquet(path)
+
+
+def replace_parts(rows: DataFrame, path: str, key: str, parts: int) -> None:
+    """Replace the children of all parents that rows has, in place: only the parts with such parents are read and written.
+
+    The new parts are written beside the table first, so no file is read while it is replaced, and running it again
+    gives the same table. rows has the table's columns.
+    """
+    spark = rows.sparkSession
+    schema = rows.withColumn("part", F.lit(0)).schema
+    new = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    touched = sorted(r.part for r in new.select("part").distinct().collect())  # at most ``parts`` numbers
+    old = spark.read.schema(schema).parquet(path).where(F.col("part").isin(touched))
+    beside = new_path(spark, "parts")
+    old.join(rows.select(key).distinct(), key, "left_anti").unionByName(new).write.parquet(beside)
+    (spark.read.schema(schema).parquet(beside).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path))

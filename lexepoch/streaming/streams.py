@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -54,29 +56,35 @@ def dedupe(items: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
 
 
 def snapshot_changes(items: DataFrame) -> DataFrame:
-    """Items (source_id, version, page_hash) whose hash differs from the last one of their source.
+    """Items (source_id, version, and any of page_hash, text_hash, metadata_hash) that differ from what is known of their source.
 
-    The state is one hash per source; within a micro-batch versions are taken in order.
+    The state is the last hash of each kind; a null hash says nothing and keeps the old one. Within a micro-batch
+    versions are taken in order.
     """
+    from ..operators.snapshots import HASHES
+    kinds = [h for h in HASHES if h in items.columns]
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("version")
+        known = state.exists
+        last = list(state.get) if known else [None] * len(kinds)
+        rows = pd.concat(list(frames)).sort_values("version", kind="stable")
         out = []
-        for version, value in zip(rows["version"], rows["page_hash"]):
-            if value is not None and value != last:
-                out.append((key[0], version, "CREATED" if last is None else "CHANGED"))
-                last = value
-        if last is not None:
-            state.update((last,))
+        for version, *values in zip(rows["version"], *(rows[k] for k in kinds)):
+            new = [not pd.isna(v) and v != old for v, old in zip(values, last)]
+            if any(new):
+                out.append((key[0], version, "CHANGED" if known else "CREATED"))
+                last, known = [v if n else old for v, old, n in zip(values, last, new)], True
+        if known:
+            state.update(tuple(last))
         yield pd.DataFrame(out, columns=["source_id", "version", "change"])
 
     return items.groupBy("source_id").applyInPandasWithState(
-        step, "source_id long, version int, change string", "page_hash string", "append", GroupStateTimeout.NoTimeout)
+        step, "source_id long, version int, change string", ", ".join(f"{k} string" for k in kinds), "append", GroupStateTimeout.NoTimeout)
 
 
-def windows(events: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """T8, first half: counts per tumbling window and type, final once the watermark has passed."""
-    return (events.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+def windows(events: DataFrame, size: str = "1 hour", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """T8, first half: counts per window and type, tumbling or (with ``slide``) sliding, final once the watermark has passed."""
+    return (events.withWatermark("ts", delay).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), "event_type", "n"))
 
 
@@ -87,6 +95,78 @@ def alerts(counts: DataFrame, factor: float = 2.0, back: int = 24) -> DataFrame:
         "alert", F.coalesce(F.col("n") > F.col("trailing_mean") * factor, F.lit(False)))
 
 
+class _Trailing(StatefulProcessor):
+    """Counts of a key's open windows, and of the last closed ones; a timer at the end of the next window closes it."""
+
+    def __init__(self, size_ms: int, back: int, factor: float):
+        self.size, self.back, self.factor = size_ms, back, factor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "n long")
+        self.closed = handle.getValueState("closed", "next long, counts array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        closed = self.closed.get() if self.closed.exists() else None
+        for frame in rows:
+            starts = frame["ms"] // self.size * self.size
+            for start, n in starts.value_counts().items():
+                if closed is None or start >= closed[0]:  # its window is not closed yet
+                    had = self.open.getValue((int(start),)) if self.open.containsKey((int(start),)) else (0,)
+                    self.open.updateValue((int(start),), (int(had[0]) + int(n),))
+        waiting = [k[0] for k in self.open.keys()]
+        if closed is None and waiting:
+            self.closed.update((min(waiting), []))
+            self._wait(min(waiting) + self.size)
+        elif closed is not None and closed[1] == [] and waiting and min(waiting) < closed[0]:
+            self.closed.update((min(waiting), []))
+            self._wait(min(waiting) + self.size)
+        yield from ()
+
+    def _wait(self, at: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, counts = self.closed.get()
+        counts, out = [int(c) for c in counts], []
+        while at + self.size <= timerValues.getCurrentWatermarkInMs():
+            n = int(self.open.getValue((at,))[0]) if self.open.containsKey((at,)) else 0
+            self.open.removeKey((at,))
+            mean = round(sum(counts) / len(counts), 6) if counts else None
+            out.append((pd.Timestamp(at, unit="ms"), key[0], n, mean, mean is not None and n > mean * self.factor))
+            counts, at = [*counts, n][-self.back:], at + self.size
+        self.closed.update((at, counts))
+        self._wait(at + self.size)
+        if out:
+            yield pd.DataFrame(out, columns=["window_start", "event_type", "n", "trailing_mean", "alert"]).astype({"trailing_mean": "float64"})
+
+
+def stream_alerts(events: DataFrame, size: str = "1 hour", delay: str = "1 hour", factor: float = 2.0, back: int = 24) -> DataFrame:
+    """T8 in the stream: every closed window of a type from its first on, empty ones too, with the mean of up to ``back`` windows before it.
+
+    events (event_type, ts). State is the counts of open windows and of the last ``back`` closed ones. It needs the
+    RocksDB state store (see ``with_rocksdb``).
+    """
+    ms = int(pd.Timedelta(size).total_seconds() * 1000)
+    rows = events.withWatermark("ts", delay).select("event_type", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("event_type").transformWithStateInPandas(
+        _Trailing(ms, back, factor), "window_start timestamp, event_type string, n long, trailing_mean double, alert boolean", "append", "eventTime")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers need, for the queries that start inside; the session is left as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def latest_updates(events: DataFrame, docs: DataFrame) -> DataFrame:
     """A stream of events with the documents they are about."""
     return events.join(docs.select("document_id", "document_number", "title"), "document_id")
