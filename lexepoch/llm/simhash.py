@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import hot_join, lean, materialize, ship, shuffle_partitions, sieve, sifted, text_of
+from .common import hot_join, lean, materialize, rank_within, ship, shuffle_partitions, sieve, sifted, text_of
 from .components import components
 
 #: Groups of at most so many fingerprints under one key are compared pairwise; larger ones are walked breadth first,
@@ -239,8 +239,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, max_bits: int = 2, segments: in
 
 # -- the pipeline's stage: links checked on five-word shingles --------------------------------------------------------
 #: A pair at the very threshold differs by 3 bits or fewer under one seed in about a quarter of cases, so under one of
-#: eight seeds in 90 %; most near copies are well above the threshold.
-SEEDS = tuple(range(1, 9))
+#: twelve seeds in 97 %; most near copies are well above the threshold.
+SEEDS = tuple(range(1, 13))
+
+#: Members of a cluster in one task, and the ranks at which the rounds over large clusters end.
+BLOCK, ROUNDS = 4096, (64, 4096)
 
 
 #: Bits of a parity bitmap: it tells sets apart that are unlike and have up to about twice as many shingles.
@@ -275,99 +278,97 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int):
                                           pa.array([parity(x) for x in sets], pa.binary())], names=["id", "shingles", "size", "parity"])
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, lo: int, hi: int, pairwise: int,
-                       similarity: float):
-    """Rows (tag, fp, id[, component, size, parity]) sorted by tag and key -> pairs (u, v) to check, and members
-    (u, null, tag, fp) of groups not done.
+def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, pairwise: int):
+    """Rows (tag, fp, id) sorted by tag and key -> (u, v, hot): pairs to check, and where hot an edge from each member of a large group to its least id.
 
-    Small groups give all their pairs at once (when lo is 0). In a large group members are ordered by their distance
-    to the group's majority bits; those at ranks lo to hi meet every later member of another component. Where sizes and
-    parity bitmaps of the shingle sets are given, pairs that they prove unlike are left out.
+    Small groups give all their pairs. In a large group only the member nearest to the group's majority bits meets the others here.
     """
     limit = budgets(max_bits, segments)
     masks = np.array([_segment(i, segments) for i in range(segments)], np.uint64)
     first = np.array([start for start, _ in ring], np.int64)
     key_mask = np.array([mask for _, mask in ring], np.uint64)
 
-    def rows(u, v, members=()):
-        there = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (u, v)]
-        n = len(there[0])
-        own = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*members), (pa.int64(), pa.int16(), pa.int64()))]
-        own = own or [pa.nulls(0, kind) for kind in (pa.int64(), pa.int16(), pa.int64())]
-        m = len(own[0])
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([there[0], own[0]]), pa.concat_arrays([there[1], pa.nulls(m, pa.int64())]),
-             pa.concat_arrays([pa.nulls(n, pa.int16()), own[1]]), pa.concat_arrays([pa.nulls(n, pa.int64()), own[2]])],
-            names=["u", "v", "tag", "fp"])
-
-    def pairs(tag, fp, ids, comp, *sets):
+    def pairs(tag, fp, ids):
         which = tag % len(ring)
         key = fp & key_mask[which]
         cut = np.flatnonzero(np.r_[True, (tag[1:] != tag[:-1]) | (key[1:] != key[:-1])]) if len(tag) else np.zeros(0, np.int64)
         size = np.diff(np.r_[cut, len(tag)])
-        u, v, held, members = [], [], 0, []
-        if lo == 0:
-            end = np.repeat(cut + size, size)
-            at = np.flatnonzero(np.repeat((size > 1) & (size <= pairwise), size))
-            for d in range(1, pairwise):
-                at = at[at + d < end[at]]
-                if not len(at):
-                    break
-                diff = fp[at] ^ fp[at + d]
-                # Equal fingerprints meet under every key; the first key is enough for them.
-                ok = _ring_ok(diff, first[which[at]], masks, limit) & (comp[at] != comp[at + d]) & ((diff != 0) | (which[at] == 0))
-                u.append(ids[at[ok]])
-                v.append(ids[at[ok] + d])
-        for start, n in zip(cut[size > max(lo, pairwise)].tolist(), size[size > max(lo, pairwise)].tolist()):
-            f, i, c = fp[start:start + n], ids[start:start + n], comp[start:start + n]
-            if (c == c[0]).all():
-                continue
+        u, v, hot = [], [], []
+        end = np.repeat(cut + size, size)
+        at = np.flatnonzero(np.repeat((size > 1) & (size <= pairwise), size))
+        for d in range(1, pairwise):
+            at = at[at + d < end[at]]
+            if not len(at):
+                break
+            diff = fp[at] ^ fp[at + d]
+            # Equal fingerprints meet under every key; the first key is enough for them.
+            ok = _ring_ok(diff, first[which[at]], masks, limit) & ((diff != 0) | (which[at] == 0))
+            u.append(ids[at[ok]]), v.append(ids[at[ok] + d]), hot.append(np.zeros(ok.sum(), bool))
+        for start, n in zip(cut[size > pairwise].tolist(), size[size > pairwise].tolist()):
+            f, i = fp[start:start + n], ids[start:start + n]
             count = np.array([np.count_nonzero(f >> np.uint64(b) & np.uint64(1)) for b in range(64)])
             middle = np.uint64(sum(1 << b for b in range(64) if 2 * count[b] > n))
-            order = np.lexsort((i, np.bitwise_count(f ^ middle)))
-            f, i, c = f[order], i[order], c[order]
-            sizes, bits = (x[start:start + n][order] for x in sets) if sets else (None, None)
-            for r in range(lo, min(hi, n - 1)):
-                diff = f[r + 1:] ^ f[r]
-                near = (np.bitwise_count(diff) <= max_bits) & (c[r + 1:] != c[r])
-                if which[start]:
-                    near &= diff != 0
-                met = r + 1 + np.flatnonzero(near)
-                if sets and len(met):
-                    met = met[may_agree(sizes[met], bits[met], sizes[r], bits[r], similarity)]
-                met = i[met]
-                if len(met):
-                    u.append(met)
-                    v.append(np.full(len(met), i[r]))
-                    held += len(met)
-                if held > 500_000:
-                    yield rows(u, v)
-                    u, v, held = [], [], 0
-            if hi < n - 1:
-                members.append((i, tag[start:start + n], f.view(np.int64)))
-        yield rows(u, v, members)
-
-    def columns(batch):
-        out = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        if batch.num_columns == 3:
-            return [*out, out[2]]
-        bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
-        return [*out, batch.column(3).to_numpy(), batch.column(4).to_numpy(), bits]
+            centre = np.lexsort((i, np.bitwise_count(f ^ middle)))[0]
+            near = np.bitwise_count(f ^ f[centre]) <= max_bits
+            near[centre] = False
+            u += [i[near], i]
+            v += [np.full(near.sum(), i[centre]), np.full(n, i.min())]
+            hot += [np.zeros(near.sum(), bool), np.ones(n, bool)]
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate(hot) if hot else np.zeros(0, bool))], names=["u", "v", "hot"])
 
     held, count = [], 0
     for batch in batches:
-        held.append(columns(batch))
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()))
         count += batch.num_rows
         if count < 50_000 or not batch.num_rows:
             continue
-        tag, fp, *others = (np.concatenate(x) for x in zip(*held))
+        tag, fp, ids = (np.concatenate(x) for x in zip(*held))
         same = (tag == tag[-1]) & ((fp ^ fp[-1]) & key_mask[tag[-1] % len(ring)] == 0)
         last = int(np.argmax(same))
         if last:
-            yield from pairs(tag[:last], fp[:last], *(x[:last] for x in others))
-        held, count = [[x[last:] for x in (tag, fp, *others)]], min(len(tag) - last, 49_999) if last else 0
+            yield pairs(tag[:last], fp[:last], ids[:last])
+        held, count = [(tag[last:], fp[last:], ids[last:])], min(len(tag) - last, 49_999) if last else 0
     if held:
-        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+        yield pairs(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch], max_bits: int, similarity: float):
+    """Rows (root, block, pivot, rank, component, id, size, parity, fps) sorted by root, block and pivot, members before pivots -> pairs (u, v).
+
+    A pivot meets the members of the block that come after it and are not joined with it yet, if they are within
+    max_bits under any seed and their shingle sets may be alike. A block's members are held, pivots pass by.
+    """
+    at, held, members = None, [], None
+
+    def columns(batch, a, b):
+        part = batch.slice(a, b - a)
+        rank, comp, ids, size = (part.column(i).to_numpy() for i in (3, 4, 5, 6))
+        bits = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
+        return rank, comp, ids, size, bits, part.column(8).flatten().to_numpy().view(np.uint64).reshape(len(rank), -1)
+
+    for batch in batches:
+        root, block, pivot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        cut = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (block[1:] != block[:-1]) | (pivot[1:] != pivot[:-1]), True]) if len(root) else []
+        for a, b in zip(cut, cut[1:]):
+            if (root[a], block[a]) != at:
+                at, held, members = (root[a], block[a]), [], None
+            if not pivot[a]:
+                held.append(columns(batch, a, b))
+                continue
+            if not held:
+                continue  # a pivot alone in its block
+            if members is None:
+                members = [np.concatenate(x) for x in zip(*held)]
+            rank, comp, ids, size, bits, fps = members
+            u, v = [], []
+            for p_rank, p_comp, p_id, p_size, p_bits, p_fps in zip(*columns(batch, a, b)):
+                met = np.flatnonzero((rank > p_rank) & (comp != p_comp))
+                met = met[(np.bitwise_count(fps[met] ^ p_fps) <= max_bits).any(1)]
+                if len(met):
+                    met = met[may_agree(size[met], bits[met], p_size, p_bits, similarity)]
+                u.append(ids[met]), v.append(np.full(len(met), p_id))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -388,8 +389,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                        .where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("u", "v"))
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3,
-                          segments: int = 8, seeds: tuple[int, ...] = SEEDS, pairwise: int = PAIRWISE) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3, segments: int = 8, seeds: tuple[int, ...] = SEEDS,
+                          pairwise: int = PAIRWISE, block: int = BLOCK, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(doc_id, group_id) of documents in groups of near copies; group_id is the least doc_id of its group.
 
     Candidates: SimHash over each document's words, within max_bits for any of the seeds; several seeds find what one
@@ -397,12 +398,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     if the sets of k-word shingles have a Jaccard similarity of at least ``similarity``. Documents whose id is null
     and documents without words are left alone; documents of equal words in equal order are one
     candidate, named by the least doc_id, and all others meet each other even if their fingerprints are equal. Rows that
-    share an id are one document: they are in one group, named by that id.
+    share an id are one document: they are in one group, named by that id. doc_id must be a whole number.
 
-    Links are checked before large groups are thinned: in rounds of 1, 64, 4096, ... members of a group under one key
-    meet all that are not yet joined with them by checked links, until every candidate pair is checked or joined. After
-    the first round the shingle sets of members of large groups are known: pairs that their sizes and parity bitmaps
-    prove to be under the similarity are not made.
+    Small groups under a key give all their pairs. Large groups that share members are one cluster, whose members are
+    met once, not once a key: in rounds members up to some rank, and at last all, meet all later ones that are not yet
+    joined with them by checked links, in blocks that many tasks share. So every candidate pair is checked or joined.
+    Pairs that the sizes and parity bitmaps of their shingle sets prove to be under the similarity are not made.
     """
     spark = docs.sparkSession
     named = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(r"[^\x20\x09-\x0D]"))
@@ -420,36 +421,44 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     tagged = F.explode(F.array(*[F.struct(F.lit(j * len(ring) + i).cast("smallint").alias("tag"), F.col(mark).alias("fp"))
                                  for j, mark in enumerate(marks) for i in range(len(ring))])).alias("k")
     spread = nodes.select(tagged, F.col("first").alias("id")).select("k.tag", "k.fp", "id")
+    found = materialize(spread.repartition(F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
+        lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, pairwise)), "u long, v long, hot boolean"))
 
-    def dealt(members: DataFrame, lo: int, hi: int) -> DataFrame:
-        # No count of partitions is given, so adaptive execution sizes them: rounds after the first have few members.
-        return materialize(members.repartition(F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
-            lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, lo, hi, pairwise, similarity)), "u long, v long, tag smallint, fp long"))
-
-    def met(found: DataFrame) -> DataFrame:
-        return found.where("v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    lo, hi = 0, 1
-    found = dealt(spread, lo, hi)
-    before = materialize(met(found))
+    before = materialize(ordered(found.where("NOT hot")))
     wanted = materialize(before.select(F.col("u").alias("id")).union(before.select(F.col("v").alias("id"))).distinct())
     checked = _checked(before, _sets_of(docs, wanted, k), similarity)
-    joined, sets = components(linked.unionByName(checked)), None
-    while True:
-        hot = found.where("v IS NULL").select("tag", "fp", F.col("u").alias("id"))
-        if not hot.limit(1).count():
-            return joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-        if sets is None:
-            sets = _sets_of(docs, materialize(hot.select("id").distinct()), k)
-        lo, hi = hi, 64 * hi
-        of = sets.select("id", "size", "parity").join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"), "size", "parity")
-        # Joined once for each id, not for each of its keys (of which there are no more than seeds times ring keys for a text).
-        keyed = hot.groupBy("id").agg(F.collect_list(F.struct("tag", "fp")).alias("keys")).join(of, "id")
-        found = dealt(keyed.select(F.explode("keys").alias("k"), "id", "component", "size", "parity")
-                      .select("k.tag", "k.fp", "id", "component", "size", "parity"), lo, hi)
-        pairs = materialize(met(found).join(before, ["u", "v"], "left_anti"))
-        before = before.unionByName(pairs)
+    joined = components(linked.unionByName(checked))
+    out = lambda: joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    hot = materialize(ordered(found.where("hot")))
+    if not hot.limit(1).count():
+        return out()
+    clusters = components(hot)
+    sets = _sets_of(docs, materialize(clusters.select(F.col("node").alias("id"))), k)
+    fps = nodes.select(F.col("first").alias("id"), F.array(*marks).alias("fps"))
+    members = clusters.withColumnRenamed("node", "id").join(fps, "id").join(sets.select("id", "size", "parity"), "id")
+    members = materialize(rank_within(materialize(members), ["root"], ["id"], "rank", shuffle_partitions(spark)))
+    total = members.count()
+    largest = members.agg(F.max("rank")).first()[0] + 1
+    lo = 0
+    for hi in [*(r for r in rounds if r < largest), largest]:
+        placed = members.join(joined.select(F.col("node").alias("id"), F.col("root").alias("_lx_root")), "id", "left").withColumn("component", F.coalesce("_lx_root", "id")).drop("_lx_root")
+        open_ = (placed.groupBy("root").agg(F.min("component").alias("_lx_a"), F.max("component").alias("_lx_b"), F.count(F.lit(1)).alias("_lx_n"))
+                 .where("_lx_a < _lx_b").select("root", "_lx_n", F.floor((F.col("_lx_n") - 1) / block).cast("int").alias("_lx_last")))
+        live = hot_join(placed, materialize(open_), "root", "_lx_n", total)
+        own = F.floor(F.col("rank") / block).cast("int")
+        columns = ["root", "block", "pivot", "rank", "component", "id", "size", "parity", "fps"]
+        # Pivots go to the blocks of later members, members stay in their own.
+        rows = (live.where(F.col("rank") > lo).withColumn("block", own).withColumn("pivot", F.lit(False)).select(columns).unionByName(
+            live.where(F.col("rank").between(lo, hi - 1)).withColumn("block", F.explode(F.sequence(own, F.col("_lx_last")))).withColumn("pivot", F.lit(True)).select(columns)))
+        pairs = rows.repartition("root", "block").sortWithinPartitions("root", "block", "pivot").mapInArrow(
+            lean(lambda bs: _block_batches(bs, max_bits, similarity)), "u long, v long")
+        pairs = materialize(ordered(pairs).join(before, ["u", "v"], "left_anti"))
+        before, lo = before.unionByName(pairs), hi
         checked = _checked(pairs, sets, similarity)
         if checked.limit(1).count():
             # What is joined goes on as one edge from each member to its root.
             joined = components(joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(checked))
+    return out()
