@@ -339,10 +339,10 @@ def _window_batches(batches: Iterator[pa.RecordBatch]):
 
 
 def fit(docs: DataFrame) -> Tagger:
-    """Train on at most TRAIN_WINDOWS windows of at most TRAIN_DOCS documents, those with the smallest hash."""
+    """Train on at most TRAIN_WINDOWS windows of at most TRAIN_DOCS distinct texts, those with the smallest hash."""
     ship(docs.sparkSession)
     near = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    top = near.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    top = near.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
     sample = near.where(F.col("h") <= F.lit(top)).select("text").distinct()
     found = (sample.repartition(4).mapInArrow(_window_batches, "x binary, y binary")
              .distinct().orderBy(F.xxhash64("x"), "x", "y").limit(TRAIN_WINDOWS).collect())

@@ -18,7 +18,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.repeated_passages(_read(spark, sf_dir, "documents"))
+    return cdc.repeated_passages(_read(spark, sf_dir, "documents"), inside=True)
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
