@@ -27,33 +27,74 @@ class Rules:
 VN_RULES = Rules()
 
 
-def provisions(docs: DataFrame, rules: Rules = VN_RULES) -> DataFrame:
-    """Provisions of docs (document_id, text): one shuffle, on document_id.
+#: Lines from which on a document's lines are scanned in chunks, and lines of a chunk.
+LONG, CHUNK = 20_000, 5_000
+
+
+def _carried(lines: DataFrame, sums: dict[str, Column], lasts: dict[str, Column], chunk: int | None) -> DataFrame:
+    """lines (document_id, pos, ...) with running sums and last known values over each document, in the order of pos.
+
+    With ``chunk`` a document is as many window tasks as it has chunks of lines: values are carried within chunks, the
+    chunks' ends are carried over the document (one row a chunk), and what came before a chunk is added to its lines.
+    """
+    given = lines.withColumns({f"_s_{n}": c for n, c in sums.items()} | {f"_l_{n}": c for n, c in lasts.items()})
+
+    def over(df: DataFrame, keys: list[str], order: str, frame_end: int, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.withColumns({f"{prefix}{n}": F.sum(f"_s_{n}").over(w) for n in sums} | {f"{prefix}{n}": F.last(f"_l_{n}", True).over(w) for n in lasts})
+
+    if not chunk:
+        return over(given, ["document_id"], "pos", 0, "").drop(*[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in lasts])
+    dealt = given.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int"))
+    ends = dealt.groupBy("document_id", "_chunk").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums], *[
+        F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col("pos"))).alias(f"_l_{n}") for n in lasts])
+    before = over(ends, ["document_id"], "_chunk", -1, "_b_").select("document_id", "_chunk", *[f"_b_{n}" for n in (*sums, *lasts)])
+    own = over(dealt, ["document_id", "_chunk"], "pos", 0, "_o_").join(before, ["document_id", "_chunk"])
+    return own.select(*lines.columns, *[(F.col(f"_o_{n}") + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums], *[F.coalesce(f"_o_{n}", f"_b_{n}").alias(n) for n in lasts])
+
+
+def provisions(docs: DataFrame, rules: Rules = VN_RULES, long: int = LONG, chunk: int = CHUNK) -> DataFrame:
+    """Provisions of docs (document_id, text): one shuffle, on document_id, for texts of up to ``long`` lines.
 
     Articles begin at article headings and end at any heading; lines before the first article and lines between a
     chapter or section heading and the next article belong to none. In an article with clauses the text before the
-    first is a provision of its own. A text without articles is one provision.
+    first is a provision of its own. A text without articles is one provision. Longer texts give the same rows, their
+    lines being scanned in chunks by many tasks.
     """
     given = docs.select("document_id", T.composed(F.regexp_replace("text", r"\r\n", "\n")).alias("text")).where(F.trim("text") != "")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    told = given.withColumn("_articles", F.exists(F.split("text", "\n"), lambda raw: _line(raw).rlike(rules.article)))
+    some, none = told.where("_articles").drop("_articles"), told.where("NOT _articles")
+    articles = _articles(some.where(breaks < long), rules, None).unionByName(_articles(some.where(breaks >= long), rules, chunk))
+    null = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
+    whole = none.select("document_id", null("chapter"), null("section"), F.lit(rules.whole).alias("article"), null("clause"), null("heading"),
+                        F.trim("text").alias("content"), null("valid_from", "date"), null("valid_to", "date"), null("status_override"),
+                        F.lit("0001.0000").alias("sort_key"))
+    return articles.unionByName(whole).withColumn("normalized_content", T.normalized_text(F.col("content"))).withColumn(
+        "content_hash", F.sha2("content", 256))
+
+
+def _line(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(raw, r"^(?U)\s+|\s+$", ""))
+
+
+def _articles(given: DataFrame, rules: Rules, chunk: int | None) -> DataFrame:
+    """Articles and clauses of texts that have article headings; lines are scanned document by document, or by chunks."""
     lines = (given.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-             .select("document_id", "pos", F.trim(F.regexp_replace("raw", r"^(?U)\s+|\s+$", "")).alias("line")).where("line <> ''"))
+             .select("document_id", "pos", _line(F.col("raw")).alias("line")).where("line <> ''"))
     is_a, is_c, is_s = F.col("line").rlike(rules.article), F.col("line").rlike(rules.chapter), F.col("line").rlike(rules.section)
-    by_doc = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(
-        "document_id", "pos", "line", is_a.alias("a"), (is_c | is_s).alias("stop"),
-        F.when(is_c, F.concat(F.lit(rules.chapter_name), F.regexp_extract("line", rules.chapter, 1))).alias("c0"),
-        F.when(is_s, F.concat(F.lit(rules.section_name), F.regexp_extract("line", rules.section, 1))).alias("s0"),
-        F.when(is_a, F.regexp_extract("line", rules.article, 1)).alias("n0"), F.when(is_a, F.trim(F.regexp_extract("line", rules.article, 2))).alias("h0"))
-    carried = marked.select(
-        "document_id", "pos", "line", "a", "stop", F.sum(F.col("a").cast("int")).over(by_doc).alias("article_no"),
-        F.sum((F.col("a") | F.col("stop")).cast("int")).over(by_doc).alias("block"),
-        F.last("c0", True).over(by_doc).alias("chapter"), F.last("s0", True).over(by_doc).alias("section"),
-        F.last("n0", True).over(by_doc).alias("number"), F.last("h0", True).over(by_doc).alias("heading"))
-    by_block = Window.partitionBy("document_id", "block")
-    body = carried.withColumn("in_article", F.max(F.col("a").cast("int")).over(by_block) == 1).where("in_article")
     clause = F.nullif(F.regexp_extract("line", rules.clause, 1), F.lit(""))
-    in_block = by_block.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    parts = body.withColumn("c", F.when(~F.col("a"), clause)).withColumn("starts", F.sum(F.col("c").isNotNull().cast("int")).over(in_block))
+    marked = lines.select("document_id", "pos", "line", is_a.alias("a"), (is_c | is_s).alias("stop"), is_c.alias("is_c"), is_s.alias("is_s"))
+    marked = marked.withColumn("c", F.when(~F.col("a") & ~F.col("stop"), clause))
+    head = F.col("a") | F.col("stop")
+    carried = _carried(marked, {"article_no": F.col("a").cast("int"), "clauses": F.col("c").isNotNull().cast("int")}, {
+        "chapter": F.when(F.col("is_c"), F.concat(F.lit(rules.chapter_name), F.regexp_extract("line", rules.chapter, 1))),
+        "section": F.when(F.col("is_s"), F.concat(F.lit(rules.section_name), F.regexp_extract("line", rules.section, 1))),
+        "number": F.when(F.col("a"), F.regexp_extract("line", rules.article, 1)), "heading": F.when(F.col("a"), F.trim(F.regexp_extract("line", rules.article, 2))),
+        "in_article": F.when(head, F.col("a"))}, chunk)
+    # Clauses of an article: those so far, less those before its heading.
+    counted = _carried(carried, {}, {"earlier": F.when(F.col("a"), F.col("clauses"))}, chunk)
+    parts = counted.where("in_article").withColumn("starts", F.col("clauses") - F.col("earlier"))
     grouped = parts.groupBy("document_id", "article_no", "starts").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"),
         F.min_by("c", "pos").alias("clause"), F.first("chapter").alias("chapter"), F.first("section").alias("section"),
@@ -62,18 +103,11 @@ def provisions(docs: DataFrame, rules: Rules = VN_RULES) -> DataFrame:
     known = grouped.withColumn("has", F.max("starts").over(with_clauses) > 0)
     valid_to = T.clause_date(F.col("content"), "bãi bỏ|hết hiệu lực")
     pad = lambda c: F.lpad(c.cast("string"), 4, "0")
-    articles = known.select(
+    return known.select(
         "document_id", "chapter", "section", F.concat(F.lit(rules.article_name), "number").alias("article"), "clause",
         F.nullif("heading", F.lit("")).alias("heading"), "content", F.when(F.col("has"), T.clause_date(F.col("content"), "có hiệu lực|áp dụng")).alias("valid_from"),
         F.when(F.col("has"), valid_to).alias("valid_to"), F.when(F.col("has") & valid_to.isNotNull(), "repealed").alias("status_override"),
         F.concat(pad(F.col("article_no")), F.lit("."), F.when(F.col("has"), pad(F.col("starts") + 1)).otherwise("0000")).alias("sort_key"))
-    none = given.join(articles.select("document_id").distinct(), "document_id", "left_anti")
-    null = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
-    whole = none.select("document_id", null("chapter"), null("section"), F.lit(rules.whole).alias("article"), null("clause"), null("heading"),
-                        F.trim("text").alias("content"), null("valid_from", "date"), null("valid_to", "date"), null("status_override"),
-                        F.lit("0001.0000").alias("sort_key"))
-    return articles.unionByName(whole).withColumn("normalized_content", T.normalized_text(F.col("content"))).withColumn(
-        "content_hash", F.sha2("content", 256))
 
 
 _KIND = r"(?:thông\s+tư|nghị\s+định|luật|quyết\s+định)"

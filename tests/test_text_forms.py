@@ -102,3 +102,22 @@ def test_an_empty_batch_is_degraded(spark):
     listed = spark.createDataFrame([("s",), ("gone",), (None,)], "source string")
     assert {(r.source, r.circuit, r.flags) for r in audit.drift(some, "source", expected=listed).collect()} == {
         ("s", "HEALTHY", ""), ("gone", "DEGRADED", "NO_SAMPLES_EVALUATED"), (None, "DEGRADED", "NO_SAMPLES_EVALUATED")}
+
+
+def test_long_documents_give_the_same_rows_in_chunks(spark):
+    rng = random.Random(6)
+    lines = ["Chương I", "Mục 2", "Điều 1. Một", "Điều 15a", "1. Khoản một", "Khoản 2. Hai", "3. có hiệu lực từ ngày 1 tháng 1 năm 2026", "chữ", "  ", "bãi bỏ từ ngày 2/3/2027", "Điều 3: Ba"]
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 40)))) for i in range(80)] + [(900, "chữ\nchữ"), (901, ""), (902, None), (903, "Điều 1\nx")],
+                                 "document_id long, text string")
+    want = sorted(map(str, segment.provisions(docs).collect()))
+    for long, chunk in ((0, 1), (0, 3), (15, 7)):
+        assert sorted(map(str, segment.provisions(docs, long=long, chunk=chunk).collect())) == want
+    assert len({r.document_id for r in segment.provisions(docs).collect()}) == 82
+
+
+def test_a_document_of_very_many_lines_is_many_tasks(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.when(i % 50 == 1, F.concat(F.lit("Điều "), i.cast("string"))).otherwise(F.concat((i % 50).cast("string"), F.lit(". khoản")))), "\n")
+    docs = spark.range(1).select(F.col("id").alias("document_id"), text.alias("text"))
+    chunked = segment.provisions(docs)
+    assert chunked.count() == 100_000
+    assert chunked.where("clause IS NULL").count() == 2000 and chunked.where("sort_key = '2000.0050'").first().content == "0. khoản"
