@@ -272,6 +272,35 @@ _T6 = """SELECT event_id AS item_id, event_id % 4 AS attempts FROM events WHERE
   AND (event_id % 5 <> 0 OR ts + INTERVAL 10 DAY < TIMESTAMP '2024-01-20 00:00:00')"""
 
 
+_T6_KIND = "CASE WHEN event_type IN ('view', 'click') THEN 'claim' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'success' ELSE 'failure' END"
+
+
+def t6_queue_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims and results of as many entries as there are users; leases of twelve hours that nobody ends end by themselves. The last state of every entry."""
+    messages = _stream(spark, sf).select(F.col("user_id").alias("item_id"), "ts", F.expr(_T6_KIND).alias("kind"))
+    with streams.with_rocksdb(spark):
+        log = streams.drained(streams.retry_queue(messages, "12 hours"), "t6")
+    # Of changes at one moment the later one has more attempts or holds a lease.
+    last = log.groupBy("item_id").agg(F.max_by(F.struct("state", "attempts", "next_retry_at"), F.struct("at", "attempts", F.col("lease_until").isNotNull(), (F.col("state") == "done"))).alias("e"))
+    return last.select("item_id", "e.state", "e.attempts", F.col("e.next_retry_at").cast("timestamp_ntz").alias("next_retry_at"))
+
+
+#: The messages of an entry one after the other, to milliseconds as the stream takes them.
+_T6S = f"""WITH RECURSIVE m AS (SELECT user_id AS item_id, epoch_us(ts) // 1000 AS ts, {_T6_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, {_T6_KIND}) AS n FROM events),
+step AS (SELECT item_id, 0::BIGINT AS n, 'waiting' AS state, 0 AS attempts, ts AS due, NULL::BIGINT AS lease FROM m WHERE n = 1
+  UNION ALL SELECT item_id, n, CASE WHEN kind = 'failure' AND lease IS NOT NULL AND attempts + 1 >= 3 THEN 'failed' WHEN kind = 'success' AND lease IS NOT NULL THEN 'done' ELSE state END,
+    CASE WHEN kind = 'failure' AND lease IS NOT NULL THEN attempts + 1 ELSE attempts END,
+    CASE WHEN kind = 'failure' AND lease IS NOT NULL THEN ts + CASE attempts WHEN 0 THEN 6 WHEN 1 THEN 24 ELSE 0 END * 3600000 ELSE due END,
+    CASE WHEN kind = 'claim' AND state = 'waiting' AND due <= ts AND lease IS NULL THEN ts + 43200000 WHEN kind IN ('failure', 'success') THEN NULL ELSE lease END
+  FROM (SELECT s.item_id, m.n, m.ts, m.kind, CASE WHEN lease < m.ts AND attempts + 1 >= 3 THEN 'failed' ELSE state END AS state, CASE WHEN lease < m.ts THEN attempts + 1 ELSE attempts END AS attempts,
+      CASE WHEN lease < m.ts THEN lease + CASE attempts WHEN 0 THEN 6 WHEN 1 THEN 24 ELSE 0 END * 3600000 ELSE due END AS due, CASE WHEN lease < m.ts THEN NULL ELSE lease END AS lease
+    FROM step s JOIN m ON m.item_id = s.item_id AND m.n = s.n + 1)),
+ended AS (SELECT * FROM step WHERE (item_id, n) IN (SELECT (item_id, max(n)) FROM m GROUP BY item_id)),
+late AS (SELECT *, lease IS NOT NULL AND lease <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) AS over FROM ended)
+SELECT item_id, CASE WHEN over AND attempts + 1 >= 3 THEN 'failed' ELSE state END AS state, CASE WHEN over THEN attempts + 1 ELSE attempts END AS attempts,
+  CAST(make_timestamp((CASE WHEN over THEN lease + CASE attempts WHEN 0 THEN 6 WHEN 1 THEN 24 ELSE 0 END * 3600000 ELSE due END) * 1000) AS TIMESTAMP) AS next_retry_at FROM late"""
+
+
 def f27_next_retry(spark: SparkSession, sf: str) -> DataFrame:
     """Whether every rescheduled entry waits 6, 24 or 72 hours, a fifth more or less."""
     now = "2024-02-01 00:00:00"
@@ -345,8 +374,8 @@ _T10 = with_views("SELECT source_name, item_id, published FROM items WHERE publi
 
 QUERIES = {f.__name__: f for f in (
     s1_scan, s2_feed_items, s3_listing_links, s4_attachments, s5_html_properties, s6_xml_records, s7_xml_history, s11_object_keys, p6_admit_urls, w7_checkpoints, c7_admitted_items,
-    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t5_resume, t7_drift_gate, t6_due, f27_next_retry, t8_alert_windows, t8_stream_windows, t8_sliding_windows, t8_stream_alerts, t9_stream_updates, t10_reconcile)}
+    j14_match_sources, t1_intake, t2_admit, t3_snapshot_changes, t4_dedupe, t5_resume, t7_drift_gate, t6_due, t6_queue_stream, f27_next_retry, t8_alert_windows, t8_stream_windows, t8_sliding_windows, t8_stream_alerts, t9_stream_updates, t10_reconcile)}
 ORACLE = {
     "s1_scan": _S1, "s2_feed_items": _S2, "s3_listing_links": _S3, "s4_attachments": _S4, "s5_html_properties": _S5, "s6_xml_records": _S6, "s7_xml_history": _S7, "s11_object_keys": _S11,
     "p6_admit_urls": _P6, "w7_checkpoints": _W7, "c7_admitted_items": _C7, "j14_match_sources": _J14, "t1_intake": _T1, "t2_admit": _C7, "t3_snapshot_changes": _T3, "t4_dedupe": _T4,
-    "t5_resume": _T5, "t7_drift_gate": _T7, "t6_due": _T6, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t8_sliding_windows": _T8W, "t8_stream_alerts": _T8A, "t9_stream_updates": _T9, "t10_reconcile": _T10}
+    "t5_resume": _T5, "t7_drift_gate": _T7, "t6_due": _T6, "t6_queue_stream": _T6S, "f27_next_retry": _F27, "t8_alert_windows": _T8, "t8_stream_windows": _T8S, "t8_sliding_windows": _T8W, "t8_stream_alerts": _T8A, "t9_stream_updates": _T9, "t10_reconcile": _T10}

@@ -178,6 +178,78 @@ def due(queue: DataFrame, now: str) -> DataFrame:
     return queue.where((F.col("next_retry_at") <= t) & (F.col("lease_until").isNull() | (F.col("lease_until") < t)) & (F.col("attempts") < 3))
 
 
+class _Queue(StatefulProcessor):
+    """One entry of the retry queue: attempts, when it is due, who holds it until when; a timer ends the lease."""
+
+    def __init__(self, lease_ms: int, most: int):
+        self.lease, self.most = lease_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "state string, attempts int, due long, lease long")
+
+    def _tried(self, attempts: int, at: int) -> tuple:
+        attempts += 1
+        if attempts >= self.most:
+            return "failed", attempts, at, None
+        return "waiting", attempts, at + T.RETRY_HOURS[min(attempts, len(T.RETRY_HOURS)) - 1] * 3_600_000, None
+
+    def _keep(self, key, rows: list, entry: tuple, at: int, change: str) -> tuple:
+        self.entry.update(entry)
+        rows.append((key[0], pd.Timestamp(at, unit="ms"), change, entry[0], entry[1], pd.Timestamp(entry[2], unit="ms"), None if entry[3] is None else pd.Timestamp(entry[3], unit="ms")))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if entry[3] is not None:
+            self.handle.registerTimer(entry[3])
+        return entry
+
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["item_id", "at", "change", "state", "attempts", "next_retry_at", "lease_until"]).astype({"lease_until": "datetime64[ns]"})
+
+    def handleInputRows(self, key, frames, timerValues) -> Iterator[pd.DataFrame]:
+        out: list = []
+        given = pd.concat(list(frames)).sort_values(["ms", "kind"], kind="stable")
+        entry = tuple(self.entry.get()) if self.entry.exists() else None
+        for at, kind in zip(given["ms"].tolist(), given["kind"].tolist()):
+            if entry is None:
+                entry = self._keep(key, out, ("waiting", 0, at, None), at, "queued")
+            state, attempts, due_at, lease = entry
+            if lease is not None and lease < at:
+                entry = self._keep(key, out, self._tried(attempts, lease), lease, "lease expired")
+                state, attempts, due_at, lease = entry
+            if kind == "claim" and state == "waiting" and due_at <= at and lease is None:
+                entry = self._keep(key, out, (state, attempts, due_at, at + self.lease), at, "claimed")
+            elif kind == "failure" and lease is not None:
+                entry = self._keep(key, out, self._tried(attempts, at), at, "failure")
+            elif kind == "success" and lease is not None:
+                entry = self._keep(key, out, ("done", attempts, due_at, None), at, "success")
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, attempts, _, lease = self.entry.get()
+        out: list = []
+        if lease is not None and lease <= timerValues.getCurrentWatermarkInMs():
+            self._keep(key, out, self._tried(attempts, lease), lease, "lease expired")
+            yield self._frame(out)
+        else:
+            yield from ()
+
+
+def retry_queue(messages: DataFrame, lease: str = "1 hour", most: int = 3, delay: str = "1 hour") -> DataFrame:
+    """T6 as a stream of messages (item_id, ts, kind: claim, success or failure): every change of every queue entry.
+
+    An entry begins with its first message. A claim holds it if it is due and free; a failure, or a lease that ends
+    without a result, is an attempt, after which it is due 6, 24 or 72 hours later (without jitter, so that claims are
+    judged alike everywhere); after ``most`` attempts it has failed. Other messages change nothing. It needs the RocksDB
+    state store (see ``with_rocksdb``).
+    """
+    rows = messages.withWatermark("ts", delay).select("item_id", "ts", "kind", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("item_id").transformWithStateInPandas(
+        _Queue(int(pd.Timedelta(lease).total_seconds() * 1000), most), "item_id long, at timestamp, change string, state string, attempts int, next_retry_at timestamp, lease_until timestamp", "append", "eventTime")
+
+
 def reschedule(queue: DataFrame, now: str) -> DataFrame:
     return queue.withColumn("attempts", F.col("attempts") + 1).withColumn(
         "next_retry_at", T.next_retry(F.col("attempts"), F.col("item_id"), F.lit(now)))
