@@ -338,12 +338,17 @@ def _window_batches(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
 
 
+def training_texts(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """(text): the distinct texts with digits or @ that have the ``most`` smallest hashes, however often each occurs."""
+    near = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    top = near.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return near.where(F.col("h") <= F.lit(top)).select("text").distinct()
+
+
 def fit(docs: DataFrame) -> Tagger:
     """Train on at most TRAIN_WINDOWS windows of at most TRAIN_DOCS distinct texts, those with the smallest hash."""
     ship(docs.sparkSession)
-    near = docs.select(text_of().alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    top = near.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    sample = near.where(F.col("h") <= F.lit(top)).select("text").distinct()
+    sample = training_texts(docs)
     found = (sample.repartition(4).mapInArrow(_window_batches, "x binary, y binary")
              .distinct().orderBy(F.xxhash64("x"), "x", "y").limit(TRAIN_WINDOWS).collect())
     x = np.array([np.frombuffer(r.x, np.int16) for r in found]).reshape(-1, WIDTH)

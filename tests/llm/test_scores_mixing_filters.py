@@ -221,6 +221,14 @@ def test_network_finds_what_it_was_trained_on(spark):
     assert found / seen > 0.8 and wrong <= 0.1 * seen
 
 
+def test_copies_take_no_place_in_the_training_sample(spark):
+    rows = [(0, "call 1")] * 4000 + [(i, f"number {i}") for i in range(300)] + [(1, None), (2, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.training_texts(df).count() == 301
+    assert pii.training_texts(df, 50).count() == 50
+    assert pii.training_texts(df.limit(0)).count() == 0
+
+
 def test_op9_base_spans_stay(spark, sf_dir, texts):
     for r in queries.QUERIES["op9_personal_data"](spark, sf_dir).collect():
         base = brute_spans(texts[r.doc_id])
