@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.scratch import kept
 from . import search as S
 
 #: Letters of a key, ids of a block, keys of a question that are met, and keys that are looked for by name in the files.
@@ -104,7 +105,7 @@ def _asked_keys(index: Index, q: DataFrame) -> DataFrame:
 
 def candidates(index: Index, q: DataFrame, few: bool) -> DataFrame:
     """(query_id, kind, id): documents whose words or titles, and provisions whose contents, may hold the question."""
-    asked = S._kept(_asked_keys(index, q), "keys")
+    asked = kept(_asked_keys(index, q), "keys")
     asked = asked.withColumn("n", F.when(F.col("any"), 1).otherwise(F.count(F.lit(1)).over(Window.partitionBy("query_id", "kind"))))
     lists = index.postings
     names = [r.key for r in asked.select("key").distinct().limit(NAMED + 1).collect()] if few else []
@@ -120,7 +121,7 @@ def search(queries: DataFrame, index: Index, k: int = 10, effective_only: bool =
     S.bound(k, 1, 50, "k")
     q, few = S.questions(queries)
     d, p = S.filters(index.docs, effective_only=effective_only, topics=topics), index.provs
-    met = S._kept(candidates(index, q, few), "candidates")
+    met = kept(candidates(index, q, few), "candidates")
     q = F.broadcast(q) if few else q
     docs = met.where("kind <> 'content'").withColumnRenamed("id", "document_id").join(d.select("document_id", "title"), "document_id").join(q, "query_id")
     words = (F.col("kind") == "word") & (F.size(F.array_except("q_tokens", T.tokens(F.col("title")))) == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..sources.scratch import new_path
+from ..sources.scratch import kept
 from . import status
 
 DRAFTS = ("draft", "proposal", "consultation")
@@ -177,13 +177,6 @@ def ranked(q: DataFrame, d: DataFrame, found: DataFrame, top: DataFrame, k: int)
             .select("query_id", "rank", "document_id", "document_number", "document_nature", "title", "score", F.coalesce("snippets", F.lit("")).alias("snippets")))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written in the shared folder and read again, so that its plan is worked out once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def provision_score(content: Column, heading: Column, terms: Column, q: Column, in_document: Column) -> Column:
     """phrase 3 in the content, else 2.5 in the heading; per term 0.5 and 0.8; 1 for the document's title or number."""
     c, h = F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(heading, F.lit("")))
@@ -201,15 +194,15 @@ def effective_rules(queries: DataFrame, docs: DataFrame, provs: DataFrame, rels:
     number and fields of theirs and a snippet; with verdicts, too, whether a row may be an answer: its document's sources
     agree and something admissible speaks for it.
     """
-    cands = _kept(search(queries, docs, provs, 20, effective_only=True, topics=topics).select(
+    cands = kept(search(queries, docs, provs, 20, effective_only=True, topics=topics).select(
         "query_id", "document_id", "title", "document_number", "document_nature", F.col("score").alias("doc_score")), "candidates")
     ids = cands.select("document_id").distinct()
     edges = rels.join(ids.withColumnRenamed("document_id", "target_document_id"), "target_document_id", "left_semi")
-    state = _kept(status.documents_at(docs.join(ids, "document_id", "left_semi"), edges, [as_of]), "state")
+    state = kept(status.documents_at(docs.join(ids, "document_id", "left_semi"), edges, [as_of]), "state")
     q = queries.select("query_id", F.lower(F.trim("query")).alias("q"), T.query_terms(F.col("query")).alias("terms"))
     live = cands.join(state.where("is_effective").select("document_id"), "document_id").join(q, "query_id")
     heading = F.col("heading") if "heading" in provs.columns else F.lit("")
-    relevant = _kept(provs.join(live.select("document_id").distinct(), "document_id", "left_semi"), "provisions")
+    relevant = kept(provs.join(live.select("document_id").distinct(), "document_id", "left_semi"), "provisions")
     scored = (live.join(relevant.select("provision_id", "document_id", "article", "clause", "content", heading.alias("heading")), "document_id")
               .withColumn("score", provision_score(F.col("content"), F.col("heading"), F.col("terms"), F.col("q"),
                                                    _has(F.col("title"), F.col("q")) | _has(F.col("document_number"), F.col("q"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..sources.ledger import Ledger
+from ..sources.scratch import kept
 from ..sources.sinks import new_rows
 from . import snapshots
 
@@ -108,7 +109,8 @@ def assertions(docs: DataFrame, srcs: DataFrame, evidence: DataFrame, fallback:
 
 def corpus(docs: DataFrame, srcs: DataFrame, evidence: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
     """Verdict of every document of the corpus; documents without a source are unverified and not answerable."""
-    return _of_all(docs, verdicts(assertions(docs, srcs, evidence, snaps=snaps)))
+    # Written once: sources are counted, and compared with each other on both sides.
+    return _of_all(docs, verdicts(kept(assertions(docs, srcs, evidence, snaps=snaps), "assertions")))
 
 
 def _of_all(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import intake, verify
+from ..operators import intake, snapshots, verify
+from ..operators.evidence import quarantine
 from ..sources import tables as X
 from ..sources.ledger import Ledger
 from ..sources.scratch import new_path
@@ -109,6 +110,22 @@ def c13_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return verify.verdicts_now(ledger).join(recorded, "document_id", "left").withColumn("n_recorded", F.coalesce("n_recorded", F.lit(0).cast("long")))
 
 
+_POISON = ["1997-03-01", "1998-07-15", "1999-02-08"]
+
+
+def c20_repointed(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources point to their second snapshot; evidence of poisoned values is quarantined, and what spoke from such snapshots points to a clean one."""
+    srcs, snaps, evidence = _snapshots(spark, sf, "TRUE")
+    srcs = srcs.withColumn("current_snapshot_id", F.col("source_id") * 10 + 2)
+    marked, _ = quarantine(evidence, verify.conflicts(X.x_asserts(spark, sf)), _POISON)
+    return snapshots.repoint(srcs, snaps, marked).select("source_id", "current_snapshot_id")
+
+
+_C20_REPOINTED = with_views("""SELECT s.document_id * 100000 + s.source_id AS source_id, (s.document_id * 100000 + s.source_id) * 10 + CASE WHEN b2.v IS NULL THEN 2 WHEN b1.v IS NULL THEN 1 END AS current_snapshot_id
+  FROM x_srcs s LEFT JOIN bad b1 ON b1.document_id = s.document_id AND b1.source_id = s.source_id AND b1.v = 1 LEFT JOIN bad b2 ON b2.document_id = s.document_id AND b2.source_id = s.source_id AND b2.v = 2""",
+                            ("bad", f"""SELECT DISTINCT document_id, source_id, v FROM (SELECT *, CASE WHEN v = 1 AND field_name = 'effective_from' AND source_id % 4 = 0
+  THEN CAST(CAST(CAST(asserted_value AS DATE) + 7 AS DATE) AS VARCHAR) ELSE asserted_value END AS value FROM x_evid CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2)) WHERE is_quarantined OR value IN ({", ".join(f"'{p}'" for p in _POISON)})"""))
+
 _EV2 = ("ev2", """SELECT document_id, source_id, v, field_name, CASE WHEN v = 1 AND field_name = 'effective_from' AND source_id % 4 = 0
   THEN CAST(CAST(CAST(asserted_value AS DATE) + 7 AS DATE) AS VARCHAR) ELSE asserted_value END AS asserted_value FROM adm CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2)""")
 _SAID2 = ("said2", "SELECT document_id, source_id, v, " + ", ".join(f"min(CASE WHEN field_name = '{f}' THEN asserted_value END) AS {f}" for f in X.EVIDENCE_FIELDS)
@@ -139,5 +156,5 @@ _C13_INCREMENTAL = with_views(f"""{_VERDICT}, coalesce(n_recorded, 0) AS n_recor
                               _ADM, _EV2, _SAID2, _as_of("as_first", "1"), _as_of("as_now", "CASE WHEN s.source_id % 5 = 0 AND s.source_id % 3 <> 1 THEN 2 ELSE 1 END"), *_NOW,
                               _keys("keys1", "as_first"), _keys("keys2", "as_now"))
 
-QUERIES = {f.__name__: f for f in (c7_intake_run, t7_drift_stream, c13_current_snapshots, c13_incremental)}
-ORACLE = {"c7_intake_run": _C7_RUN, "t7_drift_stream": _T7, "c13_current_snapshots": _C13_CURRENT, "c13_incremental": _C13_INCREMENTAL}
+QUERIES = {f.__name__: f for f in (c7_intake_run, t7_drift_stream, c13_current_snapshots, c13_incremental, c20_repointed)}
+ORACLE = {"c7_intake_run": _C7_RUN, "t7_drift_stream": _T7, "c13_current_snapshots": _C13_CURRENT, "c13_incremental": _C13_INCREMENTAL, "c20_repointed": _C20_REPOINTED}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import postings, search, status, verify
-from ..sources.scratch import new_path
+from ..sources.scratch import kept, new_path
 from ..sources import tables as X
 from ..sources.tables import with_views
 from .temporal_queries import _AG, _CONF, _DATES_SQL, _FLAGS, _PER, _STATE, _VERD
@@ -130,7 +130,7 @@ def c17_with_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Rules in force on two topics with their evidence, and whether sources agree about their documents."""
     evidence = verify.admissible(X.x_evid(spark, sf)).withColumn("provision_id", F.lit(None).cast("long"))
     return search.effective_rules(_questions(spark), X.x_docs(spark, sf), X.x_provs(spark, sf), X.x_rels(spark, sf), AS_OF, 10, evidence, ["vat", "invoice", "customs"],
-                                  verify.verdicts(X.x_asserts(spark, sf)))
+                                  verify.verdicts(kept(X.x_asserts(spark, sf), "assertions")))
 
 
 def k3_strict_answerability(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +203,7 @@ _J3 = with_views("""SELECT source_document_id AS document_id, relationship_id, '
 
 def c16_detail(spark: SparkSession, sf: str) -> DataFrame:
     return search.flat_detail(search.detail(X.x_docs(spark, sf), X.x_srcs(spark, sf), X.x_provs(spark, sf), X.x_rels(spark, sf), X.x_evid(spark, sf),
-                                            verify.conflicts(X.x_asserts(spark, sf))))
+                                            verify.conflicts(kept(X.x_asserts(spark, sf), "assertions"))))
 
 
 _N = lambda t: f"SELECT document_id, count(*) AS n FROM {t} GROUP BY document_id"
@@ -217,7 +217,7 @@ _C16 = with_views(f"""SELECT d.document_id, d.document_number, coalesce(s.n, 0)
 def c28_contract(spark: SparkSession, sf: str) -> DataFrame:
     docs, rels = X.x_docs(spark, sf), X.x_rels(spark, sf)
     evid = verify.admissible(X.x_evid(spark, sf))
-    return search.contract(docs, status.documents_at(docs, rels, [AS_OF]), verify.verdicts(X.x_asserts(spark, sf)), evid)
+    return search.contract(docs, status.documents_at(docs, rels, [AS_OF]), verify.verdicts(kept(X.x_asserts(spark, sf), "assertions")), evid)
 
 
 _C28 = with_views("""SELECT document_id, as_of, status, b AS blockers, b = '' AS answerable FROM (
