@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, max_bits: int = 2, segments: in
 SEEDS = tuple(range(1, 13))
 
 #: Members of a cluster in one task, and the ranks at which the rounds over large clusters end.
-BLOCK, ROUNDS = 4096, (64, 4096)
+BLOCK, ROUNDS = 4096, (1, 64, 4096)
 
 
 #: Bits of a parity bitmap: it tells sets apart that are unlike and have up to about twice as many shingles.
@@ -281,7 +281,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int):
 def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: list[tuple[int, int]], segments: int, pairwise: int):
     """Rows (tag, fp, id) sorted by tag and key -> (u, v, hot): pairs to check, and where hot an edge from each member of a large group to its least id.
 
-    Small groups give all their pairs. In a large group only the member nearest to the group's majority bits meets the others here.
+    Small groups give all their pairs; members of large groups meet later, in clusters.
     """
     limit = budgets(max_bits, segments)
     masks = np.array([_segment(i, segments) for i in range(segments)], np.uint64)
@@ -305,15 +305,8 @@ def _candidate_batches(batches: Iterator[pa.RecordBatch], max_bits: int, ring: l
             ok = _ring_ok(diff, first[which[at]], masks, limit) & ((diff != 0) | (which[at] == 0))
             u.append(ids[at[ok]]), v.append(ids[at[ok] + d]), hot.append(np.zeros(ok.sum(), bool))
         for start, n in zip(cut[size > pairwise].tolist(), size[size > pairwise].tolist()):
-            f, i = fp[start:start + n], ids[start:start + n]
-            count = np.array([np.count_nonzero(f >> np.uint64(b) & np.uint64(1)) for b in range(64)])
-            middle = np.uint64(sum(1 << b for b in range(64) if 2 * count[b] > n))
-            centre = np.lexsort((i, np.bitwise_count(f ^ middle)))[0]
-            near = np.bitwise_count(f ^ f[centre]) <= max_bits
-            near[centre] = False
-            u += [i[near], i]
-            v += [np.full(near.sum(), i[centre]), np.full(n, i.min())]
-            hot += [np.zeros(near.sum(), bool), np.ones(n, bool)]
+            i = ids[start:start + n]
+            u.append(i), v.append(np.full(n, i.min())), hot.append(np.ones(n, bool))
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(np.concatenate(hot) if hot else np.zeros(0, bool))], names=["u", "v", "hot"])
 
@@ -401,7 +394,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     share an id are one document: they are in one group, named by that id. doc_id must be a whole number.
 
     Small groups under a key give all their pairs. Large groups that share members are one cluster, whose members are
-    met once, not once a key: in rounds members up to some rank, and at last all, meet all later ones that are not yet
+    met once, not once a key: in rounds the member of most groups, members up to some rank, and at last all, meet all later ones that are not yet
     joined with them by checked links, in blocks that many tasks share. So every candidate pair is checked or joined.
     Pairs that the sizes and parity bitmaps of their shingle sets prove to be under the similarity are not made.
     """
@@ -418,9 +411,9 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     ring = ring_keys(max_bits, segments)
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(mask)) for _, mask in ring]),
                                               F.pmod(F.col("tag").cast("int"), F.lit(len(ring))) + 1))
-    tagged = F.explode(F.array(*[F.struct(F.lit(j * len(ring) + i).cast("smallint").alias("tag"), F.col(mark).alias("fp"))
-                                 for j, mark in enumerate(marks) for i in range(len(ring))])).alias("k")
-    spread = nodes.select(tagged, F.col("first").alias("id")).select("k.tag", "k.fp", "id")
+    seeded = nodes.select(F.posexplode(F.array(*marks)).alias("seed", "fp"), F.col("first").alias("id"))
+    spread = (seeded.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(ring) - 1))).alias("which"))
+              .select((F.col("seed") * len(ring) + F.col("which")).cast("smallint").alias("tag"), "fp", "id"))
     found = materialize(spread.repartition(F.col("tag"), key).sortWithinPartitions(F.col("tag"), key).mapInArrow(
         lean(lambda bs: _candidate_batches(bs, max_bits, ring, segments, pairwise)), "u long, v long, hot boolean"))
 
@@ -439,14 +432,19 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     sets = _sets_of(docs, materialize(clusters.select(F.col("node").alias("id"))), k)
     fps = nodes.select(F.col("first").alias("id"), F.array(*marks).alias("fps"))
     members = clusters.withColumnRenamed("node", "id").join(fps, "id").join(sets.select("id", "size", "parity"), "id")
-    members = materialize(rank_within(materialize(members), ["root"], ["id"], "rank", shuffle_partitions(spark)))
+    # The member of most groups comes first: most others are near to it.
+    degree = found.where("hot").groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    members = materialize(rank_within(materialize(members.join(degree, "id")), ["root"], ["id"], "rank", shuffle_partitions(spark)))
     total = members.count()
+    centres = members.groupBy("root").agg(F.max(F.struct("degree", "id"))["id"].alias("_lx_centre"), F.count(F.lit(1)).alias("_lx_m"))
+    members = materialize(hot_join(members, materialize(centres), "root", "_lx_m", total).withColumn(
+        "rank", F.when(F.col("id") == F.col("_lx_centre"), 0).otherwise(F.col("rank") + 1)).drop("_lx_centre", "_lx_m", "degree"))
     largest = members.agg(F.max("rank")).first()[0] + 1
     lo = 0
     for hi in [*(r for r in rounds if r < largest), largest]:
         placed = members.join(joined.select(F.col("node").alias("id"), F.col("root").alias("_lx_root")), "id", "left").withColumn("component", F.coalesce("_lx_root", "id")).drop("_lx_root")
         open_ = (placed.groupBy("root").agg(F.min("component").alias("_lx_a"), F.max("component").alias("_lx_b"), F.count(F.lit(1)).alias("_lx_n"))
-                 .where("_lx_a < _lx_b").select("root", "_lx_n", F.floor((F.col("_lx_n") - 1) / block).cast("int").alias("_lx_last")))
+                 .where("_lx_a < _lx_b").select("root", "_lx_n", F.floor(F.col("_lx_n") / block).cast("int").alias("_lx_last")))
         live = hot_join(placed, materialize(open_), "root", "_lx_n", total)
         own = F.floor(F.col("rank") / block).cast("int")
         columns = ["root", "block", "pivot", "rank", "component", "id", "size", "parity", "fps"]
