@@ -45,7 +45,7 @@ def _carried(lines: DataFrame, sums: dict[str, Column], lasts: dict[str, Column]
 
     if not chunk:
         return over(given, ["document_id"], "pos", 0, "").drop(*[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in lasts])
-    dealt = given.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int"))
+    dealt = given if "_chunk" in given.columns else given.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int"))
     ends = dealt.groupBy("document_id", "_chunk").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums], *[
         F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col("pos"))).alias(f"_l_{n}") for n in lasts])
     before = over(ends, ["document_id"], "_chunk", -1, "_b_").select("document_id", "_chunk", *[f"_b_{n}" for n in (*sums, *lasts)])
@@ -53,6 +53,10 @@ def _carried(lines: DataFrame, sums: dict[str, Column], lasts: dict[str, Column]
     return own.select(*lines.columns, *[(F.col(f"_o_{n}") + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums], *[F.coalesce(f"_o_{n}", f"_b_{n}").alias(n) for n in lasts])
 
 
+#: White space around a line's end, matched from where it begins: lines are trimmed and empty ones vanish as texts are split by it.
+_BREAK, _AROUND = r"(?U)(?<!\s)(?=[\s&&[^\n]]*+\n)\s++", r"(?U)\A\s++|(?<!\s)\s++\z"
+
+
 def provisions(docs: DataFrame, rules: Rules = VN_RULES, long: int = LONG, chunk: int = CHUNK) -> DataFrame:
     """Provisions of docs (document_id, text): one shuffle, on document_id, for texts of up to ``long`` lines.
 
@@ -61,31 +65,55 @@ def provisions(docs: DataFrame, rules: Rules = VN_RULES, long: int = LONG, chunk
     first is a provision of its own. A text without articles is one provision. Longer texts give the same rows, their
     lines being scanned in chunks by many tasks.
     """
-    given = docs.select("document_id", T.composed(F.regexp_replace("text", r"\r\n", "\n")).alias("text")).where(F.trim("text") != "")
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    told = given.withColumn("_articles", F.exists(F.split("text", "\n"), lambda raw: _line(raw).rlike(rules.article)))
-    some, none = told.where("_articles").drop("_articles"), told.where("NOT _articles")
-    articles = _articles(some.where(breaks < long), rules, None).unionByName(_articles(some.where(breaks >= long), rules, chunk))
-    null = lambda n, kind="string": F.lit(None).cast(kind).alias(n)
-    whole = none.select("document_id", null("chapter"), null("section"), F.lit(rules.whole).alias("article"), null("clause"), null("heading"),
-                        F.trim("text").alias("content"), null("valid_from", "date"), null("valid_to", "date"), null("status_override"),
-                        F.lit("0001.0000").alias("sort_key"))
-    return articles.unionByName(whole).withColumn("normalized_content", T.normalized_text(F.col("content"))).withColumn(
-        "content_hash", F.sha2("content", 256))
-
-
-def _line(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(raw, r"^(?U)\s+|\s+$", ""))
+    # Filters would move below and work the text out again for each of them, so texts are told apart by columns, and parts that are not wanted are empty.
+    given = docs.select("document_id", (breaks >= long).alias("_long"), _composed().alias("text"))
+    lines = given.select("document_id", "_long", "text", F.split(F.regexp_replace("text", _AROUND, ""), _BREAK).alias("lines"))
+    told = lines.select("*", F.exists("lines", lambda x: x.rlike(rules.article)).alias("_articles"))
+    cut = told.select("document_id", "_articles", F.when(F.col("_articles"), F.when(~F.col("_long"), _cut(F.col("lines"), rules))).when(
+        F.trim("text") != "", F.array(F.trim("text"))).alias("cut"))
+    # An outer explode: for a plain one Spark infers a filter on the array, which moves below and works everything out once more for each use.
+    parts = cut.select("document_id", "_articles", F.posexplode_outer("cut").alias("pos", "content")).where("pos IS NOT NULL")
+    head = F.element_at(F.split("content", "\n", 2), 1)
+    short = _carried_on(_marked(parts.select("document_id", "pos", "_articles", "content", F.when(F.col("_articles"), head).otherwise("").alias("line")), rules), rules, None)
+    # What an article holds before its first clause is followed by that clause.
+    following = F.lead("c").over(Window.partitionBy("document_id").orderBy("pos"))
+    short = short.withColumn("has", (F.col("starts") > 0) | following.isNotNull()).where("in_article OR NOT _articles")
+    whole = ~F.col("_articles")
+    own = _provision(rules)
+    null = {"chapter": None, "section": None, "article": F.lit(rules.whole), "clause": None, "heading": None, "content": F.col("content"), "valid_from": None, "valid_to": None,
+            "status_override": None, "sort_key": F.lit("0001.0000")}
+    rows = short.select("document_id", *[F.when(whole, null[n]).otherwise(c).alias(n) if null[n] is not None else F.when(~whole, c).alias(n) for n, c in own.items()])
+    found = _articles(docs.where(breaks >= long).select("document_id", _composed().alias("text")), rules, chunk)
+    return rows.unionByName(found.select("document_id", *[c.alias(n) for n, c in own.items()])).withColumn(
+        "normalized_content", T.normalized_text(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+
+
+def _composed() -> Column:
+    return T.composed(F.regexp_replace("text", r"\r\n", "\n"))
+
+
+def _clause(rules: Rules, line: Column) -> Column:
+    return F.nullif(F.regexp_extract(line, rules.clause, 1), F.lit(""))
+
+
+def _cut(lines: Column, rules: Rules) -> Column:
+    """Lines joined to parts, each of which begins at a heading or a clause and goes on to the next; those before the first are left out."""
+    begins = lambda x: x.rlike(rules.article) | x.rlike(rules.chapter) | x.rlike(rules.section) | _clause(rules, x).isNotNull()
+    places = F.filter(F.transform(lines, lambda x, i: F.when(begins(x), i)), lambda i: i.isNotNull())
+    part = lambda at: lambda p, k: F.array_join(F.slice(lines, p + 1, F.coalesce(F.get(at, k + 1), F.size(lines)) - p), "\n")
+    return T.let(places, lambda at: F.transform(at, part(at)))
+
+
+def _marked(lines: DataFrame, rules: Rules) -> DataFrame:
+    """lines with what each of them is: an article heading (a), any other heading (stop), the number of a clause (c)."""
+    is_a, is_c, is_s = F.col("line").rlike(rules.article), F.col("line").rlike(rules.chapter), F.col("line").rlike(rules.section)
+    marked = lines.select("*", is_a.alias("a"), (is_c | is_s).alias("stop"), is_c.alias("is_c"), is_s.alias("is_s"))
+    return marked.withColumn("c", F.when(~F.col("a") & ~F.col("stop"), _clause(rules, F.col("line"))))
 
 
-def _articles(given: DataFrame, rules: Rules, chunk: int | None) -> DataFrame:
-    """Articles and clauses of texts that have article headings; lines are scanned document by document, or by chunks."""
-    lines = (given.select("document_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-             .select("document_id", "pos", _line(F.col("raw")).alias("line")).where("line <> ''"))
-    is_a, is_c, is_s = F.col("line").rlike(rules.article), F.col("line").rlike(rules.chapter), F.col("line").rlike(rules.section)
-    clause = F.nullif(F.regexp_extract("line", rules.clause, 1), F.lit(""))
-    marked = lines.select("document_id", "pos", "line", is_a.alias("a"), (is_c | is_s).alias("stop"), is_c.alias("is_c"), is_s.alias("is_s"))
-    marked = marked.withColumn("c", F.when(~F.col("a") & ~F.col("stop"), clause))
+def _carried_on(marked: DataFrame, rules: Rules, chunk: int | None) -> DataFrame:
+    """Marked lines with the article, the chapter and the section that they stand in, and how many clauses of the article have begun (starts)."""
     head = F.col("a") | F.col("stop")
     carried = _carried(marked, {"article_no": F.col("a").cast("int"), "clauses": F.col("c").isNotNull().cast("int")}, {
         "chapter": F.when(F.col("is_c"), F.concat(F.lit(rules.chapter_name), F.regexp_extract("line", rules.chapter, 1))),
@@ -94,20 +122,30 @@ def _articles(given: DataFrame, rules: Rules, chunk: int | None) -> DataFrame:
         "in_article": F.when(head, F.col("a"))}, chunk)
     # Clauses of an article: those so far, less those before its heading.
     counted = _carried(carried, {}, {"earlier": F.when(F.col("a"), F.col("clauses"))}, chunk)
-    parts = counted.where("in_article").withColumn("starts", F.col("clauses") - F.col("earlier"))
+    return counted.withColumn("starts", F.col("clauses") - F.col("earlier"))
+
+
+def _provision(rules: Rules) -> dict[str, Column]:
+    """The columns of a provision, of its content and what was carried to it."""
+    valid_to = T.clause_date(F.col("content"), "bãi bỏ|hết hiệu lực")
+    pad = lambda c: F.lpad(c.cast("string"), 4, "0")
+    return {"chapter": F.col("chapter"), "section": F.col("section"), "article": F.concat(F.lit(rules.article_name), "number"), "clause": F.col("c"),
+            "heading": F.nullif("heading", F.lit("")), "content": F.col("content"), "valid_from": F.when(F.col("has"), T.clause_date(F.col("content"), "có hiệu lực|áp dụng")),
+            "valid_to": F.when(F.col("has"), valid_to), "status_override": F.when(F.col("has") & valid_to.isNotNull(), "repealed"),
+            "sort_key": F.concat(pad(F.col("article_no")), F.lit("."), F.when(F.col("has"), pad(F.col("starts") + 1)).otherwise("0000"))}
+
+
+def _articles(given: DataFrame, rules: Rules, chunk: int) -> DataFrame:
+    """Articles and clauses of very long texts that have article headings; lines are scanned by chunks."""
+    exploded = given.select("document_id", F.posexplode_outer(F.split(F.regexp_replace("text", _AROUND, ""), _BREAK)).alias("pos", "line")).where("pos IS NOT NULL")
+    # Dealt once by what all steps below group by: they read one shuffle, and the texts are scanned once.
+    lines = exploded.withColumn("_chunk", F.floor(F.col("pos") / chunk).cast("int")).repartition("document_id", "_chunk")
+    parts = _carried_on(_marked(lines, rules), rules, chunk).where("in_article")
     grouped = parts.groupBy("document_id", "article_no", "starts").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"),
-        F.min_by("c", "pos").alias("clause"), F.first("chapter").alias("chapter"), F.first("section").alias("section"),
+        F.min_by("c", "pos").alias("c"), F.first("chapter").alias("chapter"), F.first("section").alias("section"),
         F.first("number").alias("number"), F.first("heading").alias("heading"))
-    with_clauses = Window.partitionBy("document_id", "article_no")
-    known = grouped.withColumn("has", F.max("starts").over(with_clauses) > 0)
-    valid_to = T.clause_date(F.col("content"), "bãi bỏ|hết hiệu lực")
-    pad = lambda c: F.lpad(c.cast("string"), 4, "0")
-    return known.select(
-        "document_id", "chapter", "section", F.concat(F.lit(rules.article_name), "number").alias("article"), "clause",
-        F.nullif("heading", F.lit("")).alias("heading"), "content", F.when(F.col("has"), T.clause_date(F.col("content"), "có hiệu lực|áp dụng")).alias("valid_from"),
-        F.when(F.col("has"), valid_to).alias("valid_to"), F.when(F.col("has") & valid_to.isNotNull(), "repealed").alias("status_override"),
-        F.concat(pad(F.col("article_no")), F.lit("."), F.when(F.col("has"), pad(F.col("starts") + 1)).otherwise("0000")).alias("sort_key"))
+    return grouped.withColumn("has", F.max("starts").over(Window.partitionBy("document_id", "article_no")) > 0)
 
 
 _KIND = r"(?:thông\s+tư|nghị\s+định|luật|quyết\s+định)"

@@ -121,3 +121,24 @@ def test_a_document_of_very_many_lines_is_many_tasks(spark):
     chunked = segment.provisions(docs)
     assert chunked.count() == 100_000
     assert chunked.where("clause IS NULL").count() == 2000 and chunked.where("sort_key = '2000.0050'").first().content == "0. khoản"
+
+
+def _evaluated(df, name):
+    """How often the optimised plan works out an expression."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_texts_are_worked_out_once(spark):
+    """Filters on what a text gives would move below and work it out again: the plan of plain texts composes and splits each text once, that of long ones once."""
+    text = "Mở đầu\n \n Điều 1. Một \n1. a\n\n2. b\r\nChương I\nx\nĐiều 2. Hai\n\t"
+    docs = spark.createDataFrame([(1, text), (2, unicodedata.normalize("NFD", text)), (3, " không điều \n"), (4, " \n"), (5, "  "), (6, None)], "document_id long, text string")
+    found = segment.provisions(docs).select("document_id", "article", "clause", "content", "sort_key")
+    cut = [("Điều 1", None, "Điều 1. Một", "0001.0001"), ("Điều 1", "1", "1. a", "0001.0002"), ("Điều 1", "2", "2. b", "0001.0003"), ("Điều 2", None, "Điều 2. Hai", "0002.0000")]
+    want = [(i, *row) for i in (1, 2) for row in cut] + [(3, "Toàn văn", None, "không điều \n", "0001.0000"), (4, "Toàn văn", None, "\n", "0001.0000")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    for long, chunk in ((1, 1), (3, 2)):
+        got = segment.provisions(docs, long=long, chunk=chunk).select("document_id", "article", "clause", "content", "sort_key")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    stored = spark.range(3).selectExpr("id AS document_id", "concat('Điều ', id, '. Một') AS text")
+    assert _evaluated(segment.provisions(stored).select("document_id", "content"), r"posexplode(cut") == 1
+    assert _evaluated(segment.provisions(stored).select("document_id", "content"), "exists(lines") == 1
