@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .status import at_dates, within
+from .status import within
 
 KEY = ("document_id", "article", "clause")
 
 
 def as_of(provs: DataFrame, dates: list[str]) -> DataFrame:
     """The version of each (document, article, clause) in force at each date; where two hold, the later start wins."""
-    held = at_dates(provs, dates).where(within(F.col("as_of"), F.col("valid_from"), F.col("valid_to")))
-    best = F.max_by(F.struct("provision_id", "content", "valid_from", "valid_to"), F.struct(F.col("valid_from"), F.col("provision_id")))
-    return held.groupBy(*KEY, "as_of").agg(best.alias("v")).select(*KEY, "as_of", "v.provision_id", "v.content", "v.valid_from", "v.valid_to")
+    # Each provision is shuffled and sorted once, not once a date: dates are folds of a key's rows, and rows only after them.
+    days = [F.lit(d).cast("date") for d in dict.fromkeys(dates)]
+    dealt = provs.select(*KEY, "provision_id", "content", "valid_from", "valid_to").repartition(*KEY)
+    row, start = F.struct("provision_id", "content", "valid_from", "valid_to"), F.struct("valid_from", "provision_id")
+    best = dealt.groupBy(*KEY).agg(*[F.max_by(row, F.when(within(d, F.col("valid_from"), F.col("valid_to")), start)).alias(f"v{i}") for i, d in enumerate(days)])
+    held = best.select(*KEY, F.explode_outer(F.array(*[F.struct(d.alias("as_of"), F.col(f"v{i}").alias("v")) for i, d in enumerate(days)])).alias("e")).where("e.v IS NOT NULL")
+    return held.select(*KEY, "e.as_of", "e.v.provision_id", "e.v.content", "e.v.valid_from", "e.v.valid_to")
 
 
 def chain(provs: DataFrame) -> DataFrame:
