@@ -84,9 +84,12 @@ def provisions_at(provs: DataFrame, doc_status: DataFrame, rels: DataFrame, date
     With respect_repeal_date an override of repealed counts only after the provision's own valid_to.
     """
     day = F.col("as_of")
+    # The dates of a provision's repeals are folded and meet it before it is repeated for each date: what is shuffled is one row a provision.
+    struck = partial_repeals(provs, rels, dates).groupBy("provision_id").agg(F.collect_set("as_of").alias("_struck"))
     joined = (provs.select("provision_id", "document_id", "article", "clause", "valid_from", "valid_to", "status_override")
+              .join(struck, "provision_id", "left")
               .join(doc_status.select("document_id", "as_of", F.col("status").alias("doc_status")), "document_id")
-              .join(partial_repeals(provs, rels, dates).withColumn("hit", F.lit(True)), ["provision_id", "as_of"], "left"))
+              .withColumn("hit", F.array_contains("_struck", day)))
     override = F.col("status_override") == "repealed"
     if respect_repeal_date:
         override = override & (F.col("valid_to").isNull() | (day > F.col("valid_to")))
