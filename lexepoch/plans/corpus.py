@@ -11,33 +11,37 @@ from ..sources.scratch import new_path
 from ..sources.tables import with_views
 
 
-def process(items: DataFrame, run_date: str | None = None) -> dict[str, DataFrame]:
+def process(items: DataFrame, run_date: str | None = None, segmented: bool = True) -> dict[str, DataFrame]:
     """items (document_id, title, text, source_id, source_authority and, if known, published) -> tables documents, provisions,
     relationships, evidence, events, verdicts, errors. Items without a title or a text are errors and stop no other item.
 
     Every item that is taken is an event: its document was published, on the run's date where the item has none.
+    Without ``segmented`` texts are not cut: there are no provisions and evidence, all other tables are the same.
     """
     items = items if "published" in items.columns else items.withColumn("published", F.lit(None).cast("date"))
     bad = F.coalesce(F.trim("title"), F.lit("")) == ""
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
     errors = items.where(bad | empty).select("document_id", F.when(bad, "MISSING_TITLE").otherwise("MISSING_TEXT").alias("reason"))
-    parsed = items.where(~bad & ~empty).withColumn("m", T.metadata(F.col("title"), F.col("text"))).select("document_id", "text", "source_id", "source_authority", "published", "m.*")
+    parsed = items.where(~bad & ~empty).select(
+        "document_id", "text", "source_id", "source_authority", "published", F.inline(F.array(T.metadata(F.col("title"), F.col("text")))))  # rows that a generator makes: fields used twice are worked out once
     spark = items.sparkSession
     path = new_path(spark, "parsed")
     parsed.withColumn("canonical_id", T.canonical_id(F.col("document_type"), F.col("document_number"), F.col("issued_date"), F.concat_ws("|", "title", "source_id"))).write.parquet(path)
     named = spark.read.parquet(path)  # parsed once: all tables below come from it
     docs, srcs = canonical.merge(named, named.select("document_id", "source_id", "source_authority"))
-    cut = new_path(spark, "provisions")
-    segment.provisions(docs).withColumn("provision_id", F.xxhash64("document_id", "sort_key")).write.parquet(cut)
-    provs = spark.read.parquet(cut)  # segmented once: evidence reads them, too
     asserts = named.join(srcs.select("source_id", F.col("document_id").alias("kept")), "source_id").select(
         F.col("kept").alias("document_id"), "source_id", "source_authority", "document_number", "issued_date", "effective_from", F.lit(None).cast("date").alias("effective_to"))
     day = F.coalesce("published", F.lit(run_date).cast("date") if run_date else T.local_today(F.current_timestamp()))
     events = named.join(srcs.select("source_id", F.col("document_id").alias("kept")), "source_id").select(
         F.col("kept").alias("document_id"), F.lit("published").alias("event_type"), day.alias("event_date"), "effective_from",
         F.concat(F.lit("Document published: "), "title").alias("description"), F.col("source_id").alias("snapshot_id"))
-    return {"documents": docs, "events": events, "provisions": provs, "relationships": segment.resolve(segment.relationships(docs), docs),
-            "evidence": evidence.from_metadata(docs, provs), "verdicts": verify.verdicts(asserts), "errors": errors}
+    out = {"documents": docs, "events": events, "relationships": segment.resolve(segment.relationships(docs), docs), "verdicts": verify.verdicts(asserts), "errors": errors}
+    if segmented:
+        cut = new_path(spark, "provisions")
+        segment.provisions(docs).withColumn("provision_id", F.xxhash64("document_id", "sort_key")).write.parquet(cut)
+        provs = spark.read.parquet(cut)  # segmented once: evidence reads them, too
+        out |= {"provisions": provs, "evidence": evidence.from_metadata(docs, provs)}
+    return out
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +62,7 @@ def c29_events(spark: SparkSession, sf: str) -> DataFrame:
     """Every item's event; items of even documents carry a date."""
     items = _items(spark, sf)
     dated = F.when(F.col("document_id") % 4 < 2, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("document_id") % 100).cast("int")))
-    return process(items.withColumn("published", dated), "2024-06-30")["events"].drop("description")
+    return process(items.withColumn("published", dated), "2024-06-30", segmented=False)["events"].drop("description")
 
 
 def c29_corpus(spark: SparkSession, sf: str) -> DataFrame:

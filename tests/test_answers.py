@@ -45,3 +45,14 @@ def test_topics_narrow_rules(spark, world):
     rules = search.effective_rules(asked, docs, provs, rels, "2001-01-01", 5, evidence, topics=["invoice", "customs"])
     assert sorted(r.query_id for r in rules.collect()) == [1, 2]
     assert search.effective_rules(asked.where(F.lit(False)), docs, provs, rels, "2001-01-01", 5, evidence).count() == 0
+
+
+def test_events_of_a_run_do_not_wait_for_segmentation(spark, sf_dir, monkeypatch):
+    from lexepoch.operators import segment
+    from lexepoch.plans import corpus
+
+    items = corpus._items(spark, sf_dir).where("document_id < 40")
+    want = sorted(map(tuple, corpus.process(items, "2024-06-30")["events"].collect()))
+    monkeypatch.setattr(segment, "provisions", lambda docs: pytest.fail("texts were cut"))
+    out = corpus.process(items, "2024-06-30", segmented=False)
+    assert want and sorted(map(tuple, out["events"].collect())) == want and "provisions" not in out
