@@ -72,7 +72,7 @@ def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def c26_both_axes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of document and date, each asked at five moments of knowledge."""
-    asked = _asked(spark, sf).withColumn("knowledge_at", F.explode(F.transform(F.array(*[F.lit(n) for n in (-100, 0, 60, 150, 1000)]), lambda n: F.date_add("as_of", n))))
+    asked = _asked(spark, sf).withColumn("knowledge_at", F.transform(F.array(*[F.lit(n) for n in (-100, 0, 60, 150, 1000)]), lambda n: F.date_add("as_of", n)))
     docs, rels = _history(spark, sf)
     return timeline.documents_at_both(asked, docs, rels)
 
