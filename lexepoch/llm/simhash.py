@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import hot_join, lean, materialize, rank_within, ship, shuffle_partitions, sieve, sifted, text_of
 from .components import components
@@ -382,6 +383,17 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                        .where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("u", "v"))
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, that connect what ``links`` connect: each u with its least v, and with that v its other ones.
+
+    A leader that many u share is linked once with each other leader, however many u they share. All links of a u meet in
+    one task, so it is meant for links under keys, which are at most some hundreds for any u.
+    """
+    least = links.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return (least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            .distinct())
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3, segments: int = 8, seeds: tuple[int, ...] = SEEDS,
                           pairwise: int = PAIRWISE, block: int = BLOCK, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(doc_id, group_id) of documents in groups of near copies; group_id is the least doc_id of its group.
@@ -423,12 +435,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8,
     before = materialize(ordered(found.where("NOT hot")))
     wanted = materialize(before.select(F.col("u").alias("id")).union(before.select(F.col("v").alias("id"))).distinct())
     checked = _checked(before, _sets_of(docs, wanted, k), similarity)
-    joined = components(linked.unionByName(checked))
+    joined = components(linked.unionByName(_stars(checked)))
     out = lambda: joined.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
     hot = materialize(ordered(found.where("hot")))
     if not hot.limit(1).count():
         return out()
-    clusters = components(hot)
+    clusters = components(_stars(hot))
     sets = _sets_of(docs, materialize(clusters.select(F.col("node").alias("id"))), k)
     fps = nodes.select(F.col("first").alias("id"), F.array(*marks).alias("fps"))
     members = clusters.withColumnRenamed("node", "id").join(fps, "id").join(sets.select("id", "size", "parity"), "id")

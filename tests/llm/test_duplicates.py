@@ -288,6 +288,39 @@ def test_bound_of_small_groups_changes_nothing(spark):
     assert found[0] == found[1] == found[2] == brute_near_groups(rows)
 
 
+def test_links_of_large_groups_are_thinned_before_they_are_joined(spark, monkeypatch):
+    """Members of one large group share many keys, each with a least id of its own: the links stay in proportion to the members."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(150):
+        changed = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            changed[rng.randrange(150)] = word()
+        rows.append((i, " ".join(changed)))
+    calls = []
+
+    def counted(edges, *a):
+        calls.append((edges.count(), edges.selectExpr("explode(array(u, v)) AS x").distinct().count()))
+        return components.components(edges, *a)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == brute_near_groups(rows)
+    assert calls[1][1] > 100 and calls[1][0] <= 2 * calls[1][1]
+
+
+def test_stars_connect_what_the_links_connect(spark):
+    rng = random.Random(23)
+    edges = sorted({(u, v) for u in range(1, 400) for v in rng.sample(range(u), min(u, rng.randrange(0, 4))) if u % 5 == v % 5})
+    df = spark.createDataFrame(edges, "u long, v long")
+    of = lambda x: {r.node: r.root for r in components.components(x).collect()}
+    assert of(simhash._stars(df)) == of(df)
+    wide = spark.createDataFrame([(u, v) for u in range(50, 350) for v in range(40)], "u long, v long")
+    assert simhash._stars(wide).count() == 300 + 39 and set(of(simhash._stars(wide)).values()) == {0}
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_parity_bitmaps_leave_out_no_pair_that_agrees(similarity):
     """Whatever reaches the similarity passes, at the very threshold and beyond the bits of the bitmap; most others do not."""
