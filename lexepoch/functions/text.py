@@ -83,7 +83,8 @@ def composed(c: Column) -> Column:
             text = let(text, _joining(mark))
         return text
 
-    return let(c, lambda t: F.when(t.rlike(f"[{MARKS}]"), compose(t)).otherwise(t))
+    # The look is at the range in which all marks lie, as one range is found much faster than a set of letters; ASCII texts need none.
+    return let(c, lambda t: F.when((F.octet_length(t) != F.length(t)) & t.rlike(f"[{min(MARKS)}-{max(MARKS)}]"), compose(t)).otherwise(t))
 
 
 def _joining(mark: str):

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators.snapshots import HASHES
 from ..sources.ledger import Ledger
 from ..sources.scratch import new_path
 
@@ -55,31 +55,44 @@ def dedupe(items: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     return items.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def snapshot_changes(items: DataFrame) -> DataFrame:
+#: Keys of the state of snapshot changes.
+BUCKETS = 8192
+
+
+class _Hashes(StatefulProcessor):
+    """The last hash of each kind of the sources of one bucket; the state is written only where one differs."""
+
+    def __init__(self, kinds: list[str]):
+        self.kinds = kinds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        hashes = ", ".join(f"{k}: string" for k in self.kinds)
+        self.last = handle.getValueState("last", f"sources array<struct<source_id: bigint, {hashes}>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self.last.get()
+        last, differs = {source: hashes for source, *hashes in found[0]} if found else {}, False
+        for source, version, *hashes, _ in sorted(rows, key=lambda r: (r[1] is None, r[1])):
+            old = last.get(source)
+            merged = [h if h is not None else o for h, o in zip(hashes, old or [None] * len(hashes))]
+            if merged != (old or [None] * len(hashes)):
+                yield Row(source_id=source, version=version, change="CHANGED" if old else "CREATED")
+                last[source], differs = merged, True
+        if differs:
+            self.last.update(([(source, *hashes) for source, hashes in last.items()],))
+
+
+def snapshot_changes(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Items (source_id, version, and any of page_hash, text_hash, metadata_hash) that differ from what is known of their source.
 
     The state is the last hash of each kind; a null hash says nothing and keeps the old one. Within a micro-batch
-    versions are taken in order.
+    versions are taken in order. A source has a row or two, so a call and a state of its own would cost far more than its
+    work: sources are dealt by a hash into ``buckets`` that have their state together. A batch reads and writes the buckets
+    it touches; the number belongs to the checkpoint. It needs the RocksDB state store (see ``with_rocksdb``).
     """
-    from ..operators.snapshots import HASHES
     kinds = [h for h in HASHES if h in items.columns]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.exists
-        last = list(state.get) if known else [None] * len(kinds)
-        rows = pd.concat(list(frames)).sort_values("version", kind="stable")
-        out = []
-        for version, *values in zip(rows["version"], *(rows[k] for k in kinds)):
-            new = [not pd.isna(v) and v != old for v, old in zip(values, last)]
-            if any(new):
-                out.append((key[0], version, "CHANGED" if known else "CREATED"))
-                last, known = [v if n else old for v, old, n in zip(values, last, new)], True
-        if known:
-            state.update(tuple(last))
-        yield pd.DataFrame(out, columns=["source_id", "version", "change"])
-
-    return items.groupBy("source_id").applyInPandasWithState(
-        step, "source_id long, version int, change string", ", ".join(f"{k} string" for k in kinds), "append", GroupStateTimeout.NoTimeout)
+    dealt = items.select(F.col("source_id").cast("long").alias("source_id"), "version", *kinds, F.pmod(F.xxhash64("source_id"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").transformWithState(_Hashes(kinds), "source_id long, version int, change string", "append", "none")
 
 
 def windows(events: DataFrame, size: str = "1 hour", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -157,7 +170,7 @@ def stream_alerts(events: DataFrame, size: str = "1 hour", delay: str = "1 hour"
 
 @contextmanager
 def with_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that timers need, for the queries that start inside; the session is left as it was."""
+    """The state store that timers and typed state need, for the queries that start inside; the session is left as it was."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

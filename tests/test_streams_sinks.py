@@ -63,6 +63,25 @@ def test_a_null_hash_keeps_the_old_one(spark, tmp_path):
     assert sorted(map(tuple, batch)) == [(1, 1), (1, 3), (1, 4), (1, 6), (2, 2)]
 
 
+def test_sources_share_states_of_a_fixed_number(spark, tmp_path):
+    schema = "source_id long, version int, page_hash string, text_hash string"
+    batches = [[(i, 1, f"p{i % 7}", None if i % 3 else "t") for i in range(120)],
+               [(i, 2, f"p{i % 5}", "t") for i in range(60, 180)],
+               [(i, 3, None, "u" if i % 10 == 0 else None) for i in range(0, 180, 2)] + [(i, 4, None, "t") for i in range(0, 180, 20)]]
+    out = landed(spark, tmp_path, batches, schema, lambda s: streams.snapshot_changes(s, buckets=4), "b")
+    last, want = {}, []
+    for source, version, *hashes in (r for b in batches for r in b):
+        old = last.get(source, [None, None])
+        new = [h or o for h, o in zip(hashes, old)]
+        if new != old:
+            want.append((source, version, "CHANGED" if source in last else "CREATED"))
+            last[source] = new
+    assert sorted((r.source_id, r.version, r.change) for r in out.collect()) == sorted(want)
+    with streams.with_rocksdb(spark):
+        state = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "b-c"))
+        assert state.count() <= 4
+
+
 def test_three_hashes_and_pointers(spark):
     v = spark.createDataFrame([(1, 1, 10, "Thuế  A", {"b": "1", "a": "2"}), (1, 2, 11, "thuế a", {"a": "2", "b": "1"}), (2, 1, 20, None, None)], "source_id long, version int, snapshot_id long, text string, metadata map<string,string>")
     h = {r.snapshot_id: r for r in snapshots.hashed(v).collect()}
