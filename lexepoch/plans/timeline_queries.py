@@ -9,12 +9,16 @@ from ..sources import tables as X
 from ..sources.tables import with_views
 
 
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line's document, and the one it refers to, on the day it was shipped."""
+def _lines_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line's document, and the one it refers to, on the day it was shipped, as often as lines say so."""
     n = X.load(spark, sf, "orders").count()
     line = X.load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("as_of"))
     other = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % F.lit(max(n, 1))
-    return line.select(F.col("l_orderkey").alias("document_id"), "as_of").union(line.select(other, "as_of")).distinct()
+    return line.select(F.col("l_orderkey").alias("document_id"), "as_of").union(line.select(other, "as_of"))
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines_asked(spark, sf).distinct()
 
 
 _ASKED = ("asked", """SELECT DISTINCT document_id, as_of FROM (SELECT l_orderkey AS document_id, CAST(l_shipdate AS DATE) AS as_of FROM lineitem
@@ -62,17 +66,20 @@ _C8_TIMELINE = with_views(f"""SELECT document_id, status, sum(next_day - as_of):
 def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Documents known ten days after issue, a third corrected later; edges known after they start, a quarter of them given an end or withdrawn later."""
     d, r = X.x_docs(spark, sf), X.x_rels(spark, sf)
-    first = d.select("document_id", "document_nature", "effective_from", "effective_to", F.date_add("issued_date", 10).alias("recorded_at"))
-    corrected = d.where("document_id % 3 = 0").select("document_id", "document_nature", F.date_add("effective_from", 30).alias("effective_from"), "effective_to", F.date_add("issued_date", 400).alias("recorded_at"))
-    edges = r.select("relationship_id", "target_document_id", "relationship_type", "effective_from", "effective_to", F.date_add("effective_from", 100).alias("recorded_at"))
-    gone = F.when(F.col("relationship_id") % 8 != 0, F.col("relationship_type")).alias("relationship_type")
-    later = r.where("relationship_id % 4 = 0").select("relationship_id", "target_document_id", gone, "effective_from", F.date_add("effective_from", 50).alias("effective_to"), F.date_add("effective_from", 200).alias("recorded_at"))
-    return timeline.rectangles(first.unionByName(corrected), ["document_id"]), timeline.rectangles(edges.unionByName(later), ["relationship_id"])
+    record = lambda start, after: F.struct(start.alias("effective_from"), F.date_add("issued_date", after).alias("recorded_at"))
+    first, corrected = record(F.col("effective_from"), 10), record(F.date_add("effective_from", 30), 400)
+    docs = d.select("document_id", "document_nature", "effective_to", F.explode(F.array_compact(F.array(first, F.when(F.col("document_id") % 3 == 0, corrected)))).alias("x"))
+    edge = lambda kind, end, after: F.struct(kind.alias("relationship_type"), end.alias("effective_to"), F.date_add("effective_from", after).alias("recorded_at"))
+    gone = F.when(F.col("relationship_id") % 8 != 0, F.col("relationship_type"))
+    early, later = edge(F.col("relationship_type"), F.col("effective_to"), 100), edge(gone, F.date_add("effective_from", 50), 200)
+    edges = r.select("relationship_id", "target_document_id", "effective_from", F.explode(F.array_compact(F.array(early, F.when(F.col("relationship_id") % 4 == 0, later)))).alias("x"))
+    return (timeline.rectangles(docs.select("document_id", "document_nature", "x.effective_from", "effective_to", "x.recorded_at"), ["document_id"]),
+            timeline.rectangles(edges.select("relationship_id", "target_document_id", "x.relationship_type", "effective_from", "x.effective_to", "x.recorded_at"), ["relationship_id"]))
 
 
 def c26_both_axes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of document and date, each asked at five moments of knowledge."""
-    asked = _asked(spark, sf).withColumn("knowledge_at", F.transform(F.array(*[F.lit(n) for n in (-100, 0, 60, 150, 1000)]), lambda n: F.date_add("as_of", n)))
+    asked = _lines_asked(spark, sf).repartition("document_id").distinct().withColumn("knowledge_at", F.array(*[F.date_add("as_of", n) for n in (-100, 0, 60, 150, 1000)]))
     docs, rels = _history(spark, sf)
     return timeline.documents_at_both(asked, docs, rels)
 
